@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .prefix_tree import join_components
 from .secrets import scan_secrets
+from .session import fresh_path
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
+from .token_files import describe_token_files, write_token_files
+from .toxicity import score_toxicity, train
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +27,11 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -33,6 +44,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True).withColumnRenamed("sha256", "text_sha256")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_components(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
@@ -41,7 +56,28 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_mix_sources, op5_exact_dedup, op7_secret_scan)}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer())
+    return describe_token_files(spark, path)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_toxicity, op3_token_counts, op4_mix_sources, op5_exact_dedup, op6_jaccard_join,
+        op7_secret_scan, op8_token_files, op9_decontaminate, op10_substring_dedup,
+    )
+}
 
 ORACLES = {
     "op5_exact_dedup": """
@@ -65,4 +101,15 @@ ORACLES = {
         q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target) / source_size)::BIGINT ELSE 0 END AS rounds FROM r)
         SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(size, floor(target)::BIGINT - rounds * source_size - ahead)))::BIGINT AS taken FROM q
     """,
+    "op9_decontaminate": r"""
+        WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x20\x09-\x0D]+') AS w FROM documents, low),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x20\x09-\x0D]+') AS w FROM benchmark, low),
+        ds AS (SELECT DISTINCT doc_id, unnest([list_aggregate(w[i:i + 4], 'string_agg', ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM d WHERE len(w) >= 5),
+        bs AS (SELECT DISTINCT item_id, unnest([list_aggregate(w[i:i + 4], 'string_agg', ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM b WHERE len(w) >= 5),
+        n AS (SELECT item_id, count(*)::INT AS n_shingles FROM bs GROUP BY item_id),
+        f AS (SELECT doc_id, item_id, count(*)::INT AS n_found FROM ds JOIN bs USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n_shingles, n_found, n_found::DOUBLE / n_shingles AS containment
+        FROM f JOIN n USING (item_id) WHERE n_found >= 0.75 * n_shingles
+    """,
 }
