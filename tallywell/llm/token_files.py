@@ -106,7 +106,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = bpe.Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        dtype = np.dtype("<u2" if encoder.code == "H" else "<u4")
+        dtype = encoder.dtype
         end = np.array([end_id], dtype).tobytes()
         keys: list = []
         ids: list[bytes] = []
@@ -124,6 +124,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for b in blocks(batches, limit=1 << 20):
             kind = b.schema.field("id").type
             for k, x in zip(b.column("id").to_pylist(), encoder.ids(b.column("text").to_pylist())):
+                x = x.tobytes()
                 if ids and held + len(x) > shard_bytes:
                     yield shard()
                     seq, keys, ids, held = seq + 1, [], [], 0
