@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,6 +39,47 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, ca
     return s.select("source", "source_size", "weight", F.least(F.col("most"), F.coalesce(F.col("fill") * F.col("weight"), F.col("most"))).alias("target"))
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, digits: int) -> dict:
+    """Columns: the document's order within its source, and its size."""
+    words = F.size(F.regexp_extract_all(docs[text_col].cast("string"), F.lit(WORD), F.lit(0)))
+    key = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")))
+    # a source and bucket is one string key, so that the null source joins as any other
+    source = F.when(docs[source_col].isNull(), "-").otherwise(F.concat(F.lit("+"), docs[source_col].cast("string")))
+    return {
+        "__id": docs[id_col], "__source": docs[source_col], "__named": source, "__key": key, "__bucket": F.substring(key, 1, digits),
+        "__size": F.when(docs[text_col].isNull(), F.lit(0)).otherwise(words).cast("long"),
+    }
+
+
+def _assigned(rows: DataFrame, light: DataFrame, weights: Sequence[float], budget: float, cap: float, ramp: Sequence[float]) -> DataFrame:
+    """rows, which have the columns of _sized, with __source_size, __target, __taken, __at (words of the source before
+    it) and __a (the slope of its source's schedule). light: the columns of _sized only, for the sums."""
+    buckets = light.groupBy(F.col("__source").alias("source"), "__named", "__bucket").agg(F.sum("__size").alias("words"))
+    targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
+    order = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
+    slope = F.element_at(F.array(*[F.lit(float(x)) for x in ramp]), ((order - 1) % len(ramp) + 1).cast("int"))
+    named = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))).alias("__named")
+    targets = targets.select(named, F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), slope.alias("__a"))
+    before = F.sum("words").over(W.partitionBy("__named").orderBy("__bucket")) - F.col("words")
+    starts = buckets.select("__named", "__bucket", before.alias("__before")).join(targets, "__named")
+    within = F.sum("__size").over(W.partitionBy("__named", "__bucket").orderBy("__key", "__id", "__size").rowsBetween(W.unboundedPreceding, 0)) - F.col("__size")
+    rows = rows.withColumn("__within", within).join(starts, ["__named", "__bucket"]).withColumn("__at", F.col("__before") + F.col("__within"))
+    goal, whole = F.floor("__target"), F.col("__source_size")
+    # full rounds over the source, then what is left of the last round reaches up to goal % source_size
+    rounds = F.when(whole > 0, F.floor(goal / whole)).otherwise(0)
+    rest = goal - rounds * whole
+    return rows.withColumn("__taken", (rounds * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__at")))).cast("long"))
+
+
+def _position(demand: Column) -> Column:
+    """The training time 0..1 at which the source's schedule has asked for ``demand`` words.
+
+    The schedule's integral up to t is the share a * t + (1 - a) * t * t of the target.
+    """
+    a, share = F.col("__a"), F.when(F.col("__target") > 0, F.least(F.lit(1.0), demand / F.col("__target"))).otherwise(0.0)
+    return F.when(a == 1.0, share).otherwise((F.sqrt(a * a + 4 * (1 - a) * share) - a) / (2 * (1 - a)))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, ramp: Sequence[float] = (0.5, 1.5, 1.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_digits: int = 3) -> DataFrame:
     """One row for each row of ``docs``, range-sorted by training position.
 
@@ -61,31 +102,23 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: f
     the last. Null ids sort first in their source; rows that tie in all of this
     share the outcome in either order. An empty table gives an empty result.
     """
-    size = F.coalesce(F.size(F.regexp_extract_all(docs[text_col].cast("string"), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
-    size = F.when(docs[text_col].isNull(), F.lit(0).cast("long")).otherwise(size)
-    key = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")))
-    sized = save(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"), key.alias("key"), F.substring(key, 1, bucket_digits).alias("bucket")), "mix-sizes")
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
-    order = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    targets = targets.withColumn("a", F.element_at(F.array(*[F.lit(float(x)) for x in ramp]), ((order - 1) % len(ramp) + 1).cast("int")))
-    before = F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words")
-    # a source and bucket is one string key, so that the null source joins as any other
-    joint = F.concat_ws(":", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")), "bucket")
-    named = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")).alias("named")
-    starts = buckets.select(joint.alias("joint"), named, before.alias("before")).join(targets.select(named, "source_size", "target", "a"), "named").drop("named")
-    within = F.sum("size").over(W.partitionBy("joint").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    rows = sized.withColumn("joint", joint).withColumn("within", within).join(starts, "joint").withColumn("at", F.col("before") + F.col("within"))
-    goal, whole = F.floor("target"), F.col("source_size")
-    # full rounds over the source, then what is left of the last round reaches up to goal % source_size
-    rounds = F.when(whole > 0, F.floor(goal / whole)).otherwise(0)
-    rest = goal - rounds * whole
-    taken = (rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))).cast("long")
-    rows = rows.withColumn("taken", taken)
-    # the schedule's integral up to t, as a share: a*t + (1-a)*t*t; its inverse at the demand met by earlier words
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("at") / F.col("target"))).otherwise(0.0)
-    a = F.col("a")
-    t = F.when(a == 1.0, share).otherwise((F.sqrt(a * a + 4 * (1 - a) * share) - a) / (2 * (1 - a)))
-    out = rows.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "taken", F.when(F.col("taken") > 0, t).alias("position"))
+    sized = save(docs.select(*[c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col, bucket_digits).items()]), "mix-sizes")
+    rows = _assigned(sized, sized, weights, budget, cap, ramp)
+    out = rows.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__source").alias("source"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.when(F.col("__taken") > 0, _position(F.col("__at"))).alias("position"))
     out = save(out, "mix-taken")
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col(id_col)).sortWithinPartitions(F.col("position").asc_nulls_last(), id_col)
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, ramp: Sequence[float] = (0.5, 1.5, 1.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_digits: int = 3) -> DataFrame:
+    """The mix itself: rows of ``docs``, with their columns, in training order, each as often as it is taken.
+
+    As mix_sources, but in whole documents: the one of each source that is taken
+    in part is there if half of it or more is taken. Texts are shuffled twice,
+    for the running sums and for the order.
+    """
+    sized = _sized(docs, id_col, text_col, source_col, bucket_digits)
+    rows = _assigned(docs.select("*", *[c.alias(n) for n, c in sized.items()]), docs.select(*[c.alias(n) for n, c in sized.items()]), weights, budget, cap, ramp)
+    copies = F.floor(F.col("__taken") / F.col("__size") + 0.5).cast("int")
+    rows = rows.filter("__taken > 0").withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    rows = rows.withColumn("__position", _position(F.col("__copy") * F.col("__source_size") + F.col("__at")))
+    return rows.repartitionByRange("__position", "__key").sortWithinPartitions("__position", "__key").select(*docs.columns)

@@ -217,6 +217,15 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.toDF(id_col, "n_shingles", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, less all but the one with the least id of each component.
+
+    Rows that repeat id and text are one. Rows of components without any id stay.
+    """
+    kept = join_components(docs, id_col, text_col).filter(F.col("component_id").isNull() | F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, text_col])
+
+
 def _link(held: list[tuple[int, int, np.ndarray]], across: bool) -> pa.RecordBatch:
     """A block's links, as many as join its sets into components; across: only those between its two parts."""
     held = sorted(held, key=lambda x: (len(x[2]), x[0]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
+from .lm_score import score_documents
 from .mixing import mix_sources
 from .prefix_tree import join_components
 from .secrets import scan_secrets
@@ -27,6 +28,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -74,7 +79,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_toxicity, op3_token_counts, op4_mix_sources, op5_exact_dedup, op6_jaccard_join,
+        op1_lm_score, op2_toxicity, op3_token_counts, op4_mix_sources, op5_exact_dedup, op6_jaccard_join,
         op7_secret_scan, op8_token_files, op9_decontaminate, op10_substring_dedup,
     )
 }
