@@ -149,10 +149,10 @@ def pane_regroup(spark, sf):
     return P.regroup(merged, ["event_type"]).withColumn("total", F.round("total", 6))
 
 
-@query(_with(DAILY, 5 * DAY) + _RATE.format(r=5 * DAY) + " SELECT t, event_type, user_id, round(increase / 432000.0::DOUBLE, 9) AS value FROM x")
+@query(_with(DAILY, 5 * DAY) + _RATE.format(r=5 * DAY) + " SELECT t, event_type, user_id, round(increase / 432000.0::DOUBLE, 11) AS value FROM x")
 def pane_rate_stored(spark, sf):
     merged = P.merge(P.build(samples(spark, sf), HOUR, SERIES), HOUR, DAILY, 5 * DAY, SERIES)
-    return _round(P.increase_of(merged, 5 * DAY, SERIES, True), 9)
+    return _round(P.increase_of(merged, 5 * DAY, SERIES, True), 11)
 
 
 @query(f"WITH {_S} SELECT ((ts_ms - 1) // {DAY} + 1) * {DAY} AS window_end, event_type, user_id, count(*) AS n, round(sum(value), 6) AS total, arg_min(value, (ts_ms, value)) AS first, arg_max(value, (ts_ms, value)) AS last FROM s GROUP BY ALL")
