@@ -47,7 +47,8 @@ def estimate(state: DataFrame, probes: DataFrame, key: Column, rows: int, cols:
     own = list(probes.columns)
     cell = lambda r: F.struct(F.lit(r).alias("r"), (cw(F.col("_k"), r) % cols % (folded or cols)).cast("int").alias("c"), (sign(F.col("_k"), r) if signed else F.lit(1).cast("long")).alias("s"))
     asked = probes.withColumn("_k", key).withColumn("x", _rows(rows, cell)).select(*own, F.col("x.r").alias("r"), F.col("x.c").alias("c"), F.col("x.s").alias("s"))
-    got = asked.join(state if by else F.broadcast(state), [*by, "r", "c"], "left").withColumn("e", F.coalesce(F.col("n"), F.lit(0)) * F.col("s"))
+    state = state.withColumnRenamed("n", "_n")
+    got = asked.join(state if by else F.broadcast(state), [*by, "r", "c"], "left").withColumn("e", F.coalesce("_n", F.lit(0)) * F.col("s"))
     # the rows of a probe side by side instead of a sort: at most `rows` values
     return got.groupBy(*own).agg((F.element_at(F.sort_array(F.collect_list("e")), rows // 2 + 1) if signed else F.min("e")).alias("estimate"))
 

@@ -105,9 +105,9 @@ def alert_confusion(spark, sf):
 
 @query(f"""{_ARMS}, y AS (SELECT *, i - row_number() OVER (PARTITION BY entity, e ORDER BY i) AS g FROM x), z AS (SELECT *, min(CASE WHEN q THEN i END) OVER (PARTITION BY entity, g) AS o FROM y WHERE e),
     k AS (SELECT *, NOT q AND i > o AND coalesce(lag(q) OVER (PARTITION BY entity, g ORDER BY i), true) AS gap FROM z)
-    SELECT entity, min(t) AS start, max(t) AS "end", count(*) AS evaluations, min(o) - min(i) AS onset_delay, count(*) FILTER (gap) AS gaps FROM k GROUP BY entity, g""")
+    SELECT entity, min(t) AS start, max(t) AS "end", count(*) AS evaluations, coalesce(min(o) - min(i), -1) AS onset_delay, count(*) FILTER (gap) AS gaps FROM k GROUP BY entity, g""")
 def alert_episodes(spark, sf):
-    return R.episodes(_arms(spark, sf))
+    return R.episodes(_arms(spark, sf)).withColumn("onset_delay", F.coalesce("onset_delay", F.lit(-1)))
 
 
 @query(f"""{_ARMS}, y AS (SELECT *, q AND NOT e AS f, i - row_number() OVER (PARTITION BY entity, (q AND NOT e) ORDER BY i) AS g FROM x)
