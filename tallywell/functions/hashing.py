@@ -22,9 +22,14 @@ def integer_key(x: Column, text: bool = False) -> Column:
 
 
 def cw(x: Column, row: int, salt: int = 0) -> Column:
-    """A hash below p of an integer key that is not negative."""
-    a, b = coefficients(row, salt)
-    return (F.lit(a).cast("long") * (x % P) + F.lit(b).cast("long")) % P
+    """A hash below p of an integer key that is not negative.
+
+    Two members of the family in turn, with the high bits folded into the low ones
+    between them: one alone sends keys in a row to an arithmetic progression.
+    """
+    (a, b), (c, d) = coefficients(row, salt), coefficients(row, salt + 37)
+    h = (F.lit(a).cast("long") * (x % P) + F.lit(b).cast("long")) % P
+    return (F.lit(c).cast("long") * (h.bitwiseXOR(F.shiftright(h, 13)) % P) + F.lit(d).cast("long")) % P
 
 
 def sign(x: Column, row: int, salt: int = 1) -> Column:

@@ -54,13 +54,13 @@ _OVER = {
 
 def over_time(samples: DataFrame, grid: Grid, range_ms: int, how: str, labels: Sequence[str], ts: str = "ts_ms", value: str = "value") -> DataFrame:
     """(t, labels, value) per series: sum, count, min, max, avg, distinct, last or entropy (base 2, of the values) over each window."""
+    if how not in (*_OVER, "entropy"):
+        raise Unsupported(f"{how}_over_time", "not one of " + ", ".join([*_OVER, "entropy"]))
     rows = windowed(samples, grid, range_ms, ts)
     if how == "entropy":
         n = F.col("n").cast("double")
         counts = rows.groupBy("t", *labels, value).agg(F.count(F.lit(1)).alias("n"))
         return counts.groupBy("t", *labels).agg((F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)).alias("value"))
-    if how not in _OVER:
-        raise Unsupported(f"{how}_over_time", "not one of " + ", ".join([*_OVER, "entropy"]))
     return rows.groupBy("t", *labels).agg(_OVER[how](F.col(value), F.col(ts)).alias("value"))
 
 

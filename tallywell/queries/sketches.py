@@ -20,11 +20,15 @@ ROWS, COLS = 3, 256
 
 def cw(x: str, row: str | int, salt: int = 0, rows: int = 8) -> str:
     """row: a number, or an expression over rows, for which a list of coefficients is indexed."""
-    if isinstance(row, int):
-        a, b = coefficients(row, salt)
-        return f"(({a}::BIGINT * (({x}) % {P}) + {b}) % {P})"
-    a, b = ("(CAST([" + ", ".join(str(coefficients(r, salt)[i]) for r in range(rows)) + f"] AS BIGINT[]))[({row}) + 1]" for i in (0, 1))
-    return f"(({a} * (({x}) % {P}) + {b}) % {P})"
+    def one(x: str, salt: int) -> str:
+        if isinstance(row, int):
+            a, b = coefficients(row, salt)
+            return f"(({a}::BIGINT * (({x}) % {P}) + {b}) % {P})"
+        a, b = ("(CAST([" + ", ".join(str(coefficients(r, salt)[i]) for r in range(rows)) + f"] AS BIGINT[]))[({row}) + 1]" for i in (0, 1))
+        return f"(({a} * (({x}) % {P}) + {b}) % {P})"
+
+    h = one(x, salt)
+    return one(f"xor({h}, {h} >> 13)", salt + 37)
 
 
 def sign(x: str, row: str | int) -> str:
