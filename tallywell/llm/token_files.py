@@ -173,7 +173,7 @@ def describe_token_files(spark: SparkSession, path: str, id_col: str = "doc_id")
 
 def read_document(spark: SparkSession, path: str, key) -> list[int] | None:
     """The ids of one document, or None: the shards whose key range holds it (Parquet statistics prune the rest), then the index."""
-    for row in spark.read.parquet(path).filter((F.col("first_id") <= key) & (F.col("last_id") >= key)).drop("keys").toLocalIterator():
+    for row in spark.read.parquet(path).filter((F.col("first_id").isNull() | (F.col("first_id") <= key)) & (F.col("last_id") >= key)).drop("keys").toLocalIterator():
         there, offset, length = find(key_hashes([key]), row.seeds, row.slots)
         if there[0]:
             return np.frombuffer(row.payload, row.dtype)[offset[0] : offset[0] + length[0]].tolist()
