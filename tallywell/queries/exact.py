@@ -32,7 +32,6 @@ def stream_stats_partkey(spark, sf):
     return X.stream_stats(X.frequency(table(spark, sf, "lineitem"), "l_partkey")).withColumn("l2", F.round("l2", 6))
 
 
-_LINEAR = "SELECT {by}q, round(quantile_cont({v}, q), 6) AS value FROM {t}, (SELECT unnest({qs})::DOUBLE AS q) GROUP BY ALL"
 
 
 def _linear(t: str, v: str, by: str = "") -> str:
