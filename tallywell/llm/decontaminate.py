@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import lower_ascii
 from .mixing import WORD
-from .session import BROADCAST_ROWS, save
+from .session import bounded, save
 
 K = 5
 
@@ -30,10 +30,6 @@ def _shingles(words: str) -> Column:
     return F.array_distinct(F.transform(_places(F.col(words)), lambda i: F.array_join(F.slice(F.col(words), i + 1, K), " ")))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(row, id, item, n_shingles, n_found, containment) for each document and test item
     where at least ``threshold`` of the item's distinct five-word shingles are in the document.
@@ -68,11 +64,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, i
     sketches = save(items.select("partition", "set", "least", F.explode(F.slice("hashes", F.lit(1), F.col("m"))).alias("h")), "leak-sketches")
     hashed = docs.select(row, _words(text).alias("w")).select("row", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
     seen = hashed.select("row", F.explode(_shingle_hashes("w")).alias("h"))
-    hits = seen.join(_bounded(sketches), "h").groupBy("row", "set", "least").agg(F.countDistinct("h").alias("hits"))
+    hits = seen.join(bounded(sketches), "h").groupBy("row", "set", "least").agg(F.countDistinct("h").alias("hits"))
     candidates = save(hits.filter("hits >= least").select("row", "set"), "leak-candidates")
-    texts = docs.select(row, docs[id_col].alias("id"), text.alias("text")).join(_bounded(candidates), "row")
+    texts = docs.select(row, docs[id_col].alias("id"), text.alias("text")).join(bounded(candidates), "row")
     pairs = texts.dropDuplicates(["row", "set"]).select("row", "id", "set", _words(F.col("text")).alias("w")).select("row", "id", "set", _shingles("w").alias("has"))
-    pairs = pairs.join(_bounded(items.select("set", "item", "shingles")), "set")
+    pairs = pairs.join(bounded(items.select("set", "item", "shingles"), 20_000), "set")
     found = F.size(F.array_intersect("shingles", "has")).alias("n_found")
     pairs = pairs.select("row", F.col("id").alias(id_col), F.col("item").alias(item_col), F.size("shingles").alias("n_shingles"), found)
     return pairs.withColumn("containment", F.col("n_found") / F.col("n_shingles")).filter(F.col("n_found") >= F.lit(threshold) * F.col("n_shingles") - 1e-9)
@@ -82,4 +78,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, i
     """The rows of ``docs``, with their columns, that hold no test item."""
     bad = save(find_leaks(docs, benchmark, threshold, id_col, text_col).select("row").distinct(), "leak-rows")
     row = F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("-")), F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(_bounded(bad.withColumnRenamed("row", "__row")), row == F.col("__row"), "left_anti")
+    return docs.join(bounded(bad.withColumnRenamed("row", "__row")), row == F.col("__row"), "left_anti")

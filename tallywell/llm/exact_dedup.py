@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import BROADCAST_ROWS, save
+from .session import BROADCAST_ROWS, bounded, save
 
 
 def lower_ascii(text: Column) -> Column:
@@ -13,11 +13,6 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """df, which is a written table, marked for broadcast if it is small; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, digest_all: bool = False) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, sha256.
 
@@ -43,13 +38,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size, prefix = F.octet_length("t").alias("size"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("prefix")
     probe = save(base.select(size, prefix), "dedup-probe")
     sizes = save(probe.groupBy("size").count().filter("count > 1").select("size"), "dedup-size")
-    left = probe.join(_bounded(sizes), "size", "left_semi")
+    left = probe.join(bounded(sizes), "size", "left_semi")
     prefixes = save(left.groupBy("size", "prefix").count().filter("count > 1").select("size", "prefix", F.lit(True).alias("open")), "dedup-prefix")
     rows = base.select("id", size, prefix, *([F.sha2("t", 256).alias("sha256")] if digest_all else ["t"]))
     if digest_all or prefixes.count() <= BROADCAST_ROWS:
-        rows = rows.join(_bounded(prefixes), ["size", "prefix"], "left")
+        rows = rows.join(bounded(prefixes), ["size", "prefix"], "left")
     else:  # the surviving groups don't fit: hash beside the scan what survives by length, and move digests
-        rows = rows.join(_bounded(sizes.withColumn("some", F.lit(True))), "size", "left").select("id", "size", "prefix", F.when(F.col("some"), F.sha2("t", 256)).alias("sha256")).join(prefixes, ["size", "prefix"], "left")
+        rows = rows.join(bounded(sizes.withColumn("some", F.lit(True))), "size", "left").select("id", "size", "prefix", F.when(F.col("some"), F.sha2("t", 256)).alias("sha256")).join(prefixes, ["size", "prefix"], "left")
     digest = "sha256" if "sha256" in rows.columns else F.when(F.col("open"), F.sha2("t", 256)).alias("sha256")
     rows = save(rows.select("id", digest, F.coalesce("open", F.lit(False)).alias("open")), "dedup-rows")
     groups = rows.filter("open").groupBy(F.col("sha256").alias("key")).agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .session import save, settle
+from .session import bounded, save, settle
 from .words import Words, blocks, mix, runs
 
 _TOP = np.uint64(1 << 63)
+_CLASS = 1.34  # sizes of linked sets differ by a factor of 4 / 3 at most
 
 
 class Tree:
@@ -116,12 +118,52 @@ class Sets:
                 self.values = [np.sort(v) for v in np.split(flat, ends[:-1])]
 
 
+def signature(v: np.ndarray) -> bytes:
+    """A bitmap of a set's hashes, of at least two bits for each and a power of two."""
+    bits = np.zeros(1 << max(6, int(2 * len(v) - 1).bit_length()), np.uint8)
+    bits[(v & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
+    """Whether each set may link with another one of them, by what their bitmaps allow.
+
+    A bit that only x has stands for an n-gram that y lacks, so the overlap is at
+    most |x| less the number of such bits, and the same the other way round.
+    """
+    order = np.argsort(sizes, kind="stable")
+    n, width = sizes[order], min(map(len, signatures))
+    rows = np.empty((len(n), width // 8), np.uint64)
+    for i, k in enumerate(order):  # longer bitmaps are folded to the shortest
+        rows[i] = np.bitwise_or.reduce(np.frombuffer(signatures[k], np.uint64).reshape(-1, width // 8), 0)
+    out = np.zeros(len(n), bool)
+    ends = np.searchsorted(n, n * 4 // 3, "right")
+    for i in range(len(n)):
+        y = rows[i + 1 : ends[i]]
+        if len(y):
+            most = np.minimum(n[i] - np.bitwise_count(rows[i] & ~y).sum(1, dtype=np.int64), n[i + 1 : ends[i]] - np.bitwise_count(~rows[i] & y).sum(1, dtype=np.int64))
+            hit = 7 * most >= 3 * (n[i] + n[i + 1 : ends[i]])
+            out[i + 1 : ends[i]] |= hit
+            out[i] |= hit.any()
+    back = np.zeros(len(n), bool)
+    back[order] = out
+    return back
+
+
+def _deal(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """rows(keys, name, n, ...) as blocks: with part, low and high. A key with more than ``limit`` n-grams is split into
+    parts by name, and each pair of parts is a block, so that any two rows of a key meet in one of bounded size."""
+    parts = rows.groupBy(*keys).agg(F.ceil(F.sum("n") / limit).cast("int").alias("parts"))
+    dealt = rows.join(parts, keys).withColumn("part", F.pmod("name", "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("parts", "other")
+
+
 def _prefix(v: np.ndarray) -> np.ndarray:
     """A set that links with v shares an n-gram of this prefix, which is in its own prefix too."""
     return v[: len(v) - (3 * len(v) + 3) // 4 + 1] if len(v) else v
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, max_frequent: int = 100_000, block_grams: int = 400_000) -> DataFrame:
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, max_frequent: int = 100_000, max_listed: int = 16, block_grams: int = 400_000) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id.
 
     A document's set is its distinct ``k``-word shingles, A-Z lower-cased; with
@@ -134,10 +176,19 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        go last in the global order; it decides how much work there is, and
        never what links. Equal sets are one from here on.
     2. Prefixes: linked sets share a shingle within the first quarter of each in
-       the global order. By shingle, partial aggregation finds the least set that
-       has it there, its pivot; shingles of one set only end.
-    3. A set joins the block of each of its pivots. Two linked sets share a prefix
-       shingle, hence a block. Only these sets' texts move.
+       the global order. Partial aggregation tells the shingles that more than
+       one set has there; only these are looked at again.
+    3. Blocks. The pairs of sets of a shingle with at most ``max_listed`` sets are
+       counted: with m and n shingles, and so a = ceil(3 (m + n) / 7) common ones
+       if they link, two sets share at least a + 1 - ceil(3 max(m, n) / 4) in
+       their prefixes. Pairs short of that go; others get the least pivot (first
+       set) of their shingles as block. A shingle in more sets is split by size
+       class first: a set is in its own and the next, so that two sets that may
+       link, whose sizes differ by a third at most, meet in the class of the
+       larger. Where a class still has more sets, these meet at its pivot as
+       bitmaps, two to four bits for a shingle, whose bound on the overlap lets few
+       pass that don't link; all pairs that share such a shingle go that way. Only
+       the texts of sets in blocks move.
     4. In a block, a prefix tree is searched and grown by sets in ascending size.
        Sets already in one component are not compared again, so a block of
        n near copies costs about n verifications, and yields at most n - 1 links.
@@ -163,36 +214,63 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             values, times = np.unique(np.concatenate(s.values), return_counts=True)
             often = times >= 4
             lists = [pa.array([x[often].astype(np.int64)] + [[]] * (b.num_rows - 1), pa.list_(pa.int64())) for x in (values, times)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(s.sizes), pa.array(s.names), *lists], named_schema.names)
+            marks = pa.array([signature(v) for v in s.values], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(s.sizes), pa.array(s.names), marks, *lists], named_schema.names)
 
     many = T.ArrayType(T.LongType())
-    named_schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind), *[T.StructField(c, t) for c, t in (("n", T.LongType()), ("name", T.LongType()), ("often", many), ("times", many))]])
+    named_schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind), *[T.StructField(c, t) for c, t in (("n", T.LongType()), ("name", T.LongType()), ("marks", T.BinaryType()), ("often", many), ("times", many))]])
     named = save(rows.mapInArrow(describe, named_schema), "join-sets")
     often = named.filter(F.size("often") > 0).select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy(F.col("x.often").alias("h")).agg(F.sum("x.times").alias("n")).orderBy(F.desc("n"), "h").limit(max_frequent).toArrow()
     hashes = often.column("h").to_numpy().astype(np.uint64)
     order = np.argsort(hashes)
     frequent = spark.sparkContext.broadcast((hashes[order], (len(hashes) - order).astype(np.uint64)))
+    marks = named.filter("n > 0").groupBy("name").agg(F.first("marks").alias("marks"))
     named = named.select("key", "id", "n", "name")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             s = Sets(b.column("text"), k, *frequent.value)
             heads = [_prefix(v) for v in s.values]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(s.names, [len(v) for v in heads]))], ["gram", "name"])
+            sizes = [len(v) for v in heads]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(s.names, sizes)), pa.array(np.repeat(s.sizes, sizes))], ["gram", "name", "n"])
 
-    grams = rows.mapInArrow(prefixes, "gram long, name long")
-    pivots = grams.groupBy("gram").agg(F.min("name").alias("pivot"), F.max("name").alias("last")).filter("pivot < last").select("gram", "pivot")
-    pivots = save(pivots, "join-pivots")
+    grams = rows.mapInArrow(prefixes, "gram long, name long, n long")
+    rare = F.count(F.lit(1)) <= max_listed  # rows, so copies of a set count too: then there are fewer sets than that, and never more
+    common = grams.groupBy("gram").agg(F.min("name").alias("a"), F.max("name").alias("b"), rare.alias("few")).filter("a < b").select("gram", "few")
+    common = save(common, "join-grams")
+    settle(spark)
+    listed = grams.join(common.filter("few").select("gram"), "gram").groupBy("gram").agg(F.sort_array(F.collect_set(F.struct("name", "n"))).alias("s"))
+    both = """flatten(transform(sequence(0, size(s) - 2), i -> transform(slice(s, i + 2, size(s)), y -> struct(s[i] AS x, y AS y))))"""
+    fit = "4 * least(p.x.n, p.y.n) >= 3 * greatest(p.x.n, p.y.n)"
+    pair = [F.col("p.x.name").alias("x"), F.col("p.y.name").alias("y"), F.col("p.x.n").alias("m"), F.col("p.y.n").alias("n")]
+    pairs = save(listed.select(F.expr("s[0].name").alias("pivot"), F.expr(f"explode(filter({both}, p -> {fit}))").alias("p")).select("pivot", *pair), "join-pairs")
     settle(spark)
-    member = save(grams.join(pivots, "gram").select("name", "pivot").distinct(), "join-members")
+    often = bounded(common.filter("NOT few").select("gram"))
+    size_class = F.floor(F.log("n") / math.log(_CLASS)).cast("int")
+    posted = save(grams.join(often, "gram").distinct(), "join-postings")
+    settle(spark)
+    posted = posted.withColumn("own", size_class).withColumn("class", F.explode(F.array("own", F.col("own") + 1))).withColumn("own", F.col("own") == F.col("class"))
+    groups = posted.groupBy("gram", "class").agg(F.count(F.lit(1)).alias("sets"), F.max("own").alias("any"), F.min("name").alias("pivot")).filter("sets > 1 AND any")
+    posted = save(posted.join(groups.drop("any"), ["gram", "class"]), "join-groups")
+    more = posted.filter(F.col("sets") <= max_listed).groupBy("gram", "class", "pivot").agg(F.sort_array(F.collect_list(F.struct("name", "n", "own"))).alias("s"))
+    more = more.select("pivot", F.expr(f"explode(filter({both}, p -> (p.x.own OR p.y.own) AND {fit}))").alias("p")).select("pivot", *pair)
+    pairs = pairs.union(more).groupBy("x", "y", "m", "n").agg(F.count(F.lit(1)).alias("shared"), F.min("pivot").alias("pivot"))
+    pairs = pairs.filter("shared >= (3 * (m + n) + 6) div 7 + 1 - (3 * greatest(m, n) + 3) div 4").select(F.col("x").alias("name"), F.col("y").alias("other"), "pivot")
+    wide = posted.filter(F.col("sets") > max_listed).select("pivot", "class", "name", "n").distinct()
+    wide = _deal(wide, ["pivot", "class"], block_grams * 10).join(marks, "name")
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, held in _blocks(batches, ("pivot", "class", "low", "high"), ("name", "n", "marks")):
+            names = np.array([x[0] for x in held])[may_link(np.array([x[1] for x in held]), [x[2] for x in held])]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), place[0]), pa.int64())], ["name", "pivot"])
+
+    wide = wide.repartition("pivot", "class", "low", "high").sortWithinPartitions("pivot", "class", "low", "high").mapInArrow(narrow, "name long, pivot long")
+    member = save(pairs.select(F.explode(F.array("name", "other")).alias("name"), "pivot").union(wide).distinct(), "join-members")
     settle(spark)
     shown = named.groupBy("name").agg(F.min("key").alias("key"), F.first("n").alias("n"))
-    member = member.join(shown, "name")
-    parts = member.groupBy("pivot").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts"))
-    of_key = save(member.join(parts, "pivot").groupBy("key").agg(F.collect_list(F.struct("pivot", "parts")).alias("blocks"), F.first("name").alias("name")), "join-blocks")
-    dealt = rows.select("key", "text").join(of_key, "key").select("text", "name", F.explode("blocks").alias("b")).select("text", "name", "b.pivot", "b.parts", F.pmod("name", "b.parts").cast("int").alias("part"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("pivot", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "name", "text")
+    dealt = save(_deal(member.join(shown, "name"), ["pivot"], block_grams).select("key", "pivot", "low", "high", "part"), "join-blocks")
+    settle(spark)
+    dealt = rows.select("key", "text").join(bounded(dealt), "key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -220,10 +298,28 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, less all but the one with the least id of each component.
 
-    Rows that repeat id and text are one. Rows of components without any id stay.
+    Rows that repeat id and text are one; only rows whose id repeats are shuffled
+    to find them. Rows of components without any id stay.
     """
-    kept = join_components(docs, id_col, text_col).filter(F.col("component_id").isNull() | F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, text_col])
+    found = join_components(docs, id_col, text_col).filter(F.col("component_id").isNull() | F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = save(found.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "join-kept")
+    of = lambda ids: docs.join(bounded(ids.select("__id")), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    again = kept.filter("__rows > 1")
+    return of(kept) if again.isEmpty() else of(kept.filter("__rows = 1")).union(of(again).dropDuplicates([id_col, text_col]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) for each run of equal keys in sorted batches."""
+    at, held = None, []
+    for b in batches:
+        for place, row in zip(zip(*[b.column(c).to_pylist() for c in keys]), zip(*[b.column(c).to_pylist() for c in columns])):
+            if place != at and held:
+                yield at, held
+                held = []
+            at = place
+            held.append(row)
+    if held:
+        yield at, held
 
 
 def _link(held: list[tuple[int, int, np.ndarray]], across: bool) -> pa.RecordBatch:
