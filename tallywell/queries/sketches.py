@@ -192,7 +192,7 @@ def hll_ertl(spark, sf):
     return S.hll_ertl(S.registers(table(spark, sf, "orders"), integer_key(F.col("o_custkey")), 9), 9).withColumn("estimate", F.round("estimate", 6))
 
 
-@query(f"SELECT round(255 * {P}.0::DOUBLE / max(h), 6) AS estimate FROM (SELECT DISTINCT {cw('o_custkey', 0, 30)} AS h FROM orders ORDER BY h LIMIT 256)")
+@query(f"SELECT CASE WHEN count(*) < 256 THEN count(*)::DOUBLE ELSE round(255 * {P}.0::DOUBLE / max(h), 6) END AS estimate FROM (SELECT DISTINCT {cw('o_custkey', 0, 30)} AS h FROM orders ORDER BY h LIMIT 256)")
 def kmv_estimate(spark, sf):
     return S.kmv_estimate(S.least_hashes(table(spark, sf, "orders"), integer_key(F.col("o_custkey")), 256), 256).withColumn("estimate", F.round("estimate", 6))
 
