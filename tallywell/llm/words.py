@@ -91,7 +91,7 @@ def runs(h: np.ndarray, k: int, base: int = 0xD1342543DE82EF95) -> np.ndarray:
     return mix(out)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows into pieces of about ``limit`` bytes of text (a longer text
     is a piece of its own), so that the work arrays of a task stay small."""
     for batch in batches:
