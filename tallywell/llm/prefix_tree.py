@@ -224,8 +224,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashes = often.column("h").to_numpy().astype(np.uint64)
     order = np.argsort(hashes)
     frequent = spark.sparkContext.broadcast((hashes[order], (len(hashes) - order).astype(np.uint64)))
-    marks = named.filter("n > 0").groupBy("name").agg(F.first("marks").alias("marks"))
-    named = named.select("key", "id", "n", "name")
+    marks, named = named.select("name", "marks"), named.select("key", "id", "n", "name")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
@@ -257,7 +256,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.union(more).groupBy("x", "y", "m", "n").agg(F.count(F.lit(1)).alias("shared"), F.min("pivot").alias("pivot"))
     pairs = pairs.filter("shared >= (3 * (m + n) + 6) div 7 + 1 - (3 * greatest(m, n) + 3) div 4").select(F.col("x").alias("name"), F.col("y").alias("other"), "pivot")
     wide = posted.filter(F.col("sets") > max_listed).select("pivot", "class", "name", "n").distinct()
-    wide = _deal(wide, ["pivot", "class"], block_grams * 10).join(marks, "name")
+    wide = save(_deal(wide, ["pivot", "class"], block_grams * 10), "join-wide")
+    marks = marks.join(bounded(save(wide.select("name").distinct(), "join-wide-names")), "name", "left_semi").groupBy("name").agg(F.first("marks").alias("marks"))
+    wide = wide.join(marks, "name")
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, held in _blocks(batches, ("pivot", "class", "low", "high"), ("name", "n", "marks")):
