@@ -65,7 +65,8 @@ def scan_secrets(versions: DataFrame, ledger: str | None = None, path_cols: tupl
 
     Null text counts as empty and has no findings. Rows with null or repeated
     paths are rows like any other: a representative is the path columns and the
-    blob together. An empty table gives an empty result.
+    blob together, and where a row repeats both, each of its repeats is scanned and
+    appended. An empty table gives an empty result.
     """
     spark = versions.sparkSession
     ledger = ledger or fresh_path(spark, "ledger")
@@ -82,7 +83,7 @@ def scan_secrets(versions: DataFrame, ledger: str | None = None, path_cols: tupl
     todo = index.groupBy("blob").agg(F.min("path").alias("path")).join(known.select("blob"), "blob", "left_anti")
     rows = versions.select(path.alias("path"), text.alias("text")).join(todo, "path").select("blob", "path", "text")
     # a path may have several versions: only the one with the blob's content is scanned under its name
-    rows = rows.filter(F.sha2("text", 256) == F.col("blob")).dropDuplicates(["path", "blob"]).drop("path")
+    rows = rows.filter(F.sha2("text", 256) == F.col("blob")).drop("path")
     rows.mapInArrow(lambda it: _scan(it, rule_version), LEDGER).write.mode("append").parquet(ledger)
     found = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rule_version") == rule_version).filter(F.size("kinds") > 0).dropDuplicates(["blob"])
     empty = lambda t: F.array().cast(t)
