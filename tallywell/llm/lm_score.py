@@ -6,9 +6,10 @@ the token's class and then the token within its class. A document's score is the
 sum of the log-probabilities of all its tokens.
 
 The network is trained here, in numpy, on the documents: in each round every
-task of one Spark job starts from the same weights, takes Adagrad steps over the
-positions of its own rows, and its weights are averaged with all others', by the
-number of positions, in one aggregation.
+task of one Spark job starts from the same weights, takes Adagrad steps over that
+round's positions of its own rows, and its weights are averaged with all others',
+by the number of positions, in one aggregation. The rounds deal out all positions
+of all documents: each is a target in one of them.
 """
 
 from __future__ import annotations
@@ -71,6 +72,14 @@ def contexts(w: Words, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def round_of(w: Words, h: np.ndarray, rounds: int) -> np.ndarray:
+    """For each token the round that trains on it: drawn by a hash of its document's words and its place, so that it is the same in every job."""
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)]
+    doc = sums[w.first + w.count] - sums[w.first]
+    place = np.arange(len(h)) - np.repeat(w.first, w.count)
+    return (mix(np.repeat(doc, w.count) + mix(place.astype(np.uint64) + np.uint64(1))) % np.uint64(rounds)).astype(np.int64)
+
+
 def _forward(p: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = p["emb"][ctx].reshape(len(ctx), -1)
     h = np.tanh(x @ p["w"] + p["b"])
@@ -130,14 +139,14 @@ def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -
         p[k] -= rate * g / (np.sqrt(g2[k]) + 1e-8)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, every: int = 8, batch: int = 2048, rate: float = 0.1) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, batch: int = 2048, rate: float = 0.1) -> DataFrame:
     """One row for each row of ``docs``: id, n_tokens, log_prob (summed), mean_log_prob (null without tokens).
 
     A token is a word ([^\\x20\\x09-\\x0D]+); the VOCAB - SHARED most frequent
     words of the corpus have ids of their own, all others share SHARED ids by
-    hash, so the network's size is fixed. Training sees every ``every``-th
-    position of every document, in ``rounds`` passes; scoring sees every token
-    of every document.
+    hash, so the network's size is fixed. Training sees every position of every
+    document once, dealt over ``rounds`` passes; scoring sees every token of
+    every document.
 
     Gathered from the corpus: word counts of every batch of rows (words that
     occur twice in it, so that the counts shuffled are few beside the text), and
@@ -169,9 +178,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             seen, rng = 0, np.random.default_rng(turn)
             for b in blocks(batches):
                 w = Words(b.column("text"))
-                ids = words.value.ids(w.hashes())
-                place = np.arange(len(ids)) - np.repeat(w.first, w.count)
-                own = np.flatnonzero((place + turn) % every == 0)
+                h = w.hashes()
+                ids = words.value.ids(h)
+                own = np.flatnonzero(round_of(w, h, rounds) == turn)
                 ctx, t = contexts(w, ids)[own], ids[own]
                 order = rng.permutation(len(t))
                 for s in range(0, len(t), batch):
