@@ -2,8 +2,10 @@
 
 Each token is predicted from the ``R`` tokens on either side, itself left out:
 their embeddings, side by side, feed a tanh layer, and a two-level softmax gives
-the token's class and then the token within its class. A document's score is the
-sum of the log-probabilities of all its tokens.
+the token's class and then the token within its class. Words without an id of
+their own share ids, and such a word's probability is that of its id times its
+smoothed share of the id's count. A document's score is the sum of the
+log-probabilities of all its tokens.
 
 The network is trained here, in numpy, on the documents: in each round every
 task of one Spark job starts from the same weights, takes Adagrad steps over that
@@ -18,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .session import save, settle
 from .words import Words, blocks, mix
 
 R = 2  # tokens seen on each side
@@ -31,6 +35,9 @@ SHARED = 512  # ids that the words without an id of their own share by hash
 DIM, HIDDEN = 16, 32
 _SHAPES = {"emb": (VOCAB + 1, DIM), "w": (2 * R * DIM, HIDDEN), "b": (HIDDEN,), "cw": (HIDDEN, CLASSES), "cb": (CLASSES,), "tw": (CLASSES, HIDDEN, WITHIN), "tb": (CLASSES, WITHIN)}
 _STEP = 1 << 15
+SMOOTH = 0.5  # added to the count of each word of a shared id, and once for words not seen
+_CHUNK = 16 << 20  # bytes of text whose shared words are looked up together
+_CHUNK_ROWS = 1 << 16
 
 
 class Vocabulary:
@@ -48,6 +55,62 @@ class Vocabulary:
         return np.where(self.sorted[at] == h, SHARED + self.order[at], shared)
 
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n): the hash of every word of ``text``, and how often it occurs, written to the shared folder."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            h, n = np.unique(Words(b.column("text")).hashes(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    return save(texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def log_shares(counts: DataFrame, words: Broadcast) -> DataFrame:
+    """(word, log_share) for each word of ``counts`` that shares an id."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for b in batches:
+            h, n = b.column("word").to_numpy().astype(np.int64).view(np.uint64), b.column("n").to_numpy()
+            ids = words.value.ids(h)
+            own = ids < SHARED
+            yield ids[own], h[own], n[own]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, kinds = np.zeros(SHARED), np.zeros(SHARED)
+        for ids, _, k in shared(batches):
+            n += np.bincount(ids, k, SHARED)
+            kinds += np.bincount(ids, minlength=SHARED)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHARED, dtype=np.int32)), pa.array(n), pa.array(kinds)], ["id", "n", "kinds"])
+
+    sums = counts.mapInArrow(add, "id int, n double, kinds double").groupBy("id").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
+    whole = np.ones(SHARED)
+    whole[sums.column("id").to_numpy()] = sums.column("n").to_numpy() + SMOOTH * (sums.column("kinds").to_numpy() + 1)
+    whole = np.log(whole)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, h, n in shared(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.log(n + SMOOTH) - whole[ids])], ["word", "log_share"])
+
+    return counts.mapInArrow(share, "word long, log_share double")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Blocks gathered to about _CHUNK bytes of text and at most _CHUNK_ROWS rows."""
+    some, size, rows = [], 0, 0
+    for b in blocks(batches):
+        for a in range(0, b.num_rows, _CHUNK_ROWS):
+            part = b.slice(a, _CHUNK_ROWS)
+            n = pa.compute.sum(pa.compute.binary_length(part.column("text"))).as_py() or 0
+            if some and (size + n > _CHUNK or rows + part.num_rows > _CHUNK_ROWS):
+                yield some
+                some, size, rows = [], 0, 0
+            some.append(part)
+            size, rows = size + n, rows + part.num_rows
+    if some:
+        yield some
+
+
 def start_weights(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     return {k: (rng.normal(0, 0.1 if len(s) > 1 and not k.endswith("b") else 0, s)).astype(np.float32) for k, s in _SHAPES.items()}
@@ -144,15 +207,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A token is a word ([^\\x20\\x09-\\x0D]+); the VOCAB - SHARED most frequent
     words of the corpus have ids of their own, all others share SHARED ids by
-    hash, so the network's size is fixed. Training sees every position of every
-    document once, dealt over ``rounds`` passes; scoring sees every token of
-    every document.
-
-    Gathered from the corpus: word counts of every batch of rows (words that
-    occur twice in it, so that the counts shuffled are few beside the text), and
-    the weights of every task, summed by weight index. Both grow with the input,
-    and what the driver receives of them, VOCAB words and one set of weights, does
-    not. Nothing else is shuffled; a lost executor costs its tasks of a round.
+    hash, so the network's size is fixed. A word's share of such an id is
+    (n + SMOOTH) / (N + SMOOTH * (D + 1)), of n occurrences of the word, N of all
+    D words of the id. Training sees every position of every document once, dealt
+    over ``rounds`` passes; scoring sees every token of every document.
+
+    Gathered from the corpus: the counts of all words, which are written to the
+    shared folder, and the weights of every task, summed by weight index. Both
+    grow with the input, and what the driver receives of them, VOCAB words, SHARED
+    sums and one set of weights, does not. Shares reach documents by a join on the
+    word's hash: the words of a chunk of documents move once each, with the places
+    of their documents in it, and come back with their shares. The scores without
+    shares and these words are written to the shared folder, so a lost executor
+    costs its tasks of a step.
 
     Null and empty texts have no tokens: log_prob 0. Null ids, repeated rows and
     other columns change nothing. An empty table gives an empty result.
@@ -160,13 +227,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            h, n = np.unique(Words(b.column("text")).hashes(), return_counts=True)
-            h, n = h[n > 1], n[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
-
-    top = rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCAB - SHARED).toArrow()
+    counts = word_counts(rows.select("text"))
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - SHARED).toArrow()
     words = spark.sparkContext.broadcast(Vocabulary(top.column("word").to_numpy().astype(np.int64).view(np.uint64)))
     weights = start_weights()
     for turn in range(rounds):
@@ -199,12 +261,50 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, limit=1 << 20):
-            w = Words(b.column("text"))
-            ids = words.value.ids(w.hashes())
-            lp = log_probs(final.value, contexts(w, ids), ids)
-            total = np.bincount(w.text_of(), lp, b.num_rows) if len(ids) else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(w.count.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(w.count, 1), mask=w.count == 0)], [id_col, "n_tokens", "log_prob", "mean_log_prob"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
-    return rows.mapInArrow(score, schema)
+        """For each chunk its rows, without the shares of words, and then each of its shared words with the places of the rows it is in."""
+        task = TaskContext.get().partitionId() << 32
+        for number, chunk in enumerate(chunks(batches)):
+            found, at, done = [], [], 0
+            for b in chunk:
+                w = Words(b.column("text"))
+                h = w.hashes()
+                ids = words.value.ids(h)
+                lp = log_probs(final.value, contexts(w, ids), ids)
+                total = np.bincount(w.text_of(), lp, b.num_rows) if len(ids) else np.zeros(b.num_rows)
+                own = ids < SHARED
+                found.append(h[own])
+                at.append((w.text_of()[own] + done).astype(np.uint16))
+                places = np.arange(done, done + b.num_rows, dtype=np.int32)
+                done += b.num_rows
+                none = [pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, task + number)), pa.array(places), b.column("id"), pa.array(w.count.astype(np.int64)), pa.array(total), *none], names)
+            h, at = np.concatenate(found), np.concatenate(at)
+            if not len(h):
+                continue
+            order = np.argsort(h, kind="stable")
+            kinds, first = np.unique(h[order], return_index=True)
+            ends = pa.array((np.r_[first, len(h)] * 2).astype(np.int32))
+            places = pa.Array.from_buffers(pa.binary(), len(kinds), [None, ends.buffers()[1], pa.py_buffer(at[order].astype("<u2").tobytes())])
+            for s in range(0, len(kinds), 1 << 16):
+                k = len(kinds[s : s + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, task + number)), pa.nulls(k, pa.int32()), pa.nulls(k, chunk[0].column("id").type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(kinds[s : s + k].view(np.int64)), places.slice(s, k)], names)
+
+    def total(base: pa.Table, shares: pa.Table) -> pa.Table:
+        lp = base.column("log_prob").to_numpy().copy()
+        if shares.num_rows:
+            at = shares.column("places").to_pylist()
+            n = np.fromiter(map(len, at), np.int64, len(at)) // 2
+            extra = np.bincount(np.frombuffer(b"".join(at), "<u2"), np.repeat(shares.column("log_share").to_numpy(), n), _CHUNK_ROWS)
+            lp += extra[base.column("row").to_numpy()]
+        count = base.column("n_tokens").to_numpy()
+        return pa.table([base.column("id"), base.column("n_tokens"), pa.array(lp), pa.array(lp / np.maximum(count, 1), mask=count == 0)], [id_col, "n_tokens", "log_prob", "mean_log_prob"])
+
+    id_spark = docs.schema[id_col].dataType
+    fields = {"chunk": T.LongType(), "row": T.IntegerType(), "id": id_spark, "n_tokens": T.LongType(), "log_prob": T.DoubleType(), "word": T.LongType(), "places": T.BinaryType()}
+    names = list(fields)
+    parts = save(rows.mapInArrow(score, T.StructType([T.StructField(k, t) for k, t in fields.items()])), "lm-parts")
+    settle(spark)
+    shares = parts.filter("word IS NOT NULL").select("chunk", "word", "places").join(log_shares(counts, words), "word").select(F.col("chunk").alias("of"), "places", "log_share")
+    base = parts.filter("word IS NULL").select("chunk", "row", "id", "n_tokens", "log_prob")
+    schema = T.StructType([T.StructField(id_col, id_spark), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
+    return base.groupBy("chunk").cogroup(shares.groupBy("of")).applyInArrow(total, schema)

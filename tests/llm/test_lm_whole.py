@@ -1,5 +1,7 @@
 """The language model's score takes in the whole corpus: every position is trained on once."""
 
+import collections
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,3 +23,36 @@ def test_every_column_of_periodic_text_is_learned(spark):
     df = spark.createDataFrame([(i, text) for i in range(150)], "doc_id long, text string").repartition(3)
     worst = min(r.mean_log_prob for r in lm_score.score_documents(df).collect())
     assert worst > -1, worst
+
+
+def test_counts_do_not_depend_on_how_rows_are_split(spark):
+    texts = [f"once{i} twice{i // 2} common" for i in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {}
+    for t in texts:
+        w = Words(pa.array([t]))
+        for h in w.hashes().view(np.int64).tolist():
+            want[h] = want.get(h, 0) + 1
+    for parts in (1, 40):
+        assert {r.word: r.n for r in lm_score.word_counts(df.repartition(parts)).collect()} == want
+
+
+def test_shared_words_score_by_their_share(spark):
+    """Without training, a document's score is its ids' log-probabilities, and for each word that shares an id its log share."""
+    own = lm_score.VOCAB - lm_score.SHARED
+    texts = [" ".join(f"t{i}" for i in range(own))] * 9 + ["t1 some rare words", "some t2 more rare rare", "", None, " ".join(f"w{i}" for i in range(5000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_score.score_documents(df, rounds=0).collect()}
+    w = Words(pa.array(texts))
+    h = w.hashes()
+    n = collections.Counter(h.tolist())
+    top = sorted(n, key=lambda x: (-n[x], int(np.uint64(x).view(np.int64))))[:own]
+    vocabulary = lm_score.Vocabulary(np.array(top, np.uint64))
+    ids = vocabulary.ids(h)
+    lp = lm_score.log_probs(lm_score.start_weights(), lm_score.contexts(w, ids), ids)
+    whole, kinds = collections.Counter(ids.tolist()), collections.Counter(vocabulary.ids(np.unique(h)).tolist())
+    s = lm_score.SMOOTH
+    share = [np.log((n[x] + s) / (whole[i] + s * (kinds[i] + 1))) if i < lm_score.SHARED else 0.0 for x, i in zip(h.tolist(), ids.tolist())]
+    want = np.bincount(w.text_of(), lp + share, len(texts))
+    assert set(got) == set(range(len(texts))) and sum(x < 0 for x in share) > 5000
+    assert all(abs(got[i].log_prob - want[i]) < 1e-5 * max(1, abs(want[i])) for i in got)
