@@ -22,6 +22,11 @@ def freq_double_bits(spark, sf):
     return X.frequency(table(spark, sf, "lineitem").filter("l_extendedprice < 2000"), "l_extendedprice")
 
 
+@query("SELECT l_extendedprice::VARCHAR AS key, count(*) AS n FROM lineitem GROUP BY 1")
+def freq_double_bits_whole(spark, sf):
+    return X.frequency(table(spark, sf, "lineitem"), "l_extendedprice")
+
+
 @query("SELECT count(DISTINCT o_custkey) AS distinct_values FROM orders")
 def card_custkey(spark, sf):
     return X.cardinality(table(spark, sf, "orders"), "o_custkey")
