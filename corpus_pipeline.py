@@ -46,7 +46,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("token_files", token_files)]
 
-#: Neither scores nor token ids can be had from SQL; tests/llm holds every stage against a brute-force version.
+#: Neither scores nor token ids can be had from SQL; tests/llm holds the operators against brute-force versions, toxicity's scores excepted.
 ORACLE_SQL = None
 
 
