@@ -20,16 +20,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+_WINDOW = 1 << 22  # bytes that are looked at together, so that work arrays don't grow with a text
+_powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept and grown in the worker."""
-    have = _powers.get(str(base))
+    have = _powers.get(base)
     if have is None or len(have) < n:
         steps = np.full(max(n, 1 << 20), base, np.uint64)
         steps[0] = 1
-        have = _powers[str(base)] = np.cumprod(steps, dtype=np.uint64)
+        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
     return have[:n]
 
 
@@ -43,6 +44,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts.
 
+    Beside the text itself, about four bytes for each of its bytes are held.
+
     start, end: byte positions in ``data``; count, first: by text, the number
     of its words and the index of its first one.
     """
@@ -56,24 +59,46 @@ class Words:
         data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None and len(texts) else np.zeros(0, np.uint8)
         self.offsets = off = off - off[0]
         self.data = _LOWER[data] if lower else data
-        inside = ~_SPACE[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[off] = True
-        before = np.r_[False, inside[:-1]] if len(data) else inside
-        after = np.r_[inside[1:], False] if len(data) else inside
-        self.start = np.flatnonzero(inside & (~before | edge[:-1]))
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        start, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(data), _WINDOW):
+            b = min(a + _WINDOW, len(data))
+            inside = np.zeros(b - a + 2, bool)  # with the byte before and the one after, where there are
+            first, last = max(a - 1, 0), min(b + 1, len(data))
+            inside[first - a + 1 : last - a + 1] = ~_SPACE[data[first:last]]
+            edge = np.zeros(b - a + 1, bool)
+            edge[off[np.searchsorted(off, a) : np.searchsorted(off, b, "right")] - a] = True
+            start.append(np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1])) + a)
+            end.append(np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + a + 1)
+        self.start, self.end = np.concatenate(start), np.concatenate(end)
         self.first = np.searchsorted(self.start, off)
         self.count = np.diff(self.first)
         self.first = self.first[:-1]
 
     def hashes(self) -> np.ndarray:
         """A hash of each word."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * _power(_INVERSE, n + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            at = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, at + _WINDOW, "right")))
+            n = int(self.end[j - 1] - at)
+            if n > _WINDOW:  # one word
+                out[i] = self._long(at, n)
+            else:
+                sums = np.zeros(n + 1, np.uint64)
+                np.cumsum((self.data[at : at + n].astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
+                a, b = self.start[i:j] - at, self.end[i:j] - at
+                out[i:j] = (sums[b] - sums[a]) * _power(_INVERSE, n + 1)[a]
+            i = j
+        return mix(out + (self.end - self.start).astype(np.uint64))
+
+    def _long(self, at: int, n: int) -> np.uint64:
+        """The polynomial of a word longer than a window, piece by piece."""
+        total = 0
+        for a in range(0, n, _WINDOW):
+            part = self.data[at + a : at + min(a + _WINDOW, n)]
+            total += int(((part.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(part))).sum(dtype=np.uint64)) * pow(_BASE, a, 1 << 64)
+        return np.uint64(total % (1 << 64))
 
     def text_of(self) -> np.ndarray:
         """The index of the text that each word is in."""

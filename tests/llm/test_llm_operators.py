@@ -265,7 +265,7 @@ def test_toxicity(spark, none):
         r.shuffle(w)
         rows.append((i, " ".join(w), 1))
         labels.append((i, int(bad)))
-    rows += [(5000, None, 1), (5001, "", 1), (None, "zuxoq zuxoab", 1)]
+    rows += [(5000, None, 1), (5001, "", 1), (None, "zuxoq zuxoab", 1), (5002, "x" * 50_000, 1), (5003, " ".join(vocab) * 40, 1)]
     labels += [(5000, None), (None, 1), (5, 0)]
     docs, known = spark.createDataFrame(rows, "doc_id long, text string, label int"), spark.createDataFrame(labels, "doc_id long, toxic int")
     scorer = toxicity.train(docs, known)
@@ -279,11 +279,74 @@ def test_toxicity(spark, none):
     flipped = spark.createDataFrame([(i, 1 - t if i is not None and t is not None and zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, t in labels], "doc_id long, toxic int")
     same = toxicity.score_toxicity(docs, toxicity.train(docs, flipped)).collect()
     assert {x.doc_id: round(x.score, 6) for x in same} == {x.doc_id: round(x.score, 6) for x in got}  # labels of the held-out fold play no part
+    joined = toxicity.train(docs, known, max_entries=0)
+    assert joined.held is None
+    assert {x.doc_id: round(x.score, 6) for x in toxicity.score_toxicity(docs, joined).collect()} == {x.doc_id: round(x.score, 6) for x in got}
+    assert sorted(map(str, toxicity.drop_toxic(docs, joined).collect())) == sorted(map(str, kept.collect()))
+    again = docs.withColumn("key", F.lit("k")).withColumn("s0", F.lit(1.0)).union(docs.limit(5).withColumn("key", F.lit("k")).withColumn("s0", F.lit(1.0)))
+    assert toxicity.drop_toxic(again, scorer).columns == again.columns and toxicity.score_toxicity(again, scorer).count() == len(rows) + 5
     one = toxicity.train(docs, known.filter("toxic = 0"))
     assert {x.score for x in toxicity.score_toxicity(docs, one).collect()} == {0.0}
     assert toxicity.score_toxicity(none, scorer).count() == 0
 
 
+def brute_kneser_ney(counts):
+    """The log-likelihood ratios of class-conditional Kneser-Ney models, straight from their definition."""
+    import math
+
+    classes = [collections.Counter(), collections.Counter()]
+    for word, *n in counts:
+        for g in toxicity.spell(word):
+            for c, k in zip(classes, n):
+                c[g] += k
+    pooled = {g: classes[0][g] + classes[1][g] for g in set(classes[0]) | set(classes[1])}
+
+    def count(u):
+        """Its own count where no more context could be, else how many characters come before it."""
+        return pooled[u] if len(u) == toxicity.ORDER or u in pooled else len({g for g in suffixes[len(u) + 1] if g[1:] == u})
+
+    suffixes = {n: {g[-n:] for g in pooled if len(g) >= n} for n in range(1, toxicity.ORDER + 1)}
+    known = {u: count(u) for n in suffixes for u in suffixes[n]}
+
+    def p(u):
+        if not u:
+            return 1 / (len(suffixes[1]) + 1)
+        heirs = [v for v in suffixes[len(u)] if v[:-1] == u[:-1]]
+        total = sum(known[v] for v in heirs)
+        return (known[u] - 0.75) / total + 0.75 * len(heirs) / total * p(u[1:])
+
+    def of_class(c, g):
+        heirs = {v: k for v, k in c.items() if v[:-1] == g[:-1] and k}
+        total = sum(heirs.values())
+        if not total:
+            return 1.0, p(g)
+        back = sum(min(k, toxicity.DISCOUNT) for k in heirs.values()) / total
+        return back, max(c[g] - toxicity.DISCOUNT, 0) / total + back * p(g)
+
+    out = {}
+    for g in pooled:
+        (back0, p0), (back1, p1) = (of_class(c, g) for c in classes)
+        out[g, False], out[g[:-1], True] = math.log(p0 / p1), math.log(back0 / back1)
+    return out
+
+
+def test_kneser_ney(spark):
+    import random
+
+    r = random.Random(2)
+    counts = [("".join(r.choice("abcé") for _ in range(r.randint(1, 9))), r.choice([0, 1, 9]), r.randint(0, 12)) for _ in range(60)]
+    counts = list({w: (w, a, b) for w, a, b in counts if a + b}.values())
+    want = brute_kneser_ney(counts)
+    grams = toxicity.gram_counts(spark.createDataFrame(counts, "word string, toxic long, ordinary long"))
+    got = {(x.key, x.context): x.value for x in toxicity.ratios(grams).collect()}
+    assert set(got) <= set(want) and all(abs(got.get(k, 0.0) - v) < 1e-9 for k, v in want.items()) and len(got) > 200
+    model = toxicity.Model(toxicity.hash_strings([k for k, _ in got], np.array([c for _, c in got])), np.array(list(got.values())))
+    words = [w for w, *_ in counts] + ["zzz", "abcabcabc", "a"]
+    for w, s in zip(words, toxicity.text_sums(model, pa.array(words))):
+        ratio = sum(want.get((g, False), want.get((g[:-1], True), 0.0)) for g in toxicity.spell(w))
+        assert abs(s[0] - ratio) < 1e-3 and s[1] == len(w) + 1 and s[2] == 1
+
+
 def test_lm_scores(spark, docs, rows, none):
     import random
 
