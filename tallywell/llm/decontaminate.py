@@ -17,8 +17,8 @@ def _words(text: Column) -> Column:
 
 
 def _places(words: Column) -> Column:
-    """0 .. number of K-word shingles - 1, or nothing."""
-    return F.when(F.size(words) >= K, F.sequence(F.lit(0), F.size(words) - K)).otherwise(F.array().cast("array<int>"))
+    """0 .. number of K-word shingles - 1; with fewer words 0, for all of them as one; without words nothing."""
+    return F.when(F.size(words) >= K, F.sequence(F.lit(0), F.size(words) - K)).when(F.size(words) > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
 
 
 def _shingle_hashes(words: str) -> Column:
@@ -35,7 +35,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, i
     where at least ``threshold`` of the item's distinct five-word shingles are in the document.
 
     Items are partitioned by size, in powers of two of their number n of
-    shingles. An item's MinHash sketch is the bottom-m of its shingle hashes. A
+    shingles; a document visits those partitions only whose items are small enough
+    for it to hold ``threshold`` of one. An item's MinHash sketch is the bottom-m of its shingle hashes. A
     document that holds the item misses at most e = n - ceil(threshold * n) of
     its shingles; partitions of small items take whole sets, those of larger ones
     m = 2 e + 1, of which such a document holds e + 1 at least. So the search
@@ -47,8 +48,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, i
     candidates, are broadcast while they are few (``BROADCAST_ROWS``), else
     joined by shuffle. ``row`` is a hash of id and text that tells apart rows of
     the same id. Words are as split by space and \\x09-\\x0D, A-Z lower-cased. Null
-    text counts as empty. Items of fewer than five words have no shingle and
-    match nothing. Repeated rows and items give one result each; null ids are
+    text counts as empty. Fewer than five words are one shingle together: such an
+    item is found in a document of just these words. Without words an item matches
+    nothing. An empty table on either side gives an empty result. Repeated rows and items give one result each; null ids are
     kept as they are.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -63,8 +65,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, i
     items = save(items.dropDuplicates(["item", "shingles"]).withColumn("set", F.xxhash64(F.col("item").cast("string"), "shingles")), "leak-items")
     sketches = save(items.select("partition", "set", "least", F.explode(F.slice("hashes", F.lit(1), F.col("m"))).alias("h")), "leak-sketches")
     hashed = docs.select(row, _words(text).alias("w")).select("row", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    seen = hashed.select("row", F.explode(_shingle_hashes("w")).alias("h"))
-    hits = seen.join(bounded(sketches), "h").groupBy("row", "set", "least").agg(F.countDistinct("h").alias("hits"))
+    hashed = hashed.select("row", _shingle_hashes("w").alias("hashes"))
+    # a document visits the partitions whose smallest item it could hold, by its own number of shingles
+    largest = F.floor(F.log2(F.size("hashes") / F.lit(threshold)) + 1e-9).cast("int").alias("largest")
+    seen = hashed.filter(F.size("hashes") > 0).select("row", largest, F.explode("hashes").alias("h"))
+    hits = seen.join(bounded(sketches), "h").filter("partition <= largest").groupBy("row", "set", "least").agg(F.countDistinct("h").alias("hits"))
     candidates = save(hits.filter("hits >= least").select("row", "set"), "leak-candidates")
     texts = docs.select(row, docs[id_col].alias("id"), text.alias("text")).join(bounded(candidates), "row")
     pairs = texts.dropDuplicates(["row", "set"]).select("row", "id", "set", _words(F.col("text")).alias("w")).select("row", "id", "set", _shingles("w").alias("has"))
@@ -75,7 +80,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, i
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, that hold no test item."""
+    """The rows of ``docs``, with their columns, that hold no test item; all rows if there are no items.
+
+    Null and empty texts hold none; rows with null ids are judged as others, and
+    repeated rows go or stay together.
+    """
     bad = save(find_leaks(docs, benchmark, threshold, id_col, text_col).select("row").distinct(), "leak-rows")
     row = F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("-")), F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(bounded(bad.withColumnRenamed("row", "__row")), row == F.col("__row"), "left_anti")
+    return docs.join(bounded(bad), row == bad["row"], "left_anti")

@@ -26,13 +26,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``sha256`` is null for rows that end before round 3, or has the digest of
     every row with ``digest_all``. Groups are counted with partial aggregation,
-    so a group of copies of any size leaves one row for each task; the join back
-    is on the digest, whose hot values the adaptive skew join can split. Rows
-    that have ended get a join key of their own instead of a shared null.
+    so a group of copies of any size leaves one row for each task, and are
+    written. The join back is a broadcast while groups are few
+    (``BROADCAST_ROWS``); beyond, it is on the digest, whose hot values the
+    adaptive skew join splits, as nothing else is done in that stage. Rows that
+    have ended get a join key of their own instead of a shared null.
 
     Null ids: smaller than any other; a group of null ids only has keep_id null
     and all its rows stay. Rows that share the largest id are one document and
-    all stay. Other columns are not looked at.
+    all stay. Other columns are not looked at. An empty table gives an empty
+    result.
     """
     base = docs.select(docs[id_col].alias("id"), lower_ascii(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("t"))
     size, prefix = F.octet_length("t").alias("size"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("prefix")
@@ -47,9 +50,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.join(bounded(sizes.withColumn("some", F.lit(True))), "size", "left").select("id", "size", "prefix", F.when(F.col("some"), F.sha2("t", 256)).alias("sha256")).join(prefixes, ["size", "prefix"], "left")
     digest = "sha256" if "sha256" in rows.columns else F.when(F.col("open"), F.sha2("t", 256)).alias("sha256")
     rows = save(rows.select("id", digest, F.coalesce("open", F.lit(False)).alias("open")), "dedup-rows")
-    groups = rows.filter("open").groupBy(F.col("sha256").alias("key")).agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = save(rows.filter("open").groupBy(F.col("sha256").alias("key")).agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "dedup-groups")
     keyed = rows.withColumn("key", F.when(F.col("open"), F.col("sha256")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce(F.col("sha256"), F.lit("")))))
-    return keyed.join(groups, "key", "left").select(
+    return keyed.join(bounded(groups), "key", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .session import save
+from .session import bounded, save
 
 #: A word: what separates words is space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,22 +39,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, ca
     return s.select("source", "source_size", "weight", F.least(F.col("most"), F.coalesce(F.col("fill") * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, digits: int) -> dict:
-    """Columns: the document's order within its source, and its size."""
-    words = F.size(F.regexp_extract_all(docs[text_col].cast("string"), F.lit(WORD), F.lit(0)))
-    key = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")))
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, digits: int) -> list[Column]:
+    """Light columns: the document's order within its source, and its size."""
+    text = docs[text_col].cast("string")
+    words = F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    # documents without an id are in the order of their texts, so that they are no bucket of their own
+    key = F.md5(F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("-"), F.xxhash64(text).cast("string"))))
     # a source and bucket is one string key, so that the null source joins as any other
     source = F.when(docs[source_col].isNull(), "-").otherwise(F.concat(F.lit("+"), docs[source_col].cast("string")))
-    return {
-        "__id": docs[id_col], "__source": docs[source_col], "__named": source, "__key": key, "__bucket": F.substring(key, 1, digits),
-        "__size": F.when(docs[text_col].isNull(), F.lit(0)).otherwise(words).cast("long"),
-    }
+    size = F.when(docs[text_col].isNull(), F.lit(0)).otherwise(words).cast("long")
+    return [c.alias(n) for n, c in {"__id": docs[id_col], "__source": docs[source_col], "__named": source, "__key": key, "__bucket": F.substring(key, 1, digits), "__size": size}.items()]
 
 
-def _assigned(rows: DataFrame, light: DataFrame, weights: Sequence[float], budget: float, cap: float, ramp: Sequence[float]) -> DataFrame:
+def _assigned(rows: DataFrame, weights: Sequence[float], budget: float, cap: float, ramp: Sequence[float]) -> DataFrame:
     """rows, which have the columns of _sized, with __source_size, __target, __taken, __at (words of the source before
-    it) and __a (the slope of its source's schedule). light: the columns of _sized only, for the sums."""
-    buckets = light.groupBy(F.col("__source").alias("source"), "__named", "__bucket").agg(F.sum("__size").alias("words"))
+    it) and __a (the slope of its source's schedule)."""
+    buckets = rows.groupBy(F.col("__source").alias("source"), "__named", "__bucket").agg(F.sum("__size").alias("words"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
     order = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
     slope = F.element_at(F.array(*[F.lit(float(x)) for x in ramp]), ((order - 1) % len(ramp) + 1).cast("int"))
@@ -80,7 +80,7 @@ def _position(demand: Column) -> Column:
     return F.when(a == 1.0, share).otherwise((F.sqrt(a * a + 4 * (1 - a) * share) - a) / (2 * (1 - a)))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, ramp: Sequence[float] = (0.5, 1.5, 1.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_digits: int = 3) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, ramp: Sequence[float] = (0.5, 1.5, 1.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_digits: int = 4) -> DataFrame:
     """One row for each row of ``docs``, range-sorted by training position.
 
     Columns: id, size (words), source, source_size, target, taken (words the
@@ -99,26 +99,44 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: f
     by the first ``bucket_digits`` hex digits of md5(id), those sums run over at
     most 16 ** bucket_digits rows for each source, and the documents run only
     within their bucket. Null text: size 0, taken 0. A null source is a source,
-    the last. Null ids sort first in their source; rows that tie in all of this
-    share the outcome in either order. An empty table gives an empty result.
+    the last. Null ids are in the order of a hash of their texts; rows that tie in
+    all of this share the outcome in either order. An empty table gives an empty
+    result. Other columns are not looked at.
     """
-    sized = save(docs.select(*[c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col, bucket_digits).items()]), "mix-sizes")
-    rows = _assigned(sized, sized, weights, budget, cap, ramp)
+    sized = save(docs.select(*_sized(docs, id_col, text_col, source_col, bucket_digits)), "mix-sizes")
+    rows = _assigned(sized, weights, budget, cap, ramp)
     out = rows.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__source").alias("source"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.when(F.col("__taken") > 0, _position(F.col("__at"))).alias("position"))
     out = save(out, "mix-taken")
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col(id_col)).sortWithinPartitions(F.col("position").asc_nulls_last(), id_col)
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, ramp: Sequence[float] = (0.5, 1.5, 1.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_digits: int = 3) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, ramp: Sequence[float] = (0.5, 1.5, 1.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_digits: int = 4) -> DataFrame:
     """The mix itself: rows of ``docs``, with their columns, in training order, each as often as it is taken.
 
     As mix_sources, but in whole documents: the one of each source that is taken
-    in part is there if half of it or more is taken. Texts are shuffled twice,
-    for the running sums and for the order.
+    in part is there if half of it or more is taken. The running sums are over
+    light columns; what they assign goes back to rows by two hashes of all
+    columns, as a broadcast while rows are few (``BROADCAST_ROWS``). Rows that
+    repeat in all columns share what is assigned to any of them. Texts move once,
+    for the order, and once more where the assignment is too large to broadcast.
+
+    Null and empty texts have no words and are never taken. A null source is a
+    source, the last; null ids are in the order of their texts. An empty table
+    gives an empty result. Columns of any name are kept as they are.
     """
-    sized = _sized(docs, id_col, text_col, source_col, bucket_digits)
-    rows = _assigned(docs.select("*", *[c.alias(n) for n, c in sized.items()]), docs.select(*[c.alias(n) for n, c in sized.items()]), weights, budget, cap, ramp)
+    light = _sized(docs, id_col, text_col, source_col, bucket_digits)
+    values = [docs[c] for c in docs.columns]
+    marked = [*values, *[c.isNull() for c in values]]
+    row = F.struct(F.xxhash64(*marked), F.xxhash64(F.lit(1), *marked)).alias("__row")
+    plan = _assigned(save(docs.select(row, *light), "mix-sizes"), weights, budget, cap, ramp)
     copies = F.floor(F.col("__taken") / F.col("__size") + 0.5).cast("int")
-    rows = rows.filter("__taken > 0").withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    rows = rows.withColumn("__position", _position(F.col("__copy") * F.col("__source_size") + F.col("__at")))
-    return rows.repartitionByRange("__position", "__key").sortWithinPartitions("__position", "__key").select(*docs.columns)
+    plan = plan.filter("__taken > 0").withColumn("__copies", copies).filter("__copies > 0")
+    plan = save(plan.select("__row", "__key", "__copies", "__source_size", "__target", "__at", "__a"), "mix-plan")
+    again = save(plan.groupBy("__row").count().filter("count > 1").select("__row"), "mix-repeats")
+    whole = docs.select(row, F.struct(*values).alias("__doc"))
+    if not again.isEmpty():
+        again = bounded(again)
+        whole = whole.join(again, "__row", "left_anti").union(whole.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+    rows = whole.join(bounded(plan), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    rows = rows.select("__doc", "__key", _position(F.col("__copy") * F.col("__source_size") + F.col("__at")).alias("__position"))
+    return rows.repartitionByRange("__position", "__key").sortWithinPartitions("__position", "__key").select("__doc.*")

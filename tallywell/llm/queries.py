@@ -42,7 +42,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,24 +94,25 @@ ORACLES = {
     "op4_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS k FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-        w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM s),
+        w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, [0.5, 1.5, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS a, source_size * 2.0::DOUBLE AS most FROM s),
         t AS (SELECT *, least(sum(source_size) OVER () * 1.5::DOUBLE, sum(most) OVER ()) AS total,
                      coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
                      sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
         u AS (SELECT *, (total - below) / open AS level FROM t),
         v AS (SELECT *, (SELECT level FROM u WHERE level * weight < most ORDER BY most / weight, source NULLS LAST LIMIT 1) AS fill FROM u),
-        g AS (SELECT source, source_size, least(most, coalesce(fill * weight, most)) AS target FROM v),
-        r AS (SELECT d.doc_id, d.size, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - d.size AS ahead
+        g AS (SELECT source, source_size, a, least(most, coalesce(fill * weight, most)) AS target FROM v),
+        r AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.a, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - d.size AS ahead
               FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-        q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target) / source_size)::BIGINT ELSE 0 END AS rounds FROM r)
-        SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(size, floor(target)::BIGINT - rounds * source_size - ahead)))::BIGINT AS taken FROM q
+        q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target) / source_size)::BIGINT ELSE 0 END AS rounds FROM r),
+        p AS (SELECT *, (rounds * size + greatest(0, least(size, floor(target)::BIGINT - rounds * source_size - ahead)))::BIGINT AS taken, CASE WHEN target > 0 THEN least(1.0::DOUBLE, ahead / target) ELSE 0 END AS share FROM q)
+        SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE WHEN a = 1 THEN share ELSE (sqrt(a * a + 4 * (1 - a) * share) - a) / (2 * (1 - a)) END, 6) + 0.0::DOUBLE END AS position FROM p
     """,
     "op9_decontaminate": r"""
         WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
         d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x20\x09-\x0D]+') AS w FROM documents, low),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x20\x09-\x0D]+') AS w FROM benchmark, low),
-        ds AS (SELECT DISTINCT doc_id, unnest([list_aggregate(w[i:i + 4], 'string_agg', ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM d WHERE len(w) >= 5),
-        bs AS (SELECT DISTINCT item_id, unnest([list_aggregate(w[i:i + 4], 'string_agg', ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM b WHERE len(w) >= 5),
+        ds AS (SELECT DISTINCT doc_id, unnest([list_aggregate(w[i:i + 4], 'string_agg', ' ') FOR i IN range(1, greatest(len(w) - 3, 2))]) AS s FROM d WHERE len(w) > 0),
+        bs AS (SELECT DISTINCT item_id, unnest([list_aggregate(w[i:i + 4], 'string_agg', ' ') FOR i IN range(1, greatest(len(w) - 3, 2))]) AS s FROM b WHERE len(w) > 0),
         n AS (SELECT item_id, count(*)::INT AS n_shingles FROM bs GROUP BY item_id),
         f AS (SELECT doc_id, item_id, count(*)::INT AS n_found FROM ds JOIN bs USING (s) GROUP BY ALL)
         SELECT doc_id, item_id, n_shingles, n_found, n_found::DOUBLE / n_shingles AS containment

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import fresh_path, save
+from .session import bounded, fresh_path, save
 from .words import blocks
 
 #: Kind, pattern, group whose length counts, least length. A new rule or a changed one needs a new RULES_VERSION.
@@ -57,16 +57,19 @@ def scan_secrets(versions: DataFrame, ledger: str | None = None, path_cols: tupl
 
     Each distinct text is scanned once, at the row that represents its blob: the
     smallest path among equals, found by partial aggregation over (blob, path).
-    Texts move once, in the join with the representatives still to be scanned;
-    findings go back to paths by blob, where hot blobs are split by the adaptive
-    skew join. An append is one write job; a run that is lost before it commits
+    Representatives are told by a hash of path and blob. While those still to be
+    scanned are few (``BROADCAST_ROWS``) texts are scanned where they lie; beyond,
+    they move once, in that join. Findings go back to paths by blob, where hot
+    blobs are split by the adaptive skew join. An append is one write job; a run that is lost before it commits
     appends nothing, and scanning a pair twice does no harm: equal rows of the
     ledger are read once.
 
     Null text counts as empty and has no findings. Rows with null or repeated
     paths are rows like any other: a representative is the path columns and the
     blob together, and where a row repeats both, each of its repeats is scanned and
-    appended. An empty table gives an empty result.
+    appended. An empty table gives an empty result. Other columns are not looked
+    at. The ledger finds what the rules find, sooner: it has no spans of its own
+    to add to theirs.
     """
     spark = versions.sparkSession
     ledger = ledger or fresh_path(spark, "ledger")
@@ -81,9 +84,11 @@ def scan_secrets(versions: DataFrame, ledger: str | None = None, path_cols: tupl
     except AnalysisException:
         known = spark.createDataFrame([], LEDGER)
     todo = index.groupBy("blob").agg(F.min("path").alias("path")).join(known.select("blob"), "blob", "left_anti")
-    rows = versions.select(path.alias("path"), text.alias("text")).join(todo, "path").select("blob", "path", "text")
-    # a path may have several versions: only the one with the blob's content is scanned under its name
-    rows = rows.filter(F.sha2("text", 256) == F.col("blob")).drop("path")
+    # the version itself, path and blob together: null or much revised paths must not meet each of their versions
+    version = F.xxhash64("path", "blob").alias("version")
+    todo = save(todo.select(version).distinct(), "secret-versions")
+    rows = versions.select(path.alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text")).select(version, "blob", "text")
+    rows = rows.join(bounded(todo), "version", "left_semi").select("blob", "text")
     rows.mapInArrow(lambda it: _scan(it, rule_version), LEDGER).write.mode("append").parquet(ledger)
     found = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rule_version") == rule_version).filter(F.size("kinds") > 0).dropDuplicates(["blob"])
     empty = lambda t: F.array().cast(t)

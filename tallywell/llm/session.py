@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a folder of our own is
-    made and set, so that a cluster never gets a machine-local one.
+    Only where that setting is absent and the master is local (tests, a laptop) a
+    folder of our own is made and set; a cluster without the setting is an error,
+    since it must never get a machine-local one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(own)
     return own

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import save, settle
+from .session import bounded, save, settle
 from .words import _INVERSE, _BASE, Words, _power, blocks, mix, runs
 
 
@@ -73,12 +73,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        joined with its text, where overlapping windows merge to maximal repeats.
 
     A passage in a third of all documents is a hot anchor, region and window: all
-    three are summed by partial aggregation, and the joins back are plain
-    equi-joins that the adaptive skew join splits. Nothing pairs documents.
+    three are summed by partial aggregation and written; the joins back are
+    broadcasts while the sums are few (``BROADCAST_ROWS``), else equi-joins in
+    stages of their own that the adaptive skew join splits. Nothing pairs documents.
 
     Null ids: such documents keep all words and take none from others. Rows of
     the same id are one document: they take nothing from each other. Null and
-    empty texts have no words. Keys join two independent 64-bit hashes.
+    empty texts have no words. An empty table gives an empty result; other columns
+    are not looked at. Keys join two independent 64-bit hashes.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
@@ -95,9 +97,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settle(spark)
     found = save(seeded.join(common, "anchor", "left_semi"), "substring-seeds")
     settle(spark)
-    regions = found.groupBy("anchor", "extent").agg(F.min("id").alias("first"))
-    several = regions.groupBy("anchor").agg((F.min("extent") != F.max("extent")).alias("several"))
-    judged = found.join(regions, ["anchor", "extent"]).join(several, "anchor").select("id", "extent", (F.col("id") > F.col("first")).alias("gone"), "several").filter("gone OR several")
+    regions = save(found.groupBy("anchor", "extent").agg(F.min("id").alias("first")), "substring-firsts")
+    several = save(regions.groupBy("anchor").agg((F.min("extent") != F.max("extent")).alias("several")), "substring-several")
+    regions = save(regions.join(bounded(several), "anchor"), "substring-judged")
+    judged = found.join(bounded(regions), ["anchor", "extent"]).select("id", "extent", (F.col("id") > F.col("first")).alias("gone"), "several").filter("gone OR several")
     marks = judged.groupBy("id").agg(F.collect_set(F.when(F.col("gone"), F.col("extent"))).alias("gone"), F.collect_set(F.when(~F.col("gone"), F.col("extent"))).alias("open"))
     marks = save(marks, "substring-regions")
     settle(spark)
@@ -113,8 +116,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     opened = rows.join(marks.filter(F.size("open") > 0).select("id", "open"), "id")
     opened = save(opened.mapInArrow(windows, T.StructType([*long("anchor", "window"), T.StructField("id", kind)])), "substring-windows")
     settle(spark)
-    firsts = opened.groupBy("anchor", "window").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-    later = opened.join(firsts, ["anchor", "window"]).filter("id > first").groupBy("id").agg(F.collect_set("window").alias("windows"))
+    firsts = save(opened.groupBy("anchor", "window").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"), "substring-seen")
+    later = opened.join(bounded(firsts), ["anchor", "window"]).filter("id > first").groupBy("id").agg(F.collect_set("window").alias("windows"))
     marks = save(marks.select("id", "gone").join(later, "id", "full"), "substring-marks")
     settle(spark)
 
