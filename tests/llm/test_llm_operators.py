@@ -50,9 +50,26 @@ def test_token_counts(docs, rows, none):
         n = len(t.encode(r[1] or "", add_special_tokens=False).ids)
         want[(r[0], len((r[1] or "").encode()), n, n > 512)] += 1
     assert got == want
+    assert collections.Counter(map(tuple, count_tokens(docs, queries.tokenizer(), sample_docs=3, table_entries=2, cache_entries=5).collect())) == want
     assert count_tokens(none, queries.tokenizer()).count() == 0
 
 
+def test_plain_texts_are_cut_as_the_library_does():
+    """Strings of all kinds of plain characters, and of some others, against the library; and most of them take the fast way."""
+    import random
+
+    from tallywell.llm import bpe
+
+    r, t = random.Random(4), library()
+    kinds = ["abcXYZ", "éßÀø", "αβγΩ", "привет", "אבג", "ابت", "かなカー", "漢字中", "한국어", "0123456789", " \n\t\r\u3000\xa0", "'s't're'll", ".,;:!?-_#()[]{}", "…–—“”€→─☀", "😀👍\U0001f3fd\u200d\ufe0f、。！", "²¾Ⅷ٣", "\u0301\u0bcd", "\x00\x1c\x85"]
+    texts = ["".join(r.choice(k) for _ in range(r.randint(1, 12)) for k in [r.choice(kinds[: 15 if i % 4 else 18])] for _ in range(r.randint(1, 4))) for i in range(3000)]
+    want = [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    pieces = [p for cut in bpe.Encoder(queries.tokenizer()).cut(texts[:1500]) for p in cut]
+    encoder = bpe.Encoder(queries.tokenizer(), bpe.frequent_lengths(queries.tokenizer(), pieces), 500)
+    assert encoder.lengths(texts) == want and [len(x) for x in encoder.ids(texts)] == want
+    assert sum(map(encoder._plain, texts)) > 2000
+
+
 def test_exact_dedup(docs, rows, none):
     groups = collections.defaultdict(list)
     for r in rows:
@@ -201,11 +218,35 @@ def test_token_files(spark, docs, rows, none):
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
     for i in (0, 7, 9, 20):
         assert token_files.read_document(spark, path, i) == enc(next(r[1] for r in rows if r[0] == i))
-    assert token_files.read_document(spark, path, 10_000) is None
-    assert spark.read.parquet(path).count() > 5
+    assert token_files.read_document(spark, path, None) == enc(next(r[1] for r in rows if r[0] is None))
+    assert token_files.read_document(spark, path, 10_000) is None and token_files.read_document(spark, path, "None") is None
+    assert spark.read.parquet(f"{path}/shards").count() > 5
     empty = fresh_path(spark, "token-files-empty")
     token_files.write_token_files(none, empty, queries.tokenizer())
-    assert token_files.describe_token_files(spark, empty).count() == 0
+    assert token_files.describe_token_files(spark, empty).count() == 0 and token_files.read_document(spark, empty, 1) is None
+
+
+def test_index_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "BUCKET_KEYS", 4)
+    monkeypatch.setattr(token_files, "DIR_BUCKETS", 2)
+    docs = spark.createDataFrame([(f"key-{i}", "a b c"[: i % 6]) for i in range(200)], "doc_id string, text string").repartition(3)
+    path = fresh_path(spark, "token-files-many")
+    token_files.write_token_files(docs, path, queries.tokenizer(), shard_bytes=60)
+    assert spark.read.parquet(f"{path}/index").count() > 20
+    t = library()
+    for i in (0, 17, 99, 199):
+        assert token_files.read_document(spark, path, f"key-{i}") == [*t.encode("a b c"[: i % 6], add_special_tokens=False).ids, 0]
+    assert token_files.read_document(spark, path, "key-200") is None
+
+
+def test_long_texts_are_encoded_in_parts():
+    from tallywell.llm import bpe
+
+    text = " ".join(f"word{i}, and  more\n" for i in range(3000)) + "日本 ²"
+    assert len(bpe.segments(text, 500)) > 20 and "".join(bpe.segments(text, 500)) == text
+    e = bpe.Encoder(queries.tokenizer())
+    assert np.concatenate([e._ids(x) for x in bpe.segments(text, 500)]).tolist() == library().encode(text, add_special_tokens=False).ids
+    assert bpe.segments("x" * 5000, 500) == ["x" * 5000]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 500, 3000])
@@ -215,8 +256,8 @@ def test_perfect_hash(n):
     assert sorted(place.tolist()) == list(range(n))
     slots = np.zeros(n, token_files.SLOT)
     slots["fingerprint"][place], slots["offset"][place] = (h >> np.uint64(32)).astype(np.uint32), np.arange(n)
-    there, offset, _ = token_files.find(h, seeds.astype("<i8").tobytes(), slots.tobytes())
-    assert there.all() and (offset == np.arange(n)).all()
+    there, slot = token_files.find(h, seeds.astype("<i8").tobytes(), slots.tobytes())
+    assert there.all() and (slot["offset"] == np.arange(n)).all()
     assert not token_files.find(token_files.key_hashes([-5, None]), seeds.astype("<i8").tobytes(), slots.tobytes())[0].any()
 
 
