@@ -129,7 +129,9 @@ def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
     """Whether each set may link with another one of them, by what their bitmaps allow.
 
     A bit that only x has stands for an n-gram that y lacks, so the overlap is at
-    most |x| less the number of such bits, and the same the other way round.
+    most |x| less the number of such bits, and the same the other way round. A set
+    that is known to have a partner is held only against those that aren't, so
+    sets that all resemble each other cost one comparison each.
     """
     order = np.argsort(sizes, kind="stable")
     n, width = sizes[order], min(map(len, signatures))
@@ -138,24 +140,75 @@ def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
         rows[i] = np.bitwise_or.reduce(np.frombuffer(signatures[k], np.uint64).reshape(-1, width // 8), 0)
     out = np.zeros(len(n), bool)
     ends = np.searchsorted(n, n * 4 // 3, "right")
+    alone = np.arange(len(n))  # sets without a partner so far, and some that have one by now
     for i in range(len(n)):
-        y = rows[i + 1 : ends[i]]
-        if len(y):
-            most = np.minimum(n[i] - np.bitwise_count(rows[i] & ~y).sum(1, dtype=np.int64), n[i + 1 : ends[i]] - np.bitwise_count(~rows[i] & y).sum(1, dtype=np.int64))
-            hit = 7 * most >= 3 * (n[i] + n[i + 1 : ends[i]])
-            out[i + 1 : ends[i]] |= hit
+        if out[i]:
+            if len(alone) > 64 and not i % 64:
+                alone = alone[~out[alone]]
+            j = alone[np.searchsorted(alone, i, "right") : np.searchsorted(alone, ends[i])]
+            j = j[~out[j]]
+        else:
+            j = np.arange(i + 1, ends[i])
+        if len(j):
+            y = rows[j]
+            most = np.minimum(n[i] - np.bitwise_count(rows[i] & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(~rows[i] & y).sum(1, dtype=np.int64))
+            hit = 7 * most >= 3 * (n[i] + n[j])
+            out[j[hit]] = True
             out[i] |= hit.any()
     back = np.zeros(len(n), bool)
     back[order] = out
     return back
 
 
-def _deal(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """rows(keys, name, n, ...) as blocks: with part, low and high. A key with more than ``limit`` n-grams is split into
-    parts by name, and each pair of parts is a block, so that any two rows of a key meet in one of bounded size."""
-    parts = rows.groupBy(*keys).agg(F.ceil(F.sum("n") / limit).cast("int").alias("parts"))
-    dealt = rows.join(parts, keys).withColumn("part", F.pmod("name", "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("parts", "other")
+_SALTED, _SALTS = np.uint64(1 << 62), np.uint64(((1 << 30) - 1) << 32)  # marks of a frequent n-gram that is dealt to several tasks
+
+
+class Meeting:
+    """Rows (gram, name, n) in the order of (gram, name), batch by batch -> who meets there.
+
+    For an n-gram in two to ``most`` sets the pairs of these, with the first as
+    pivot; for one in more sets, or salted, its rows as postings. No more than a
+    batch is held: of a long run the rows go out as they come.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.held, self.open = max(most, 1), [np.zeros(0, np.int64) for _ in range(3)], None
+
+    def add(self, *batch: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
+        g, name, n = (np.concatenate([a, b]) for a, b in zip(self.held, batch))
+        if not len(g):
+            return
+        new = np.r_[True, (g[1:] != g[:-1]) | (name[1:] != name[:-1])]
+        g, name, n = g[new], name[new], n[new]
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        stop = len(g) if last else int(first[-1])  # the last run may go on
+        long = not last and (len(g) - stop > self.most or g[-1] == self.open)
+        if long:
+            stop = len(g)
+        first = first[first < stop]
+        size, u = np.diff(np.r_[first, stop]), g.view(np.uint64)
+        many = (size > self.most) | (u[first] >= _TOP) & (u[first] & _SALTED > 0)
+        if self.open is not None:
+            many |= g[first] == self.open
+        self.held, self.open = [x[stop:] for x in (g, name, n)], int(g[-1]) if long else None
+        rows = np.repeat(many, size)
+        if rows.any():
+            at = u[:stop][rows]
+            plain = np.where((at >= _TOP) & (at & _SALTED > 0), at & ~(_SALTED | _SALTS), at)
+            yield self._batch(plain.view(np.int64), None, name[:stop][rows], None, None, n[:stop][rows])
+        for k in range(2, self.most + 1):
+            at = first[(size == k) & ~many]
+            if len(at):
+                i, j = np.triu_indices(k, 1)
+                i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                fit = 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
+                pivot = name[np.repeat(at, k * (k - 1) // 2)]
+                yield self._batch(None, pivot[fit], name[i[fit]], name[j[fit]], n[i[fit]], n[j[fit]])
+
+    @staticmethod
+    def _batch(*columns: np.ndarray | None) -> pa.RecordBatch:
+        size = len(columns[2])
+        return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else pa.array(c) for c in columns], ["gram", "pivot", "x", "y", "m", "n"])
 
 
 def _prefix(v: np.ndarray) -> np.ndarray:
@@ -163,7 +216,7 @@ def _prefix(v: np.ndarray) -> np.ndarray:
     return v[: len(v) - (3 * len(v) + 3) // 4 + 1] if len(v) else v
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, max_frequent: int = 100_000, max_listed: int = 16, block_grams: int = 400_000) -> DataFrame:
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, max_frequent: int = 100_000, max_listed: int = 16, block_grams: int = 400_000, salt_rows: int = 50_000) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id.
 
     A document's set is its distinct ``k``-word shingles, A-Z lower-cased; with
@@ -176,8 +229,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        go last in the global order; it decides how much work there is, and
        never what links. Equal sets are one from here on.
     2. Prefixes: linked sets share a shingle within the first quarter of each in
-       the global order. Partial aggregation tells the shingles that more than
-       one set has there; only these are looked at again.
+       the global order. These prefixes are dealt by shingle, once; a task passes
+       a set on once, however many copies it has, and a frequent shingle with more
+       than ``salt_rows`` rows is dealt to several tasks. Sorted by shingle they
+       stream by: nothing is gathered.
     3. Blocks. The pairs of sets of a shingle with at most ``max_listed`` sets are
        counted: with m and n shingles, and so a = ceil(3 (m + n) / 7) common ones
        if they link, two sets share at least a + 1 - ceil(3 max(m, n) / 4) in
@@ -185,25 +240,29 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        set) of their shingles as block. A shingle in more sets is split by size
        class first: a set is in its own and the next, so that two sets that may
        link, whose sizes differ by a third at most, meet in the class of the
-       larger. Where a class still has more sets, these meet at its pivot as
-       bitmaps, two to four bits for a shingle, whose bound on the overlap lets few
-       pass that don't link; all pairs that share such a shingle go that way. Only
-       the texts of sets in blocks move.
+       larger. Where a class still has more sets, these meet at its pivot; while
+       they fit in one task, as bitmaps first, two to four bits for a shingle,
+       whose bound on the overlap lets few pass that don't link. Only the texts of
+       sets in blocks move.
     4. In a block, a prefix tree is searched and grown by sets in ascending size.
        Sets already in one component are not compared again, so a block of
        n near copies costs about n verifications, and yields at most n - 1 links.
-       A block beyond ``block_grams`` shingles is split into parts, and each pair
-       of parts is a block: memory is bounded and no pair is lost.
-    5. Connected components of the links, then the least id of each.
+    5. A block beyond ``block_grams`` shingles is split into parts. Each part is
+       searched by itself; then one set of each component of each part meets the
+       others' ones; then the sets that are not in the block's main component yet
+       visit all its parts. So a large group of near copies moves once, and no
+       pair is lost: of two sets in different components one is a visitor.
+    6. Connected components of the links, then the least id of each.
 
     Null ids are larger than any other; a component of null ids only has a null
-    component_id. Repeated rows are equal sets. Shingles and sets are known by
-    hashes of 63 bits.
+    component_id. Repeated rows are equal sets. Null texts count as empty. An
+    empty table gives an empty result; other columns are not looked at. A long
+    text needs some tens of bytes for each of its words. Shingles and sets are
+    known by hashes of 63 bits.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    nothing = np.zeros(0, np.uint64)
 
     key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).alias("key")
     rows = rows.select(key, "id", "text")
@@ -223,75 +282,112 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = named.filter(F.size("often") > 0).select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy(F.col("x.often").alias("h")).agg(F.sum("x.times").alias("n")).orderBy(F.desc("n"), "h").limit(max_frequent).toArrow()
     hashes = often.column("h").to_numpy().astype(np.uint64)
     order = np.argsort(hashes)
-    frequent = spark.sparkContext.broadcast((hashes[order], (len(hashes) - order).astype(np.uint64)))
+    ranks = (len(hashes) - order).astype(np.uint64)
+    salts = np.r_[1, -(-often.column("n").to_numpy()[::-1] // salt_rows)].astype(np.uint64)  # by rank, which counts from the least frequent
+    frequent = spark.sparkContext.broadcast((hashes[order], ranks, salts))
     marks, named = named.select("name", "marks"), named.select("key", "id", "n", "name")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in blocks(batches):
-            s = Sets(b.column("text"), k, *frequent.value)
-            heads = [_prefix(v) for v in s.values]
-            sizes = [len(v) for v in heads]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(s.names, sizes)), pa.array(np.repeat(s.sizes, sizes))], ["gram", "name", "n"])
-
-    grams = rows.mapInArrow(prefixes, "gram long, name long, n long")
-    rare = F.count(F.lit(1)) <= max_listed  # rows, so copies of a set count too: then there are fewer sets than that, and never more
-    common = grams.groupBy("gram").agg(F.min("name").alias("a"), F.max("name").alias("b"), rare.alias("few")).filter("a < b").select("gram", "few")
-    common = save(common, "join-grams")
+            s = Sets(b.column("text"), k, *frequent.value[:2])
+            heads, sizes = [], []
+            for i, name in enumerate(s.names.tolist()):
+                new = name not in seen
+                if new:
+                    seen.add(name)
+                heads.append(_prefix(s.values[i]) if new else s.values[i][:0])
+                sizes.append(len(heads[-1]))
+            if len(seen) > 1 << 20:
+                seen = set()
+            gram, name = np.concatenate(heads), np.repeat(s.names, sizes)
+            hot = np.flatnonzero(gram >= _TOP)
+            salt = frequent.value[2][(gram[hot] ^ _TOP).astype(np.int64)]
+            hot, salt = hot[salt > 1], salt[salt > 1]
+            gram[hot] |= _SALTED | (name.view(np.uint64)[hot] % salt) << np.uint64(32)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(name), pa.array(np.repeat(s.sizes, sizes))], ["gram", "name", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Meeting(max_listed)
+        for b in batches:
+            yield from m.add(*[b.column(c).to_numpy() for c in ("gram", "name", "n")])
+        yield from m.add(*[np.zeros(0, np.int64)] * 3, last=True)
+
+    grams = rows.mapInArrow(prefixes, "gram long, name long, n long").repartition("gram").sortWithinPartitions("gram", "name")
+    met = save(grams.mapInArrow(meet, "gram long, pivot long, x long, y long, m long, n long"), "join-met")
     settle(spark)
-    listed = grams.join(common.filter("few").select("gram"), "gram").groupBy("gram").agg(F.sort_array(F.collect_set(F.struct("name", "n"))).alias("s"))
+    pairs = met.filter("gram IS NULL").select("pivot", "x", "y", "m", "n")
     both = """flatten(transform(sequence(0, size(s) - 2), i -> transform(slice(s, i + 2, size(s)), y -> struct(s[i] AS x, y AS y))))"""
     fit = "4 * least(p.x.n, p.y.n) >= 3 * greatest(p.x.n, p.y.n)"
     pair = [F.col("p.x.name").alias("x"), F.col("p.y.name").alias("y"), F.col("p.x.n").alias("m"), F.col("p.y.n").alias("n")]
-    pairs = save(listed.select(F.expr("s[0].name").alias("pivot"), F.expr(f"explode(filter({both}, p -> {fit}))").alias("p")).select("pivot", *pair), "join-pairs")
-    settle(spark)
-    often = bounded(common.filter("NOT few").select("gram"))
     size_class = F.floor(F.log("n") / math.log(_CLASS)).cast("int")
-    posted = save(grams.join(often, "gram").distinct(), "join-postings")
-    settle(spark)
+    posted = met.filter("gram IS NOT NULL").select("gram", F.col("x").alias("name"), "n").distinct()
     posted = posted.withColumn("own", size_class).withColumn("class", F.explode(F.array("own", F.col("own") + 1))).withColumn("own", F.col("own") == F.col("class"))
+    posted = save(posted, "join-postings")
     groups = posted.groupBy("gram", "class").agg(F.count(F.lit(1)).alias("sets"), F.max("own").alias("any"), F.min("name").alias("pivot")).filter("sets > 1 AND any")
-    posted = save(posted.join(groups.drop("any"), ["gram", "class"]), "join-groups")
+    posted = posted.join(bounded(save(groups.drop("any"), "join-groups")), ["gram", "class"])
     more = posted.filter(F.col("sets") <= max_listed).groupBy("gram", "class", "pivot").agg(F.sort_array(F.collect_list(F.struct("name", "n", "own"))).alias("s"))
     more = more.select("pivot", F.expr(f"explode(filter({both}, p -> (p.x.own OR p.y.own) AND {fit}))").alias("p")).select("pivot", *pair)
     pairs = pairs.union(more).groupBy("x", "y", "m", "n").agg(F.count(F.lit(1)).alias("shared"), F.min("pivot").alias("pivot"))
     pairs = pairs.filter("shared >= (3 * (m + n) + 6) div 7 + 1 - (3 * greatest(m, n) + 3) div 4").select(F.col("x").alias("name"), F.col("y").alias("other"), "pivot")
-    wide = posted.filter(F.col("sets") > max_listed).select("pivot", "class", "name", "n").distinct()
-    wide = save(_deal(wide, ["pivot", "class"], block_grams * 10), "join-wide")
-    marks = marks.join(bounded(save(wide.select("name").distinct(), "join-wide-names")), "name", "left_semi").groupBy("name").agg(F.first("marks").alias("marks"))
-    wide = wide.join(marks, "name")
+    wide = save(posted.filter(F.col("sets") > max_listed).select("pivot", "class", "name", "n").distinct(), "join-wide")
+    sums = bounded(save(wide.groupBy("pivot", "class").agg((F.sum("n") <= block_grams * 10).alias("fits")), "join-wide-sums"))
+    wide = wide.join(sums, ["pivot", "class"])
+    asked = wide.filter("fits")
+    marks = marks.join(bounded(save(asked.select("name").distinct(), "join-wide-names")), "name", "left_semi").groupBy("name").agg(F.first("marks").alias("marks"))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, held in _blocks(batches, ("pivot", "class", "low", "high"), ("name", "n", "marks")):
+        for place, held in _blocks(batches, ("pivot", "class"), ("name", "n", "marks")):
             names = np.array([x[0] for x in held])[may_link(np.array([x[1] for x in held]), [x[2] for x in held])]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), place[0]), pa.int64())], ["name", "pivot"])
 
-    wide = wide.repartition("pivot", "class", "low", "high").sortWithinPartitions("pivot", "class", "low", "high").mapInArrow(narrow, "name long, pivot long")
-    member = save(pairs.select(F.explode(F.array("name", "other")).alias("name"), "pivot").union(wide).distinct(), "join-members")
+    asked = asked.join(marks, "name").select("pivot", "class", "name", "n", "marks").repartition("pivot", "class").sortWithinPartitions("pivot", "class").mapInArrow(narrow, "name long, pivot long")
+    member = save(pairs.select(F.explode(F.array("name", "other")).alias("name"), "pivot").union(asked).union(wide.filter("NOT fits").select("name", "pivot")).distinct(), "join-members")
     settle(spark)
     shown = named.groupBy("name").agg(F.min("key").alias("key"), F.first("n").alias("n"))
-    dealt = save(_deal(member.join(shown, "name"), ["pivot"], block_grams).select("key", "pivot", "low", "high", "part"), "join-blocks")
-    settle(spark)
-    dealt = rows.select("key", "text").join(bounded(dealt), "key")
+    member = save(member.join(shown, "name").select("name", "key", "pivot", "n"), "join-shown")
+    parts = bounded(save(member.groupBy("pivot").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts")), "join-parts"))
+    member = save(member.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("name"), "parts").cast("int")), "join-blocks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for b in blocks(batches):
-            s = Sets(b.column("text"), k, *frequent.value)
-            for place, part, name, v in zip(zip(*[b.column(c).to_pylist() for c in ("pivot", "low", "high")]), b.column("part").to_pylist(), s.names.tolist(), s.values):
+            s = Sets(b.column("text"), k, *frequent.value[:2])
+            for place, guest, root, name, v in zip(zip(b.column("pivot").to_pylist(), b.column("part").to_pylist()), b.column("guest").to_pylist(), b.column("root").to_pylist(), s.names.tolist(), s.values):
                 if place != at and held:
-                    yield _link(held, at[1] != at[2])
+                    yield _link(held)
                     held = []
                 at = place
-                held.append((name, part, v))
+                held.append((name, guest, root, v))
         if held:
-            yield _link(held, at[1] != at[2])
-
-    edges = dealt.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high").mapInArrow(search, "a long, b long")
-    roots = components(edges)
+            yield _link(held)
+
+    def links(dealt: DataFrame) -> DataFrame:
+        """dealt(key, pivot, part, guest, root): links within each (pivot, part) between sets of different roots; if there are guests, of these with the others."""
+        moved = rows.select("key", "text").join(bounded(save(dealt.select("key", "pivot", "part", "guest", "root"), "join-dealt")), "key")
+        found = save(moved.repartition("pivot", "part").sortWithinPartitions("pivot", "part").mapInArrow(search, "a long, b long"), "join-links")
+        settle(spark)
+        return found
+
+    alone, nobody = F.col("name").alias("root"), F.lit(False).alias("guest")
+    edges = links(member.select("key", "pivot", "part", nobody, alone))
+    split = member.filter("parts > 1")
+    if not split.isEmpty():
+        rooted = lambda e: split.join(bounded(save(components(e), "join-roots")), F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name")).drop("node")
+        first = save(rooted(edges).groupBy("pivot", "part", "root").agg(F.min(F.struct("name", "key", "n")).alias("s")).select("pivot", "root", "s.*"), "join-first")
+        again = bounded(save(first.groupBy("pivot").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts")), "join-parts"))
+        edges = edges.union(links(first.join(again, "pivot").select("key", "pivot", F.pmod(F.xxhash64("root"), "parts").cast("int").alias("part"), nobody, "root")))
+        now = save(rooted(edges), "join-rooted")
+        main = now.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("sets")).groupBy("pivot").agg(F.max_by("root", F.struct("sets", "root")).alias("main"))
+        odd = save(now.join(main, "pivot").filter("root != main").select("key", "pivot", "parts", "root", F.col("part").alias("home")), "join-odd")
+        guests = odd.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part != home").select("key", "pivot", "part", F.lit(True).alias("guest"), "root")
+        hosts = now.join(odd.select("pivot").distinct(), "pivot", "left_semi").select("key", "pivot", "part", nobody, "root")
+        edges = edges.union(links(guests.union(hosts)))
+    roots = bounded(save(components(edges), "join-roots"))
     settle(spark)
     group = F.coalesce("root", "name").alias("group")
-    full = save(named.filter("n > 0").join(roots, F.col("name") == F.col("node"), "left").select("id", "n", group), "join-groups")
-    least = full.groupBy("group").agg(F.min("id").alias("component_id"))
+    full = save(named.filter("n > 0").join(roots, F.col("name") == F.col("node"), "left").select("id", "n", group), "join-full")
+    least = bounded(save(full.groupBy("group").agg(F.min("id").alias("component_id")), "join-least"))
     out = full.join(least, "group").select("id", "n", "component_id").union(named.filter("n = 0").select("id", "n", F.col("id")))
     return out.toDF(id_col, "n_shingles", "component_id")
 
@@ -300,13 +396,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs``, with their columns, less all but the one with the least id of each component.
 
     Rows that repeat id and text are one; only rows whose id repeats are shuffled
-    to find them. Rows of components without any id stay.
+    to find them. Rows of components without any id stay, and so do rows without
+    words, which link with nothing. An empty table gives an empty result; columns
+    of any name are kept.
     """
-    found = join_components(docs, id_col, text_col).filter(F.col("component_id").isNull() | F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = save(found.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "join-kept")
-    of = lambda ids: docs.join(bounded(ids.select("__id")), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    again = kept.filter("__rows > 1")
-    return of(kept) if again.isEmpty() else of(kept.filter("__rows = 1")).union(of(again).dropDuplicates([id_col, text_col]))
+    found = join_components(docs, id_col, text_col).toDF("id", "n", "component")
+    found = found.filter(F.col("component").isNull() | F.col("id").eqNullSafe(F.col("component")))
+    kept = save(found.groupBy("id").agg(F.count(F.lit(1)).alias("many")), "join-kept")
+
+    def of(ids: DataFrame) -> DataFrame:
+        ids = bounded(ids.select("id"))
+        return docs.join(ids, docs[id_col].eqNullSafe(ids["id"]), "left_semi")
+
+    again = kept.filter("many > 1")
+    return of(kept) if again.isEmpty() else of(kept.filter("many = 1")).union(of(again).dropDuplicates([id_col, text_col]))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -323,26 +426,27 @@ def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: t
         yield at, held
 
 
-def _link(held: list[tuple[int, int, np.ndarray]], across: bool) -> pa.RecordBatch:
-    """A block's links, as many as join its sets into components; across: only those between its two parts."""
-    held = sorted(held, key=lambda x: (len(x[2]), x[0]))
-    up = list(range(len(held)))
+def _link(held: list[tuple[int, bool, int, np.ndarray]]) -> pa.RecordBatch:
+    """A block's links, as many as join its sets (name, guest, root, set) into components; with guests, only those of guests with others."""
+    held = sorted(held, key=lambda x: (x[1], len(x[3]), x[0]))
+    if len(held) > 64:
+        kept = may_link(np.array([len(x[3]) for x in held]), [signature(x[3]) for x in held])
+        held = [x for x, may in zip(held, kept) if may]
+    up: dict[int, int] = {}
 
     def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
+        while up.get(i, i) != i:
+            up[i] = up.get(up[i], up[i])
             i = up[i]
         return i
 
-    trees: dict[int, Tree] = {}
-    pairs = []
-    for i, (name, part, v) in enumerate(held):
-        for p, tree in trees.items():
-            if across and p == part:
-                continue
-            for j in tree.links(v, lambda j: root(i) == root(j)):
-                if root(i) != root(j):
-                    up[root(i)] = root(j)
+    tree, pairs, across = Tree(np.zeros(0, np.uint64)), [], any(x[1] for x in held)
+    for i, (name, guest, own, v) in enumerate(held):
+        if guest or not across:
+            for j in tree.links(v, lambda j: root(own) == root(held[j][2])):
+                if root(own) != root(held[j][2]):
+                    up[root(own)] = root(held[j][2])
                     pairs.append((name, held[j][0]))
-        trees.setdefault(part if across else 0, Tree(v[:0])).add(v, i)
+        if not guest:
+            tree.add(v, i)
     return pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], ["a", "b"])

@@ -142,12 +142,71 @@ def brute_components(rows):
     return collections.Counter((r[0], len(sets[i]), least.get(root(i)) if sets[i] else r[0]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("options", [{}, {"max_listed": 2, "block_grams": 300}, {"max_frequent": 0, "max_listed": 0}])
+@pytest.mark.parametrize("options", [{}, {"max_listed": 2, "block_grams": 300}, {"max_frequent": 0, "max_listed": 0}, {"max_listed": 3, "block_grams": 10, "salt_rows": 2}])
 def test_jaccard_join(docs, rows, none, options):
     assert collections.Counter(map(tuple, join_components(docs, **options).collect())) == brute_components(rows)
     assert join_components(none, **options).count() == 0
 
 
+def test_jaccard_join_of_chains(spark):
+    """Chains of near copies, in which the ends don't link, over parts of a few sets; with copies, and texts that share a passage only."""
+    import random
+
+    r = random.Random(8)
+    passage, rows = [f"p{i}" for i in range(40)], []
+    for c in range(3):
+        w = [f"c{c}w{i}" for i in range(60)]
+        for step in range(25):
+            rows.append((len(rows), " ".join(w)))
+            w[(step * 7) % 60] = f"c{c}new{step}"
+    rows += [(len(rows) + i, " ".join(passage + [f"x{i}y{r.randrange(9)}" for _ in range(4 + i % 5)])) for i in range(40)]
+    rows += [(500 + i, rows[10][1]) for i in range(30)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) < 60
+    for options in ({}, {"max_listed": 2, "block_grams": 250}, {"max_listed": 1, "block_grams": 600, "salt_rows": 3}):
+        assert collections.Counter(map(tuple, join_components(docs, **options).collect())) == want
+
+
+def test_may_link_loses_no_pair():
+    from tallywell.llm.prefix_tree import may_link, signature
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 50).astype(np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(50) < rng.choice([0.5, 0.9, 0.97])], rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64)]) for _ in range(200)]
+    sets = [s for s in sets if len(s)]
+    got = may_link(np.array([len(s) for s in sets]), [signature(s) for s in sets])
+    for i, x in enumerate(sets):
+        if any(i != j and 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y)) for j, y in enumerate(sets)):
+            assert got[i]
+    assert not got.all()
+
+
+@pytest.mark.parametrize("most", [1, 2, 5])
+def test_meeting_of_long_and_short_runs(most):
+    from tallywell.llm.prefix_tree import Meeting
+
+    rng = np.random.default_rng(most)
+    rows = sorted({(int(g), int(x)) for g, x in zip(rng.zipf(1.4, 3000) % 300, rng.integers(0, 400, 3000))})
+    rows = sorted(rows + rows[::7])
+    groups = collections.defaultdict(set)
+    for g, x in rows:
+        groups[g].add(x)
+    pairs = {(min(s), x, y) for s in groups.values() if 2 <= len(s) <= most for x in s for y in s if x < y}
+    posted = {(g, x) for g, s in groups.items() if len(s) > most for x in s}
+    for size in (1, 3, 50, 4000):
+        m, out = Meeting(most), []
+        for a in range(0, len(rows), size):
+            g, x = (np.array(c, np.int64) for c in zip(*rows[a : a + size]))
+            out += m.add(g, x, np.full(len(g), 9))
+        out += m.add(*[np.zeros(0, np.int64)] * 3, last=True)
+        got = [r for b in out for r in b.to_pylist()]
+        assert {(r["gram"], r["x"]) for r in got if r["gram"] is not None} == posted
+        listed = [(r["pivot"], r["x"], r["y"]) for r in got if r["gram"] is None]
+        assert set(listed) == pairs and len(listed) == sum(len(s) * (len(s) - 1) // 2 for s in groups.values() if 2 <= len(s) <= most)
+
+
 def test_keep_one(docs, rows):
     kept = keep_one(docs)
     assert kept.columns == docs.columns
