@@ -7,11 +7,13 @@ their own share ids, and such a word's probability is that of its id times its
 smoothed share of the id's count. A document's score is the sum of the
 log-probabilities of all its tokens.
 
-The network is trained here, in numpy, on the documents: in each round every
-task of one Spark job starts from the same weights, takes Adagrad steps over that
-round's positions of its own rows, and its weights are averaged with all others',
-by the number of positions, in one aggregation. The rounds deal out all positions
-of all documents: each is a target in one of them.
+The network is trained here, in numpy, on the documents: their ids are dealt to
+shards of about SHARD tokens by a hash of the document, so that the outcome does
+not depend on how the input is cut. In each round every shard starts from the
+same weights, takes Adagrad steps over that round's positions of its own, and its
+weights are averaged with all others', by the number of positions, in one
+aggregation. The rounds deal out all positions of all documents: each is a target
+in one of them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import save, settle
+from .session import fresh_path, save, settle
 from .words import Words, blocks, mix
 
 R = 2  # tokens seen on each side
@@ -38,6 +40,10 @@ _STEP = 1 << 15
 SMOOTH = 0.5  # added to the count of each word of a shared id, and once for words not seen
 _CHUNK = 16 << 20  # bytes of text whose shared words are looked up together
 _CHUNK_ROWS = 1 << 16
+SHARD = 1 << 20  # tokens that are trained on one after another, about
+_PIECE = 1 << 16  # tokens of a document that are dealt together
+_SEEN = 0x8000  # marks an id that is context only
+_SHIFTS = np.r_[-R:0, 1 : R + 1]
 
 
 class Vocabulary:
@@ -125,22 +131,36 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return {k: x.reshape(s).astype(np.float32) for (k, s), x in zip(_SHAPES.items(), np.split(flat, ends))}
 
 
-def contexts(w: Words, ids: np.ndarray) -> np.ndarray:
-    """For each token the ids on both sides, and VOCAB where its document ends."""
-    doc, out = w.text_of(), np.full((len(ids), 2 * R), VOCAB, np.int64)
-    for c, shift in enumerate([*range(-R, 0), *range(1, R + 1)]):
-        a, b = (slice(-shift, None), slice(None, shift)) if shift < 0 else (slice(None, -shift), slice(shift, None))
-        same = doc[a] == doc[b]
-        out[a, c] = np.where(same, ids[b], VOCAB)
-    return out
+def stream(w: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents, R times VOCAB before and after each, and the place of each token in them."""
+    place = np.arange(len(ids)) + R * (w.text_of() + 1)
+    out = np.full(len(ids) + R * (len(w.count) + 1), VOCAB, np.uint16)
+    out[place] = ids
+    return out, place
+
 
+def pieces(w: Words, ids: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(document, number, ids) of parts of at most _PIECE tokens, with the context on both sides marked as such."""
+    ids = ids.astype("<u2")
+    for doc, (first, count) in enumerate(zip(w.first.tolist(), w.count.tolist())):
+        for number, a in enumerate(range(first, first + count, _PIECE)):
+            b, end = min(a + _PIECE, first + count), first + count
+            before, after = ids[max(a - R, first) : a] | _SEEN, ids[b : min(b + R, end)] | _SEEN
+            yield doc, number, np.concatenate([before, ids[a:b], after]).tobytes()
 
-def round_of(w: Words, h: np.ndarray, rounds: int) -> np.ndarray:
-    """For each token the round that trains on it: drawn by a hash of its document's words and its place, so that it is the same in every job."""
-    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)]
-    doc = sums[w.first + w.count] - sums[w.first]
-    place = np.arange(len(h)) - np.repeat(w.first, w.count)
-    return (mix(np.repeat(doc, w.count) + mix(place.astype(np.uint64) + np.uint64(1))) % np.uint64(rounds)).astype(np.int64)
+
+def steps(shard: int, ids: np.ndarray, rounds: int, turn: int, batch: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, targets) for each step over a shard's ids in one round; every position is in one of the rounds."""
+    seen, known = ids & (_SEEN - 1), ids < _SEEN
+    rng = np.random.default_rng([turn, shard & 0xFFFFFFFF, shard >> 32])
+    for a in range(0, len(ids), _PIECE):
+        at = np.arange(a, min(a + _PIECE, len(ids)))
+        at = at[known[at] & (ids[at] != VOCAB)]
+        drawn = mix(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(shard)) % np.uint64(rounds)
+        at = rng.permutation(at[drawn == turn])
+        for s in range(0, len(at), batch):
+            some = at[s : s + batch]
+            yield seen[some[:, None] + _SHIFTS].astype(np.int64), seen[some].astype(np.int64)
 
 
 def _forward(p: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,17 +180,36 @@ def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield c, order[ends[c] : ends[c + 1]]
 
 
+def shifted(p: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """What each id adds to the hidden layer at each place of the context."""
+    return [p["emb"] @ p["w"][i * DIM : (i + 1) * DIM] for i in range(2 * R)]
+
+
+def _log_probs(p: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The log-probabilities of some ids, given the hidden layer."""
+    z = h @ p["cw"] + p["cb"]
+    z -= z.max(1, keepdims=True)
+    lp = z[np.arange(len(t)), t // WITHIN] - np.log(np.exp(z).sum(1))
+    for c, rows in _by_class(t):
+        y = h[rows] @ p["tw"][c] + p["tb"][c]
+        y -= y.max(1, keepdims=True)
+        lp[rows] += y[np.arange(len(rows)), t[rows] % WITHIN] - np.log(np.exp(y).sum(1))
+    return lp
+
+
 def log_probs(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    out = np.empty(len(target))
-    for s in range(0, len(target), _STEP):
-        t = target[s : s + _STEP]
-        _, h, z = _forward(p, ctx[s : s + _STEP])
-        lp = z[np.arange(len(t)), t // WITHIN] - np.log(np.exp(z).sum(1))
-        for c, rows in _by_class(t):
-            y = h[rows] @ p["tw"][c] + p["tb"][c]
-            y -= y.max(1, keepdims=True)
-            lp[rows] += y[np.arange(len(rows)), t[rows] % WITHIN] - np.log(np.exp(y).sum(1))
-        out[s : s + _STEP] = lp
+    return _log_probs(p, _forward(p, ctx)[1], target)
+
+
+def stream_log_probs(p: dict[str, np.ndarray], parts: list[np.ndarray], ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The log-probability of the id at each place of a stream."""
+    out = np.empty(len(place))
+    for s in range(0, len(place), _STEP):
+        at = place[s : s + _STEP]
+        h = p["b"] + parts[0][ids[at + _SHIFTS[0]]]
+        for part, shift in zip(parts[1:], _SHIFTS[1:]):
+            h += part[ids[at + shift]]
+        out[s : s + _STEP] = _log_probs(p, np.tanh(h, out=h), ids[at].astype(np.int64))
     return out
 
 
@@ -182,24 +221,62 @@ def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -
     d /= d.sum(1, keepdims=True)
     d[np.arange(n), t // WITHIN] -= 1
     d /= n
-    grad = {"cw": h.T @ d, "cb": d.sum(0), "tw": np.zeros_like(p["tw"]), "tb": np.zeros_like(p["tb"])}
+    grad = {"cw": h.T @ d, "cb": d.sum(0)}
     dh = d @ p["cw"].T
     for c, rows in _by_class(t):
-        y = h[rows] @ p["tw"][c] + p["tb"][c]
-        y = np.exp(y - y.max(1, keepdims=True))
+        own = h[rows]
+        y = own @ p["tw"][c] + p["tb"][c]
+        y -= y.max(1, keepdims=True)
+        np.exp(y, out=y)
         y /= y.sum(1, keepdims=True)
         y[np.arange(len(rows)), t[rows] % WITHIN] -= 1
         y /= n
-        grad["tw"][c], grad["tb"][c] = h[rows].T @ y, y.sum(0)
         dh[rows] += y @ p["tw"][c].T
+        _adagrad(p["tw"][c], g2["tw"][c], own.T @ y, rate)
+        _adagrad(p["tb"][c], g2["tb"][c], y.sum(0), rate)
     da = dh * (1 - h * h)
     grad["w"], grad["b"] = x.T @ da, da.sum(0)
     dx = (da @ p["w"].T).reshape(-1, DIM)
     flat = ctx.ravel()
-    grad["emb"] = np.stack([np.bincount(flat, dx[:, i], VOCAB + 1) for i in range(DIM)], 1).astype(np.float32)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
+    used = flat[order[first]]
     for k, g in grad.items():
-        g2[k] += g * g
-        p[k] -= rate * g / (np.sqrt(g2[k]) + 1e-8)
+        _adagrad(p[k], g2[k], g, rate)
+    g = np.add.reduceat(dx[order], first, 0)
+    g2["emb"][used] += g * g
+    p["emb"][used] -= rate * g / (np.sqrt(g2["emb"][used]) + 1e-8)
+
+
+def _adagrad(p: np.ndarray, g2: np.ndarray, g: np.ndarray, rate: float) -> None:
+    g2 += g * g
+    p -= rate * g / (np.sqrt(g2) + 1e-8)
+
+
+def averaged(trained: DataFrame) -> dict[str, np.ndarray] | None:
+    """trained(slice, n, value): sums of weights in slices, weighted by n -> their mean; None without any.
+
+    Slices are summed as they stream by, so a task holds one sum for each of its own.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for i, n, v in zip(*[b.column(c).to_pylist() for c in ("slice", "n", "value")]):
+                v = np.frombuffer(v, "<f8")
+                have = sums.get(i)
+                sums[i] = [n, v.copy()] if have is None else [have[0] + n, have[1] + v]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x[0] for x in sums.values()], pa.float64()), pa.array([x[1].tobytes() for x in sums.values()], pa.binary())], ["slice", "n", "value"])
+
+    got = trained.repartition("slice").mapInArrow(add, _TRAINED).toArrow().sort_by("slice")  # _SLICES rows
+    if not got.num_rows:
+        return None
+    return unpack(np.concatenate([np.frombuffer(v, "<f8") / n for n, v in zip(got.column("n").to_pylist(), got.column("value").to_pylist())]))
+
+
+_TRAINED = "slice int, n double, value binary"
+_SLICES = 64
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, batch: int = 2048, rate: float = 0.1) -> DataFrame:
@@ -212,14 +289,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     D words of the id. Training sees every position of every document once, dealt
     over ``rounds`` passes; scoring sees every token of every document.
 
-    Gathered from the corpus: the counts of all words, which are written to the
-    shared folder, and the weights of every task, summed by weight index. Both
-    grow with the input, and what the driver receives of them, VOCAB words, SHARED
-    sums and one set of weights, does not. Shares reach documents by a join on the
-    word's hash: the words of a chunk of documents move once each, with the places
-    of their documents in it, and come back with their shares. The scores without
-    shares and these words are written to the shared folder, so a lost executor
-    costs its tasks of a step.
+    Gathered from the corpus: the counts of all words, and the ids of all
+    documents by shard, which are written to the shared folder, and the weights of
+    every task, summed in slices. All grow with the input, and what the driver
+    receives of them, VOCAB words, SHARED sums and one set of weights, does not.
+    Shares reach documents by a join on the word's hash: the words of a chunk of
+    documents move once each, with the places of their documents in it, and come
+    back with their shares. The scores without shares and these words are written
+    to the shared folder, so a lost executor costs its tasks of a step.
+
+    Shards, their order and the order of steps follow from ids and texts alone:
+    another partitioning of the input gives the same scores but for rounding.
+    Long texts are dealt, trained on and scored in pieces.
 
     Null and empty texts have no tokens: log_prob 0. Null ids, repeated rows and
     other columns change nothing. An empty table gives an empty result.
@@ -230,35 +311,61 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = word_counts(rows.select("text"))
     top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - SHARED).toArrow()
     words = spark.sparkContext.broadcast(Vocabulary(top.column("word").to_numpy().astype(np.int64).view(np.uint64)))
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    shards = -(-tokens // SHARD)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            w = Words(b.column("text"))
+            found = list(pieces(w, words.value.ids(w.hashes())))
+            if found:
+                doc, number, ids = zip(*found)
+                key = b.column("key").to_numpy()[list(doc)]
+                at = mix(key.view(np.uint64) + mix(np.array(number, np.uint64))) % np.uint64(shards)
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(key), pa.array(number, pa.int32()), pa.array(ids, pa.binary())], ["shard", "key", "number", "ids"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pieces of a shard in one row, or in several where it is large."""
+        edge, at, held, size = np.full(R, VOCAB, "<u2").tobytes(), None, [], 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([edge + edge.join(held) + edge], pa.binary())], ["shard", "ids"])
+        for b in batches:
+            for shard, ids in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
+                if held and (shard != at or size > 8 * SHARD):
+                    yield row()
+                    held, size = [], 0
+                at = shard
+                held.append(ids)
+                size += len(ids)
+        if held:
+            yield row()
+
     weights = start_weights()
-    for turn in range(rounds):
+    if rounds and shards:
+        key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).alias("key")
+        dealt = rows.select(key, "text").mapInArrow(deal, "shard long, key long, number int, ids binary").repartition("shard").sortWithinPartitions("shard", "key", "number", "ids")
+        path = fresh_path(spark, "lm-shards")
+        dealt.select("shard", "ids").mapInArrow(gather, "shard long, ids binary").write.option("parquet.block.size", 4 * SHARD).option("parquet.page.size.row.check.min", 1).parquet(path)
+        settle(spark)
+    for turn in range(rounds if shards else 0):
         now = spark.sparkContext.broadcast(weights)
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = {k: v.copy() for k, v in now.value.items()}
-            g2 = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-            seen, rng = 0, np.random.default_rng(turn)
-            for b in blocks(batches):
-                w = Words(b.column("text"))
-                h = w.hashes()
-                ids = words.value.ids(h)
-                own = np.flatnonzero(round_of(w, h, rounds) == turn)
-                ctx, t = contexts(w, ids)[own], ids[own]
-                order = rng.permutation(len(t))
-                for s in range(0, len(t), batch):
-                    some = order[s : s + batch]
-                    train_step(p, g2, ctx[some], t[some], rate)
-                seen += len(t)
+            total, seen = np.zeros(sum(v.size for v in now.value.values())), 0
+            for b in batches:
+                for shard, ids in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
+                    p = {k: v.copy() for k, v in now.value.items()}
+                    g2 = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+                    n = 0
+                    for ctx, t in steps(shard, np.frombuffer(ids, "<u2"), rounds, turn, batch):
+                        train_step(p, g2, ctx, t, rate)
+                        n += len(t)
+                    total += pack(p).astype(np.float64) * n
+                    seen += n
             if seen:
-                flat = pack(p).astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.r_[float(seen), flat])], ["slot", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLICES, dtype=np.int32)), pa.array(np.full(_SLICES, float(seen))), pa.array([x.tobytes() for x in np.array_split(total, _SLICES)], pa.binary())], ["slice", "n", "value"])
 
-        sums = rows.select("text").mapInArrow(fit, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toArrow()
-        if sums.num_rows:
-            order = np.argsort(sums.column("slot").to_numpy())
-            value = sums.column("value").to_numpy()[order]
-            weights = unpack(value[1:] / value[0])
-    final = spark.sparkContext.broadcast(weights)
+        weights = averaged(spark.read.schema("shard long, ids binary").parquet(path).mapInArrow(fit, _TRAINED)) or weights
+    final = spark.sparkContext.broadcast((weights, shifted(weights)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each chunk its rows, without the shares of words, and then each of its shared words with the places of the rows it is in."""
@@ -269,7 +376,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 w = Words(b.column("text"))
                 h = w.hashes()
                 ids = words.value.ids(h)
-                lp = log_probs(final.value, contexts(w, ids), ids)
+                lp = stream_log_probs(*final.value, *stream(w, ids))
                 total = np.bincount(w.text_of(), lp, b.num_rows) if len(ids) else np.zeros(b.num_rows)
                 own = ids < SHARED
                 found.append(h[own])
