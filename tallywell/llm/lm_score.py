@@ -166,13 +166,23 @@ def steps(shard: int, ids: np.ndarray, rounds: int, turn: int, batch: int) -> It
 def _forward(p: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = p["emb"][ctx].reshape(len(ctx), -1)
     h = np.tanh(x @ p["w"] + p["b"])
-    z = h @ p["cw"] + p["cb"]
-    z -= z.max(1, keepdims=True)
-    return x, h, z
+    return x, h, _logits(h, p["cw"], p["cb"])
+
+
+def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Clipped, so that their exponentials and the sums of these are within single precision."""
+    z = h @ w
+    z += b
+    return np.clip(z, -60, 60, out=z)
+
+
+def _total(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, as a product: a reduction over short rows is several times slower."""
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    kind = target // WITHIN
+    kind = (target // WITHIN).astype(np.uint8)
     order = np.argsort(kind, kind="stable")
     ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
@@ -187,13 +197,11 @@ def shifted(p: dict[str, np.ndarray]) -> list[np.ndarray]:
 
 def _log_probs(p: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray) -> np.ndarray:
     """The log-probabilities of some ids, given the hidden layer."""
-    z = h @ p["cw"] + p["cb"]
-    z -= z.max(1, keepdims=True)
-    lp = z[np.arange(len(t)), t // WITHIN] - np.log(np.exp(z).sum(1))
+    z = _logits(h, p["cw"], p["cb"])
+    lp = z[np.arange(len(t)), t // WITHIN] - np.log(_total(np.exp(z)))
     for c, rows in _by_class(t):
-        y = h[rows] @ p["tw"][c] + p["tb"][c]
-        y -= y.max(1, keepdims=True)
-        lp[rows] += y[np.arange(len(rows)), t[rows] % WITHIN] - np.log(np.exp(y).sum(1))
+        y = _logits(h[rows], p["tw"][c], p["tb"][c])
+        lp[rows] += y[np.arange(len(rows)), t[rows] % WITHIN] - np.log(_total(np.exp(y)))
     return lp
 
 
@@ -218,17 +226,16 @@ def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -
     n = len(t)
     x, h, z = _forward(p, ctx)
     d = np.exp(z)
-    d /= d.sum(1, keepdims=True)
+    d /= _total(d)[:, None]
     d[np.arange(n), t // WITHIN] -= 1
     d /= n
     grad = {"cw": h.T @ d, "cb": d.sum(0)}
     dh = d @ p["cw"].T
     for c, rows in _by_class(t):
         own = h[rows]
-        y = own @ p["tw"][c] + p["tb"][c]
-        y -= y.max(1, keepdims=True)
+        y = _logits(own, p["tw"][c], p["tb"][c])
         np.exp(y, out=y)
-        y /= y.sum(1, keepdims=True)
+        y /= _total(y)[:, None]
         y[np.arange(len(rows)), t[rows] % WITHIN] -= 1
         y /= n
         dh[rows] += y @ p["tw"][c].T
@@ -237,9 +244,9 @@ def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -
     da = dh * (1 - h * h)
     grad["w"], grad["b"] = x.T @ da, da.sum(0)
     dx = (da @ p["w"].T).reshape(-1, DIM)
-    flat = ctx.ravel()
+    flat = ctx.ravel().astype(np.uint16)
     order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
+    first = np.flatnonzero(np.r_[True, flat[order][1:] > flat[order][:-1]])
     used = flat[order[first]]
     for k, g in grad.items():
         _adagrad(p[k], g2[k], g, rate)
@@ -306,6 +313,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other columns change nothing. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    spark.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")  # a task has one core; more threads for its small products only wait
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     counts = word_counts(rows.select("text"))
