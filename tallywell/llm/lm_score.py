@@ -65,15 +65,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n): the hash of every word of ``text``, and how often it occurs, written to the shared folder."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            h, n = np.unique(Words(b.column("text")).hashes(), return_counts=True)
+        for chunk in chunks(batches):
+            h, n = np.unique(np.concatenate([Words(b.column("text")).hashes() for b in chunk]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
     return save(texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
 
 
-def log_shares(counts: DataFrame, words: Broadcast) -> DataFrame:
-    """(word, log_share) for each word of ``counts`` that shares an id."""
+def log_shares(counts: DataFrame, words: Broadcast) -> tuple[DataFrame, np.ndarray]:
+    """(word, log_share) for each word of ``counts`` that shares an id; and by id the log of what its words share."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
@@ -98,7 +98,7 @@ def log_shares(counts: DataFrame, words: Broadcast) -> DataFrame:
         for ids, h, n in shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.log(n + SMOOTH) - whole[ids])], ["word", "log_share"])
 
-    return counts.mapInArrow(share, "word long, log_share double")
+    return counts.mapInArrow(share, "word long, log_share double"), whole
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -181,13 +181,12 @@ def _total(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], x.dtype)
 
 
-def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    kind = (target // WITHIN).astype(np.uint8)
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+def _by_class(target: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The classes of ascending ids, and where they are."""
+    ends = np.searchsorted(target, np.arange(CLASSES + 1) * WITHIN)
     for c in range(CLASSES):
         if ends[c] < ends[c + 1]:
-            yield c, order[ends[c] : ends[c + 1]]
+            yield c, slice(ends[c], ends[c + 1])
 
 
 def shifted(p: dict[str, np.ndarray]) -> list[np.ndarray]:
@@ -196,17 +195,20 @@ def shifted(p: dict[str, np.ndarray]) -> list[np.ndarray]:
 
 
 def _log_probs(p: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The log-probabilities of some ids, given the hidden layer."""
+    """The log-probabilities of some ids, in ascending order, given the hidden layer."""
     z = _logits(h, p["cw"], p["cb"])
     lp = z[np.arange(len(t)), t // WITHIN] - np.log(_total(np.exp(z)))
     for c, rows in _by_class(t):
         y = _logits(h[rows], p["tw"][c], p["tb"][c])
-        lp[rows] += y[np.arange(len(rows)), t[rows] % WITHIN] - np.log(_total(np.exp(y)))
+        lp[rows] += y[np.arange(len(y)), t[rows] % WITHIN] - np.log(_total(np.exp(y)))
     return lp
 
 
 def log_probs(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    return _log_probs(p, _forward(p, ctx)[1], target)
+    order = np.argsort(target, kind="stable")
+    out = np.empty(len(target))
+    out[order] = _log_probs(p, _forward(p, ctx[order])[1], target[order])
+    return out
 
 
 def stream_log_probs(p: dict[str, np.ndarray], parts: list[np.ndarray], ids: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -214,16 +216,19 @@ def stream_log_probs(p: dict[str, np.ndarray], parts: list[np.ndarray], ids: np.
     out = np.empty(len(place))
     for s in range(0, len(place), _STEP):
         at = place[s : s + _STEP]
+        order = np.argsort(ids[at], kind="stable")
+        at = at[order]
         h = p["b"] + parts[0][ids[at + _SHIFTS[0]]]
         for part, shift in zip(parts[1:], _SHIFTS[1:]):
             h += part[ids[at + shift]]
-        out[s : s + _STEP] = _log_probs(p, np.tanh(h, out=h), ids[at].astype(np.int64))
+        out[s + order] = _log_probs(p, np.tanh(h, out=h), ids[at].astype(np.int64))
     return out
 
 
 def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -> None:
     """One Adagrad step on the mean negative log-likelihood of a batch."""
-    n = len(t)
+    n, order = len(t), np.argsort(t.astype(np.uint16), kind="stable")
+    ctx, t = ctx[order], t[order]
     x, h, z = _forward(p, ctx)
     d = np.exp(z)
     d /= _total(d)[:, None]
@@ -236,7 +241,7 @@ def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -
         y = _logits(own, p["tw"][c], p["tb"][c])
         np.exp(y, out=y)
         y /= _total(y)[:, None]
-        y[np.arange(len(rows)), t[rows] % WITHIN] -= 1
+        y[np.arange(len(y)), t[rows] % WITHIN] -= 1
         y /= n
         dh[rows] += y @ p["tw"][c].T
         _adagrad(p["tw"][c], g2["tw"][c], own.T @ y, rate)
@@ -286,7 +291,7 @@ _TRAINED = "slice int, n double, value binary"
 _SLICES = 64
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, batch: int = 2048, rate: float = 0.1) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, batch: int = 2048, rate: float = 0.1, table_words: int = 200_000) -> DataFrame:
     """One row for each row of ``docs``: id, n_tokens, log_prob (summed), mean_log_prob (null without tokens).
 
     A token is a word ([^\\x20\\x09-\\x0D]+); the VOCAB - SHARED most frequent
@@ -299,9 +304,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Gathered from the corpus: the counts of all words, and the ids of all
     documents by shard, which are written to the shared folder, and the weights of
     every task, summed in slices. All grow with the input, and what the driver
-    receives of them, VOCAB words, SHARED sums and one set of weights, does not.
-    Shares reach documents by a join on the word's hash: the words of a chunk of
-    documents move once each, with the places of their documents in it, and come
+    receives of them, VOCAB + ``table_words`` words, SHARED sums and one set of
+    weights, does not.
+    Shares of the ``table_words`` most frequent words without an id of their own
+    are broadcast; those of all others reach documents by a join on the word's
+    hash: such words of a chunk of documents move once each, with the places of their documents in it, and come
     back with their shares. The scores without shares and these words are written
     to the shared folder, so a lost executor costs its tasks of a step.
 
@@ -317,8 +324,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     counts = word_counts(rows.select("text"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - SHARED).toArrow()
-    words = spark.sparkContext.broadcast(Vocabulary(top.column("word").to_numpy().astype(np.int64).view(np.uint64)))
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - SHARED + table_words).toArrow().combine_chunks()
+    frequent, times = top.column("word").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
+    vocabulary = Vocabulary(frequent[: VOCAB - SHARED])
+    words = spark.sparkContext.broadcast(vocabulary)
+    shares, whole = log_shares(counts, words)
+    frequent, times = frequent[VOCAB - SHARED :], times[VOCAB - SHARED :]
+    order = np.argsort(frequent)
+    table = spark.sparkContext.broadcast((frequent[order], (np.log(times + SMOOTH) - whole[vocabulary.ids(frequent)])[order] if len(frequent) else np.zeros(0)))
     tokens = counts.agg(F.sum("n")).first()[0] or 0
     shards = -(-tokens // SHARD)
 
@@ -386,7 +399,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ids = words.value.ids(h)
                 lp = stream_log_probs(*final.value, *stream(w, ids))
                 total = np.bincount(w.text_of(), lp, b.num_rows) if len(ids) else np.zeros(b.num_rows)
-                own = ids < SHARED
+                own = np.flatnonzero(ids < SHARED)
+                keys, log_share = table.value
+                if len(keys) and len(own):
+                    near = np.minimum(np.searchsorted(keys, h[own]), len(keys) - 1)
+                    known = keys[near] == h[own]
+                    total += np.bincount(w.text_of()[own[known]], log_share[near[known]], b.num_rows)
+                    own = own[~known]
                 found.append(h[own])
                 at.append((w.text_of()[own] + done).astype(np.uint16))
                 places = np.arange(done, done + b.num_rows, dtype=np.int32)
@@ -419,7 +438,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = list(fields)
     parts = save(rows.mapInArrow(score, T.StructType([T.StructField(k, t) for k, t in fields.items()])), "lm-parts")
     settle(spark)
-    shares = parts.filter("word IS NOT NULL").select("chunk", "word", "places").join(log_shares(counts, words), "word").select(F.col("chunk").alias("of"), "places", "log_share")
+    shares = parts.filter("word IS NOT NULL").select("chunk", "word", "places").join(shares, "word").select(F.col("chunk").alias("of"), "places", "log_share")
     base = parts.filter("word IS NULL").select("chunk", "row", "id", "n_tokens", "log_prob")
     schema = T.StructType([T.StructField(id_col, id_spark), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
     return base.groupBy("chunk").cogroup(shares.groupBy("of")).applyInArrow(total, schema)

@@ -68,12 +68,13 @@ def test_counts_do_not_depend_on_how_rows_are_split(spark):
         assert {r.word: r.n for r in lm_score.word_counts(df.repartition(parts)).collect()} == want
 
 
-def test_shared_words_score_by_their_share(spark):
+@pytest.mark.parametrize("table_words", [0, 700, 200_000])
+def test_shared_words_score_by_their_share(spark, table_words):
     """Without training, a document's score is its ids' log-probabilities, and for each word that shares an id its log share."""
     own = lm_score.VOCAB - lm_score.SHARED
     texts = [" ".join(f"t{i}" for i in range(own))] * 9 + ["t1 some rare words", "some t2 more rare rare", "", None, " ".join(f"w{i}" for i in range(5000))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in lm_score.score_documents(df, rounds=0).collect()}
+    got = {r.doc_id: r for r in lm_score.score_documents(df, rounds=0, table_words=table_words).collect()}
     w = Words(pa.array(texts))
     h = w.hashes()
     n = collections.Counter(h.tolist())
