@@ -64,9 +64,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, i
     items = items.withColumn("partition", wide).withColumn("m", F.when(wide < 3, n).otherwise(F.least(n, 2 * miss + 1))).withColumn("least", F.col("m") - miss)
     items = save(items.dropDuplicates(["item", "shingles"]).withColumn("set", F.xxhash64(F.col("item").cast("string"), "shingles")), "leak-items")
     sketches = save(items.select("partition", "set", "least", F.explode(F.slice("hashes", F.lit(1), F.col("m"))).alias("h")), "leak-sketches")
-    hashed = docs.select(row, _words(text).alias("w")).select("row", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    # a document visits the partitions whose smallest item it could hold, by its own number of places
-    largest = F.floor(F.log2(F.greatest(F.size("w") - (K - 1), F.lit(1)) / F.lit(threshold)) + 1e-9).cast("int").alias("largest")
+    hashed = docs.select(row, F.octet_length(text).alias("size"), _words(text).alias("w")).select("row", "size", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    # a document visits the partitions whose smallest item it could hold: it has at most a shingle for every two bytes
+    largest = F.floor(F.log2((F.col("size") + 1) / F.lit(2.0 * threshold)) + 1e-9).cast("int").alias("largest")
     seen = hashed.select("row", largest, F.explode(_shingle_hashes("w")).alias("h"))
     hits = seen.join(bounded(sketches), "h").filter("partition <= largest").groupBy("row", "set", "least").agg(F.countDistinct("h").alias("hits"))
     candidates = save(hits.filter("hits >= least").select("row", "set"), "leak-candidates")
