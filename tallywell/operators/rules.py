@@ -3,18 +3,17 @@
 A condition is a boolean column over an entity's evaluations in time order; a
 hold turns conditions into states. Most of both are window functions, so the
 data may be spread by entity. Those that carry a state from one evaluation to the
-next (CUSUM, a decayed baseline, a latch, a rollout's verdict) fold each entity's
-evaluations, whose number is set by the evaluation grid and not by the data.
+next (CUSUM, a latch that isn't extended, the choice of matches) fold an array of
+each entity's evaluations, whose number is set by the evaluation grid and not by
+the data, in one expression.
 
 A missing value never meets a condition.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,70 +72,81 @@ def x_of_last_y(flag: str, x: int, y: int) -> Column:
     return F.sum(F.col(flag).cast("int")).over(w) >= x
 
 
-def folded(df: DataFrame, column: str, out: str, step: Callable[[list], list]) -> DataFrame:
-    """df with a boolean column that ``step`` makes of an entity's values in time order."""
-    schema = df.withColumn(out, F.lit(True)).schema
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(TIME)
-        values = [None if v is None or (isinstance(v, float) and math.isnan(v)) else v for v in f[column].tolist()]
-        return f.assign(**{out: step(values)})[schema.names]
-
-    return df.groupBy(ENTITY).applyInPandas(run, schema)
-
-
-def cusum(training: int, k: float, h: float) -> Callable[[list], list]:
-    """S = max(0, S + x - mean - k sd), capped at 2 h sd; holds while S > h sd. Mean and sd are of the training evaluations, all of which must be known."""
-
-    def step(values: list) -> list:
-        base = values[:training]
-        if len(base) < training or None in base:
-            return [False] * len(values)
-        mean = sum(base) / training
-        sd = math.sqrt(sum((v - mean) ** 2 for v in base) / training)
-        s, out = 0.0, []
-        for i, v in enumerate(values):
-            if i < training or v is None:
-                out.append(False)
-            else:
-                s = min(2 * h * sd, max(0.0, s + v - mean - k * sd))
-                out.append(s > h * sd)
-        return out
-
-    return step
+def carried(df: DataFrame, out: str, start: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> DataFrame:
+    """df with a boolean column that depends on what came before.
 
+    start: the state before an entity's first evaluation. step(state, row): the
+    state after a row, and the row's flag.
+    """
+    rest = [c for c in df.columns if c not in (ENTITY, TIME)]
+    in_order = F.array_sort(F.collect_list(F.struct(TIME, *rest))).alias("_rows")
 
-def above_decayed_band(decay: float, k: float, minimum: int) -> Callable[[list], list]:
-    """Above a baseline whose weights decay at each evaluation, plus k decayed deviations."""
+    def merge(acc: Column, row: Column) -> Column:
+        state, flag = step(acc, row)
+        return F.struct(*[state[k].alias(k) for k in start], F.concat(acc["_flags"], F.array(_true(flag))).alias("_flags"))
 
-    def step(values: list) -> list:
-        weight = m1 = m2 = 0.0
-        seen, out = 0, []
-        for v in values:
-            out.append(seen >= minimum and v is not None and v > m1 + k * math.sqrt(max(0.0, m2 - m1 * m1)))
-            if v is not None:
-                weight = 1 + decay * weight
-                m1, m2, seen = m1 + (v - m1) / weight, m2 + (v * v - m2) / weight, seen + 1
-        return out
+    zero = F.struct(*[v.alias(k) for k, v in start.items()], F.array().cast("array<boolean>").alias("_flags"))
+    rows = df.groupBy(ENTITY).agg(in_order).withColumn("_flags", F.aggregate("_rows", zero, merge, lambda acc: acc["_flags"]))
+    rows = rows.select(ENTITY, F.explode(F.arrays_zip("_rows", "_flags")).alias("_x"))
+    return rows.select(ENTITY, "_x._rows.*", F.col("_x._flags").alias(out)).select(*df.columns, out)
 
-    return step
 
+def cusum(df: DataFrame, value: str, out: str, training: int, k: float, h: float) -> DataFrame:
+    """The one-sided cumulative sum of what exceeds mean + k sd, at most 2 h sd; holds while it is above h sd.
 
-def latch(evaluations: int, extend: bool = True, while_held: bool = False) -> Callable[[list], list]:
-    """On for ``evaluations`` from a hit. extend: a hit while on starts the time anew. while_held: also on as long as the condition holds on without a break."""
+    Mean and population deviation are of the first ``training`` evaluations, all
+    of which must be known; they never hold, and neither do missing values, which
+    leave the sum as it is.
+    """
+    known = F.when(~F.isnan(F.col(value)), F.col(value))
+    rows = df.withColumn("_v", known).withColumn("_i", F.row_number().over(W.partitionBy(ENTITY).orderBy(TIME)))
+    first, of = F.when(F.col("_i") <= training, F.col("_v")), W.partitionBy(ENTITY)
+    enough = F.count(first).over(of) == training
+    rows = rows.withColumn("_mean", F.when(enough, F.avg(first).over(of))).withColumn("_sd", F.when(enough, F.stddev_pop(first).over(of)))
+
+    def step(state: Column, row: Column) -> tuple[dict[str, Column], Column]:
+        excess = state["sum"] + row["_v"] - row["_mean"] - k * row["_sd"]
+        now = F.when((row["_i"] > training) & excess.isNotNull(), F.least(2 * h * row["_sd"], F.greatest(F.lit(0.0), excess))).otherwise(state["sum"])
+        return {"sum": now}, excess.isNotNull() & (row["_i"] > training) & (now > h * row["_sd"])
+
+    return carried(rows, out, {"sum": F.lit(0.0)}, step).drop("_v", "_i", "_mean", "_sd")
+
+
+def above_decayed_band(df: DataFrame, value: str, out: str, decay: float, k: float, minimum: int) -> DataFrame:
+    """Above a baseline in which each known evaluation weighs ``decay`` times the next one, plus k such deviations; at
+    least ``minimum`` of them must be known. Weights relative to an entity's first evaluation are powers, so the moments
+    are running sums."""
+    ordered = W.partitionBy(ENTITY).orderBy(TIME)
+    before = ordered.rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumn("_v", F.when(~F.isnan(F.col(value)), F.col(value)).cast("double"))
+    rows = rows.withColumn("_w", F.when(F.col("_v").isNotNull(), F.pow(F.lit(1 / decay), F.count("_v").over(ordered.rowsBetween(W.unboundedPreceding, 0)).cast("double"))))
+    total = F.sum("_w").over(before)
+    centre = F.sum(F.col("_w") * F.col("_v")).over(before) / total
+    square = F.sum(F.col("_w") * F.col("_v") * F.col("_v")).over(before) / total
+    spread = F.sqrt(F.greatest(F.lit(0.0), square - centre * centre))
+    return rows.withColumn(out, _true((F.count("_v").over(before) >= minimum) & (F.col("_v") > centre + k * spread))).drop("_v", "_w")
+
+
+def latch(df: DataFrame, flag: str, out: str, evaluations: int, extend: bool = True, while_held: bool = False) -> DataFrame:
+    """On for ``evaluations`` from a hit on, that one included.
+
+    extend: a hit while on counts anew, so it is on wherever one of the last
+    ``evaluations`` was a hit. Otherwise a hit counts only when it is off; with
+    ``while_held`` it then stays on as long as the condition holds on without a break.
+    """
+    if extend:
+        recent = W.partitionBy(ENTITY).orderBy(TIME).rowsBetween(1 - evaluations, 0)
+        return df.withColumn(out, _true(F.bool_or(F.col(flag)).over(recent)))
 
-    def step(flags: list) -> list:
-        left, on, out = 0, False, []
-        for f in flags:
-            if on and left <= 0:
-                on = bool(while_held and f)
-            if f and (extend or not on):
-                left, on = evaluations, True
-            out.append(on)
-            left -= 1
-        return out
+    def step(state: Column, row: Column) -> tuple[dict[str, Column], Column]:
+        hit = _true(row[flag])
+        running = state["left"] > 0
+        held = state["on"] & hit if while_held else F.lit(False)
+        on = running | held | hit
+        left = F.when(running, state["left"] - 1).when(held, 0).when(hit, evaluations - 1).otherwise(0)
+        return {"left": left, "on": on}, on
 
-    return step
+    return carried(df, out, {"left": F.lit(0), "on": F.lit(False)}, step)
 
 
 # -- agreement of two arms -----------------------------------------------------------------------------------------
@@ -211,20 +221,24 @@ def actions(decision: str) -> Column:
 
 def matched_actions(acted: DataFrame, window: int = 2) -> DataFrame:
     """acted(entity, t, exact, approx actions) -> (entity, action, exact_at, approx_at): pairs of equal actions at most
-    ``window`` evaluations apart, nearest first, then earliest; and what is left alone on either side, with a null."""
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(TIME).reset_index(drop=True)
-        e, a = f["exact"].tolist(), f["approx"].tolist()
-        near = sorted((abs(j - i), j, i) for i, x in enumerate(e) if x != "none" for j in range(max(0, i - window), min(len(a), i + window + 1)) if a[j] == x)
-        pair: dict[int, int] = {}
-        for _, j, i in near:
-            if i not in pair and j not in pair.values():
-                pair[i] = j
-        rows = [(e[i], i, pair.get(i)) for i, x in enumerate(e) if x != "none"] + [(a[j], None, j) for j, x in enumerate(a) if x != "none" and j not in pair.values()]
-        out = pd.DataFrame(rows, columns=["action", "exact_at", "approx_at"]).astype({"exact_at": "Int64", "approx_at": "Int64"})
-        return out.assign(entity=f[ENTITY].iloc[0] if len(f) else None)[[ENTITY, "action", "exact_at", "approx_at"]]
-
-    return acted.groupBy(ENTITY).applyInPandas(run, f"{ENTITY} {acted.schema[ENTITY].dataType.simpleString()}, action string, exact_at long, approx_at long")
+    ``window`` evaluations apart, nearest first, then earliest; and what is left alone on either side, with a null.
+
+    Candidates are a join of each action with the evaluations around it; an
+    entity's candidates, in order of preference, are folded to those whose two
+    ends are both free.
+    """
+    rows = acted.withColumn("i", F.row_number().over(W.partitionBy(ENTITY).orderBy(TIME)) - 1)
+    exact = rows.filter("exact != 'none'").select(ENTITY, F.col("exact").alias("action"), F.col("i").alias("exact_at"))
+    approx = rows.filter("approx != 'none'").select(ENTITY, F.col("approx").alias("action"), F.col("i").alias("approx_at"))
+    near = exact.withColumn("approx_at", F.explode(F.sequence(F.col("exact_at") - window, F.col("exact_at") + window))).join(approx, [ENTITY, "action", "approx_at"])
+    asked = near.groupBy(ENTITY).agg(F.array_sort(F.collect_list(F.struct(F.abs(F.col("exact_at") - F.col("approx_at")).alias("gap"), "approx_at", "exact_at", "action"))).alias("asked"))
+    pairs = F.array().cast("array<struct<action:string,exact_at:int,approx_at:int>>")
+    one = lambda x: F.struct(x["action"].alias("action"), x["exact_at"].alias("exact_at"), x["approx_at"].alias("approx_at"))
+    free = lambda got, x: ~F.exists(got, lambda g: (g["exact_at"] == x["exact_at"]) | (g["approx_at"] == x["approx_at"]))
+    chosen = asked.select(ENTITY, F.explode(F.aggregate("asked", pairs, lambda got, x: F.when(free(got, x), F.concat(got, F.array(one(x)))).otherwise(got))).alias("x")).select(ENTITY, "x.*")
+    only_exact = exact.join(chosen, [ENTITY, "exact_at"], "left_anti").select(ENTITY, "action", "exact_at", F.lit(None).cast("int").alias("approx_at"))
+    only_approx = approx.join(chosen, [ENTITY, "approx_at"], "left_anti").select(ENTITY, "action", F.lit(None).cast("int").alias("exact_at"), "approx_at")
+    return chosen.union(only_exact).union(only_approx)
 
 
 def rollouts(df: DataFrame, failed: str, checks: int, rollback: Callable[[Column, Column, Column], Column]) -> DataFrame:
@@ -256,12 +270,3 @@ def interval_lt(low: Column, high: Column, threshold: Column) -> Column:
 def settle(check: Column, exact: Column, policy: str, default: bool = False) -> Column:
     """An open check takes the default under bound, the exact plan's under rerun."""
     return F.coalesce(check, exact if policy == "rerun" else F.lit(default))
-
-
-#: The parameters of the published rules.
-PUBLISHED: dict[str, Sequence] = {
-    "aws_waf": ("value", 2000), "cloud_armor": ("value", 500, 10), "fastly": ("value", 1200, 2),
-    "ec2_scale_out": ("p95_cpu", 0.6, 3), "ec2_scale_in": ("p95_cpu", 0.4, 3), "grafana_labs": ("p95_cpu_1h", 0.6), "azure_advisor": (0.2, 0.6e9), "vpa": (0.6, 1.6e9, 1.15),
-    "datadog": ("distinct_10s", 60, 3), "kentik": ("distinct_10s", 60, 2.0, 3, 6), "netflow_logic": ("entropy_10s", 50, 0.5, 5), "fastnetmon": ("packets_5s", 100_000, 380), "red_hat": ("distinct_1m", 18_000, 4),
-    "promsketch": (8.5, 3000, 1700), "mux": (0.05, 4.0, 100), "hydra": (30, 3), "conviva_ai": (360, 3, 30, 25, 60), "conviva_patent": (0.998, 3, 30, 100, 5),
-}

@@ -14,12 +14,11 @@ from ..operators import stream_sketches as T
 from ..operators import windows as V
 from . import query, table
 from .sketches import cw
-from .windows import _S, FIRST, HOUR
+from .windows import _S, HOUR, grid, times_sql
 
-_GRID = V.Grid(FIRST, FIRST + 200 * HOUR, HOUR)
 _DRAWN = f"{cw('event_id', 0, 70)} < {int(0.2 * P)}"
 _BASE = f"""WITH {_S.replace('event_type, user_id', 'event_type, user_id, event_id')},
-    w AS (SELECT t, s.* FROM s, (SELECT unnest(range({_GRID.first}, {_GRID.last} + 1, {_GRID.step}))::BIGINT AS t) WHERE ts_ms > t - {6 * HOUR} AND ts_ms <= t),
+    {times_sql(6 * HOUR, HOUR)}, w AS (SELECT t, s.* FROM s, times WHERE ts_ms > t - {6 * HOUR} AND ts_ms <= t),
     r AS (SELECT event_type AS entity, t, round(sum(value), 6) AS v, count(DISTINCT user_id)::DOUBLE AS d FROM w GROUP BY ALL),
     a AS (SELECT event_type AS entity, t, round(sum(value) * 5, 6) AS v, count(DISTINCT user_id)::DOUBLE AS d FROM w WHERE {_DRAWN} GROUP BY ALL)"""
 
@@ -27,7 +26,7 @@ _BASE = f"""WITH {_S.replace('event_type, user_id', 'event_type, user_id, event_
 def _evaluations(spark, sf, drawn=False):
     s = table(spark, sf, "events").select(F.col("event_type").alias("entity"), "user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "value")
     s = T.sampled(s, F.col("event_id"), 0.2) if drawn else s
-    rows = V.windowed(s, _GRID, 6 * HOUR).groupBy("entity", "t")
+    rows = V.windowed(s, grid(spark, sf, 6 * HOUR, HOUR), 6 * HOUR).groupBy("entity", "t")
     return rows.agg(F.round(F.sum("value") * (5 if drawn else 1), 6).alias("v"), F.countDistinct("user_id").cast("double").alias("d"))
 
 
@@ -137,7 +136,19 @@ def decision_autoscale(spark, sf):
     return _scaled(spark, sf)
 
 
-@query()
+_MATCHED = _BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+    x AS (SELECT 0 AS arm, entity, t, {_SCALE} AS d FROM r UNION ALL SELECT 1, entity, t, {_SCALE} FROM a),
+    y AS (SELECT arm, entity, t, CASE WHEN d <> 'none' AND lag(d) OVER (PARTITION BY arm, entity ORDER BY t) <> d THEN d ELSE 'none' END AS act FROM x),
+    z AS (SELECT e.entity, e.act AS e, coalesce(q.act, 'none') AS q, (row_number() OVER (PARTITION BY e.entity ORDER BY e.t) - 1)::INT AS i FROM (SELECT * FROM y WHERE arm = 0) e LEFT JOIN (SELECT * FROM y WHERE arm = 1) q USING (entity, t)),
+    c AS (SELECT entity, a.e AS act, a.i AS i, b.i AS j, row_number() OVER (PARTITION BY entity ORDER BY abs(a.i - b.i), b.i, a.i) AS k FROM z a JOIN z b USING (entity) WHERE a.e <> 'none' AND a.e = b.q AND abs(a.i - b.i) <= 2),
+    g AS (SELECT DISTINCT entity, 0::BIGINT AS k, []::INT[] AS ei, []::INT[] AS qj FROM c UNION ALL
+          SELECT g.entity, c.k, CASE WHEN list_contains(ei, i) OR list_contains(qj, j) THEN ei ELSE list_append(ei, i) END, CASE WHEN list_contains(ei, i) OR list_contains(qj, j) THEN qj ELSE list_append(qj, j) END FROM g JOIN c ON g.entity = c.entity AND c.k = g.k + 1),
+    m AS (SELECT entity, unnest(ei) AS i, unnest(qj) AS j FROM g WHERE k = (SELECT max(k) FROM c WHERE c.entity = g.entity))
+    SELECT z.entity, e AS action, z.i AS exact_at, m.j AS approx_at FROM z LEFT JOIN m ON m.entity = z.entity AND m.i = z.i WHERE e <> 'none'
+    UNION ALL SELECT z.entity, q, NULL, z.i FROM z LEFT JOIN m ON m.entity = z.entity AND m.j = z.i WHERE q <> 'none' AND m.j IS NULL"""
+
+
+@query(_MATCHED)
 def decision_matched_actions(spark, sf):
     e, a = (_scaled(spark, sf, drawn).select("entity", "t", F.col("action").alias(n)) for drawn, n in ((False, "exact"), (True, "approx")))
     return R.matched_actions(e.join(a, ["entity", "t"], "left").fillna("none"))
@@ -170,17 +181,21 @@ def rule_interval_bound(spark, sf):
     return _evaluations(spark, sf, True).select("entity", "t", c.alias("check_"), R.settle(c, F.lit(None), "bound").alias("bound"))
 
 
-@query()
+@query(_BASE.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t) AS i FROM r),
+    b AS (SELECT entity, avg(v) AS m, stddev_pop(v) AS sd FROM o WHERE i <= 50 GROUP BY entity HAVING count(v) = 50),
+    c AS (SELECT entity, 50::BIGINT AS i, 0.0::DOUBLE AS s FROM b UNION ALL SELECT entity, o.i, least(10 * sd, greatest(0, s + v - m - 0.5::DOUBLE * sd)) FROM c JOIN b USING (entity) JOIN o USING (entity) WHERE o.i = c.i + 1)
+    SELECT entity, t, coalesce(o.i > 50 AND s > 5 * sd, false) AS state FROM o LEFT JOIN c USING (entity, i) LEFT JOIN b USING (entity)""")
 def rule_cusum(spark, sf):
-    return R.folded(_evaluations(spark, sf), "v", "state", R.cusum(50, 0.5, 5)).select("entity", "t", "state")
+    return R.cusum(_evaluations(spark, sf), "v", "state", 50, 0.5, 5).select("entity", "t", "state")
 
 
-@query()
+@query(_BASE + """, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t) AS i FROM r), e AS (SELECT *, pow(1 / 0.998::DOUBLE, i) AS w FROM o),
+    m AS (SELECT *, sum(w) OVER p AS s0, sum(w * v) OVER p / sum(w) OVER p AS c, sum(w * v * v) OVER p / sum(w) OVER p AS q FROM e WINDOW p AS (PARTITION BY entity ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT entity, t, coalesce(i > 30 AND v > c + 2 * sqrt(greatest(0, q - c * c)), false) AS state FROM m""")
 def rule_decayed_band(spark, sf):
-    return R.folded(_evaluations(spark, sf), "v", "state", R.above_decayed_band(0.998, 2, 30)).select("entity", "t", "state")
+    return R.above_decayed_band(_evaluations(spark, sf), "v", "state", 0.998, 2, 30).select("entity", "t", "state")
 
 
-@query()
+@query(f"{_BASE} SELECT entity, t, max((v > 1100)::INT) OVER (PARTITION BY entity ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) = 1 AS state FROM r")
 def rule_latch(spark, sf):
-    df = _evaluations(spark, sf).withColumn("hit", R.above("v", 1100))
-    return R.folded(df, "hit", "state", R.latch(10)).select("entity", "t", "state")
+    return R.latch(_evaluations(spark, sf).withColumn("hit", R.above("v", 1100)), "hit", "state", 10).select("entity", "t", "state")

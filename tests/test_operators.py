@@ -126,13 +126,24 @@ def test_space_saving_when_full(spark):
     assert top.key == 7 and top.n >= 1001 >= top.n - top.over
 
 
-def test_sequential_rules():
-    assert R.latch(2)([True, False, False, True, True, False, False]) == [True, True, False, True, True, True, False]
-    assert R.latch(2, extend=False)([True, True, True, False]) == [True, True, True, True]
-    assert R.latch(1, extend=False, while_held=True)([True, True, True, False]) == [True, True, True, False]
-    assert R.cusum(3, 0.5, 1)([1.0, 2.0, 3.0, 2.0, 9.0, None, 0.0]) == [False, False, False, False, True, False, False]
-    assert R.cusum(3, 0.5, 1)([1.0, None, 3.0, 9.0]) == [False] * 4
-    assert R.above_decayed_band(0.9, 1, 2)([1.0, 1.0, 5.0, None]) == [False, False, True, False]
+def test_sequential_rules(spark):
+    def flags(values, f, kind="double"):
+        df = spark.createDataFrame([(e, i, v) for e in ("a", "b") for i, v in enumerate(values)], f"entity string, t int, v {kind}")
+        got = f(df).orderBy("entity", "t").collect()
+        assert [r.on for r in got[: len(values)]] == [r.on for r in got[len(values) :]]
+        return [r.on for r in got[: len(values)]]
+
+    latch = lambda values, *a, **b: flags(values, lambda df: R.latch(df, "v", "on", *a, **b), "boolean")
+    assert latch([True, False, False, True, True, False, False], 2) == [True, True, False, True, True, True, False]
+    assert latch([True, True, True, False], 2, extend=False) == [True, True, True, True]
+    assert latch([True, False, True, None, False], 3, extend=False) == [True, True, True, False, False]
+    assert latch([True, True, True, False], 1, extend=False, while_held=True) == [True, True, True, False]
+    cusum = lambda values: flags(values, lambda df: R.cusum(df, "v", "on", 3, 0.5, 1))
+    assert cusum([1.0, 2.0, 3.0, 2.0, 9.0, None, 0.0]) == [False, False, False, False, True, False, False]
+    assert cusum([1.0, None, 3.0, 9.0]) == [False] * 4
+    band = lambda values: flags(values, lambda df: R.above_decayed_band(df, "v", "on", 0.9, 1, 2))
+    assert band([1.0, 1.0, 5.0, None]) == [False, False, True, False]
+    assert band([1.0, None, float("nan"), 1.0, 0.5, 2.0]) == [False, False, False, False, False, True]
 
 
 def test_holds_and_actions(spark):
@@ -142,6 +153,10 @@ def test_holds_and_actions(spark):
     acted = spark.createDataFrame([("e", i, e, a) for i, (e, a) in enumerate([("none", "none"), ("up", "none"), ("none", "up"), ("down", "none"), ("none", "none"), ("none", "up")])], "entity string, t int, exact string, approx string")
     got = {(r.action, r.exact_at, r.approx_at) for r in R.matched_actions(acted).collect()}
     assert got == {("up", 1, 2), ("down", 3, None), ("up", None, 5)}
+    both = [("up", "none"), ("up", "up"), ("up", "up"), ("none", "none"), ("down", "up"), ("none", "down"), ("down", "none")]
+    acted = spark.createDataFrame([("e", i, e, a) for i, (e, a) in enumerate(both)], "entity string, t int, exact string, approx string")
+    got = {(r.action, r.exact_at, r.approx_at) for r in R.matched_actions(acted).collect()}
+    assert got == {("up", 1, 1), ("up", 2, 2), ("up", 0, None), ("up", None, 4), ("down", 4, 5), ("down", 6, None)}
 
 
 def test_confusion_of_equal_arms_is_clean(spark):
