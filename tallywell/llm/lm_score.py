@@ -169,16 +169,19 @@ def _forward(p: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return x, h, _logits(h, p["cw"], p["cb"])
 
 
+_ONES = {c: np.ones(max(CLASSES, WITHIN), c) for c in "fd"}
+
+
 def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Clipped, so that their exponentials and the sums of these are within single precision."""
     z = h @ w
     z += b
-    return np.clip(z, -60, 60, out=z)
+    return np.maximum(np.minimum(z, 60, out=z), -60, out=z)
 
 
 def _total(x: np.ndarray) -> np.ndarray:
     """Sums of rows, as a product: a reduction over short rows is several times slower."""
-    return x @ np.ones(x.shape[1], x.dtype)
+    return x @ _ONES[x.dtype.char][: x.shape[1]]
 
 
 def _by_class(target: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -234,7 +237,7 @@ def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -
     d /= _total(d)[:, None]
     d[np.arange(n), t // WITHIN] -= 1
     d /= n
-    grad = {"cw": h.T @ d, "cb": d.sum(0)}
+    grad = {"cw": h.T @ d, "cb": d.sum(0), "tw": np.zeros_like(p["tw"]), "tb": np.zeros_like(p["tb"])}
     dh = d @ p["cw"].T
     for c, rows in _by_class(t):
         own = h[rows]
@@ -244,8 +247,8 @@ def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -
         y[np.arange(len(y)), t[rows] % WITHIN] -= 1
         y /= n
         dh[rows] += y @ p["tw"][c].T
-        _adagrad(p["tw"][c], g2["tw"][c], own.T @ y, rate)
-        _adagrad(p["tb"][c], g2["tb"][c], y.sum(0), rate)
+        np.matmul(own.T, y, out=grad["tw"][c])
+        y.sum(0, out=grad["tb"][c])
     da = dh * (1 - h * h)
     grad["w"], grad["b"] = x.T @ da, da.sum(0)
     dx = (da @ p["w"].T).reshape(-1, DIM)
@@ -262,7 +265,11 @@ def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -
 
 def _adagrad(p: np.ndarray, g2: np.ndarray, g: np.ndarray, rate: float) -> None:
     g2 += g * g
-    p -= rate * g / (np.sqrt(g2) + 1e-8)
+    step = np.sqrt(g2)
+    step += 1e-8
+    np.divide(g, step, out=step)
+    step *= rate
+    p -= step
 
 
 def averaged(trained: DataFrame) -> dict[str, np.ndarray] | None:
@@ -415,8 +422,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             h, at = np.concatenate(found), np.concatenate(at)
             if not len(h):
                 continue
-            order = np.argsort(h, kind="stable")
-            kinds, first = np.unique(h[order], return_index=True)
+            order = np.argsort(h)
+            kinds = h[order]
+            first = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
+            kinds = kinds[first]
             ends = pa.array((np.r_[first, len(h)] * 2).astype(np.int32))
             places = pa.Array.from_buffers(pa.binary(), len(kinds), [None, ends.buffers()[1], pa.py_buffer(at[order].astype("<u2").tobytes())])
             for s in range(0, len(kinds), 1 << 16):
