@@ -8,11 +8,13 @@ not over rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import Unsupported, counting_key
 
@@ -48,6 +50,27 @@ def stream_stats(counts: DataFrame) -> DataFrame:
     return counts.agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("distinct_keys"), F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("l2"))
 
 
+def at_ranks(counts: DataFrame, asked: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """counts(v, n) -> (name, v): the value at each asked rank, which is a function of the number of all rows, counted from 0.
+
+    Values are put into buckets of a thousandth of their size, which keep their
+    order. The running count is over buckets, whose number is bounded; only the
+    bucket that holds a rank is sorted.
+    """
+    v = F.col("v").cast("double")
+    size = (F.floor(F.log(F.abs(v)) / math.log(1.001)) + 1_000_000).cast("long")
+    infinite = F.abs(v) == float("inf")
+    bucket = F.when(v.isNull(), -(10**9)).when(F.isnan(v), 10**9).when(infinite, F.signum(v).cast("long") * 10**8).when(v == 0, 0).otherwise(F.signum(v).cast("long") * size)
+    rows = counts.withColumn("bucket", bucket)
+    sums = rows.groupBy("bucket").agg(F.sum("n").alias("here"))
+    sums = sums.withColumn("upto", F.sum("here").over(W.partitionBy(F.lit(0)).orderBy("bucket"))).withColumn("all", F.sum("here").over(W.partitionBy(F.lit(0))))
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("all")).cast("long").alias("at")) for name, at in asked.items()])).alias("x")
+    wanted = sums.select("bucket", (F.col("upto") - F.col("here")).alias("before"), "upto", ranks).filter("x.at >= before AND x.at < upto").select("bucket", "x.name", (F.col("x.at") - F.col("before")).alias("at"))
+    near = rows.join(F.broadcast(wanted), "bucket")  # a row for each asked rank
+    near = near.withColumn("upto", F.sum("n").over(W.partitionBy("name").orderBy("v")))
+    return near.filter("at >= upto - n AND at < upto").select("name", "v")
+
+
 def quantiles(df: DataFrame, value: str, qs: Sequence[float], rule: str = "linear", by: Sequence[str] = ()) -> DataFrame:
     """(by, q, value). Rules: linear (between neighbours at q(n-1)), order (the ceil(qn)-th), floor (index floor(qn), the last at most).
 
@@ -57,6 +80,8 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], rule: str = "linea
     """
     if rule not in ("linear", "order", "floor"):
         raise Unsupported(f"quantile rule {rule}", "not one of linear, order, floor")
+    if not by and isinstance(df.schema[value].dataType, T.NumericType):
+        return _whole_quantiles(df, value, qs, rule)
     keys = list(by)
     counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("v")
@@ -77,6 +102,25 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], rule: str = "linea
     return run.filter(mine).select(*keys, "q", answer.alias("value"))
 
 
+def _whole_quantiles(df: DataFrame, value: str, qs: Sequence[float], rule: str) -> DataFrame:
+    """quantiles() of a whole column: no task sorts more than the values near a rank."""
+    counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rank = {
+        "linear": lambda q, n: F.floor(q * (n - 1)), "order": lambda q, n: F.greatest(F.ceil(q * n) - 1, F.lit(0)), "floor": lambda q, n: F.least(F.floor(q * n), n - 1),
+    }[rule]
+    asked = {f"{i} low": lambda n, q=float(q): rank(F.lit(q), n) for i, q in enumerate(qs)}
+    asked |= {f"{i} high": lambda n, q=float(q): F.least(rank(F.lit(q), n) + 1, n - 1) for i, q in enumerate(qs)} if rule == "linear" else {}
+    total = counts.agg(F.sum("n").alias("all"))
+    found = at_ranks(counts, asked).crossJoin(F.broadcast(total))  # one row
+    i = F.split("name", " ")
+    q = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), i[0].cast("int") + 1)
+    end = lambda which: F.max(F.when(i[1] == which, F.col("v")))
+    found = found.groupBy(q.alias("q"), i[0].alias("i"), "all").agg(end("low").alias("low"), end("high").alias("high"))
+    at = F.col("q") * (F.col("all") - 1)
+    answer = F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at)) if rule == "linear" else F.col("low")
+    return found.select("q", answer.alias("value"))
+
+
 def membership(members: DataFrame, probes: DataFrame, key: str) -> DataFrame:
     """(key, member) for each distinct probe."""
     return probes.select(key).distinct().join(members.select(key).distinct().withColumn("member", F.lit(True)), key, "left").select(key, F.coalesce("member", F.lit(False)).alias("member"))

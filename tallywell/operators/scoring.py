@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .exact import at_ranks
+
 PREFIXES = (1, 10, 100, 1000)
 
 
@@ -43,9 +45,8 @@ def curve(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def error_percentile(pairs: DataFrame, q: float) -> DataFrame:
     """The nearest-rank percentile round((n - 1) q) of relative errors, over positive truths."""
     e = pairs.filter("truth > 0").select((F.abs(F.col("estimate") - F.col("truth")) / F.col("truth")).alias("e"))
-    runs = e.groupBy("e").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("e"))).withColumn("all", F.sum("n").over(W.partitionBy(F.lit(0))))
-    at = F.round((F.col("all") - 1) * q)
-    return runs.filter((at >= F.col("upto") - F.col("n")) & (at < F.col("upto"))).select(F.col("e").alias("relative_error"))
+    counts = e.groupBy(F.col("e").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return at_ranks(counts, {"": lambda n: F.round((n - 1) * q)}).select(F.col("v").alias("relative_error"))
 
 
 def top_sets(exact: DataFrame, answer: DataFrame, key: str) -> DataFrame:

@@ -113,8 +113,9 @@ def series(spark: SparkSession, labels: DataFrame, start_ms: int, duration_ms: i
     """
     names = labels.columns
     numbered = labels.withColumn("_series", F.pmod(F.xxhash64(*names), F.lit(P)))
-    steps = spark.range(1, duration_ms // interval_ms + 1).withColumnRenamed("id", "_step")
-    rows = numbered.crossJoin(F.broadcast(steps)).withColumn("value", value(F.col("_series"), F.col("_step")))  # every series at every step of the grid
+    steps = duration_ms // interval_ms
+    numbered = numbered.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(steps)).cast("array<long>"))) if steps else numbered.withColumn("_step", F.lit(0).cast("long")).limit(0)
+    rows = numbered.withColumn("value", value(F.col("_series"), F.col("_step")))  # every series at every step of the grid
     if counter:
         rows = rows.withColumn("value", F.sum(F.greatest("value", F.lit(0.0))).over(W.partitionBy(*names).orderBy("_step")))
     return rows.select(*names, (F.lit(start_ms) + F.col("_step") * interval_ms).cast("long").alias("ts_ms"), "value")

@@ -24,17 +24,23 @@ def keep_panes(samples: DataFrame, out: str, checkpoint: str, width: int, labels
     """
 
     def add(batch: DataFrame, n: int) -> None:
-        if strict and n:
-            spark = batch.sparkSession
-            seen = read_panes(spark, out, before=n)
-            last = seen.agg(F.max("window_end")).first()[0] if seen is not None else None
-            if last is not None and not batch.filter(F.col("ts_ms") <= last - 2 * width).isEmpty():
-                raise ValueError(f"batch {n} has samples more than one pane before {last - width}")
+        spark = batch.sparkSession
+        last = _mark(spark, out, n - 1) if strict else None
+        if last is not None and not batch.filter(F.col("ts_ms") <= last - 2 * width).isEmpty():
+            raise ValueError(f"batch {n} has samples more than one pane before {last - width}")
         P.build(batch, width, labels).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        if strict:
+            ends = spark.read.parquet(f"{out}/batch={n}").agg(F.max("window_end").alias("last"))
+            ends.select(F.greatest("last", F.lit(last).cast("long")).alias("last")).coalesce(1).write.mode("overwrite").parquet(f"{out}/_last/batch={n}")
 
     return samples.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _mark(spark: SparkSession, out: str, batch: int) -> int | None:
+    """The end of the last pane of a batch and all before it: one row that the batch has left, so that panes aren't read again."""
+    return spark.read.schema("last long").parquet(f"{out}/_last/batch={batch}").first()[0] if batch >= 0 else None
+
+
 def read_panes(spark: SparkSession, out: str, before: int | None = None) -> DataFrame | None:
     """The panes of all batches; parts of one pane are merged by plans.panes.roll_up at the same width."""
     from pyspark.errors import AnalysisException
