@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import fresh_path, save, settle
-from .words import Words, blocks, mix
+from .words import Index, Words, blocks, mix
 
 R = 2  # tokens seen on each side
 CLASSES, WITHIN = 32, 64
 VOCAB = CLASSES * WITHIN
-SHARED = 512  # ids that the words without an id of their own share by hash
+SHARED = 512  # a power of two: ids that the words without an id of their own share by hash
 DIM, HIDDEN = 16, 32
 _SHAPES = {"emb": (VOCAB + 1, DIM), "w": (2 * R * DIM, HIDDEN), "b": (HIDDEN,), "cw": (HIDDEN, CLASSES), "cb": (CLASSES,), "tw": (CLASSES, HIDDEN, WITHIN), "tb": (CLASSES, WITHIN)}
 _STEP = 1 << 15
@@ -50,15 +50,14 @@ class Vocabulary:
     """Word hash -> id. The most frequent words have ids of their own, dealt over the classes; the others share."""
 
     def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
+        self.index = Index(hashes)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        shared = (mix(h) % np.uint64(SHARED)).astype(np.int64)
-        if not len(self.sorted):
-            return shared
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, SHARED + self.order[at], shared)
+        at = self.index.find(h)
+        out = (mix(h) & np.uint64(SHARED - 1)).astype(np.int64)
+        own = np.flatnonzero(at >= 0)
+        out[own] = SHARED + self.index.order[at[own]]
+        return out
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -337,8 +336,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = spark.sparkContext.broadcast(vocabulary)
     shares, whole = log_shares(counts, words)
     frequent, times = frequent[VOCAB - SHARED :], times[VOCAB - SHARED :]
-    order = np.argsort(frequent)
-    table = spark.sparkContext.broadcast((frequent[order], (np.log(times + SMOOTH) - whole[vocabulary.ids(frequent)])[order] if len(frequent) else np.zeros(0)))
+    common = Index(frequent)
+    table = spark.sparkContext.broadcast((common, (np.log(times + SMOOTH) - whole[vocabulary.ids(frequent)])[common.order]))
     tokens = counts.agg(F.sum("n")).first()[0] or 0
     shards = -(-tokens // SHARD)
 
@@ -407,12 +406,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 lp = stream_log_probs(*final.value, *stream(w, ids))
                 total = np.bincount(w.text_of(), lp, b.num_rows) if len(ids) else np.zeros(b.num_rows)
                 own = np.flatnonzero(ids < SHARED)
-                keys, log_share = table.value
-                if len(keys) and len(own):
-                    near = np.minimum(np.searchsorted(keys, h[own]), len(keys) - 1)
-                    known = keys[near] == h[own]
-                    total += np.bincount(w.text_of()[own[known]], log_share[near[known]], b.num_rows)
-                    own = own[~known]
+                common, log_share = table.value
+                near = common.find(h[own])
+                known = near >= 0
+                total += np.bincount(w.text_of()[own[known]], log_share[near[known]], b.num_rows)
+                own = own[~known]
                 found.append(h[own])
                 at.append((w.text_of()[own] + done).astype(np.uint16))
                 places = np.arange(done, done + b.num_rows, dtype=np.int32)

@@ -116,6 +116,32 @@ def runs(h: np.ndarray, k: int, base: int = 0xD1342543DE82EF95) -> np.ndarray:
     return mix(out)
 
 
+class Index:
+    """Places of hashes among some distinct ones, found through their leading bits: ``sorted``, and ``order``, which sorts them."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+        bits = min(26, len(hashes).bit_length() + 4)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.sorted >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash in ``sorted``, or -1."""
+        top = (h >> self.shift).astype(np.int32)
+        at, end = self.starts[top], self.starts[top + 1]
+        out = np.full(len(h), -1, np.int32)
+        some = np.flatnonzero(at < end)
+        at, end, h = at[some], end[some], h[some]
+        while len(some):
+            hit = self.sorted[at] == h
+            out[some[hit]] = at[hit]
+            at += 1
+            left = ~hit & (at < end)
+            some, at, end, h = some[left], at[left], end[left], h[left]
+        return out
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows into pieces of about ``limit`` bytes of text (a longer text
     is a piece of its own), so that the work arrays of a task stay small."""
