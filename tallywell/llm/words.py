@@ -20,7 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_WINDOW = 1 << 22  # bytes that are looked at together, so that work arrays don't grow with a text
+_WINDOW = 1 << 18  # bytes that are looked at together, so that work arrays don't grow with a text
 _powers: dict[int, np.ndarray] = {}
 
 
