@@ -27,10 +27,18 @@ def _rows(n: int, of) -> Column:
 
 
 def matrix(df: DataFrame, key: Column, rows: int, cols: int, signed: bool = False, weight: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """(by, r, c, n): a Count-Min matrix, or a Count Sketch one."""
+    """(by, r, c, n): a Count-Min matrix, or a Count Sketch one. Null keys are not counted.
+
+    A row of df becomes one number for each matrix row, the cell with the sign in
+    the lowest bit, which Spark's expand makes without arrays; tasks add up by cell.
+    """
     w = F.lit(1).cast("long") if weight is None else weight
-    cell = lambda r: F.struct(F.lit(r).alias("r"), (cw(F.col("_k"), r) % cols).cast("int").alias("c"), (w * sign(F.col("_k"), r) if signed else w).alias("n"))
-    return df.withColumn("_k", key).select(*by, _rows(rows, cell).alias("x")).groupBy(*by, "x.r", "x.c").agg(F.sum("x.n").alias("n"))
+    names = [f"_x{r}" for r in range(rows)]
+    bit = lambda r: F.when(sign(F.col("_k"), r) < 0, 1).otherwise(0) if signed else F.lit(0)
+    cells = [((F.lit(r * cols).cast("long") + cw(F.col("_k"), r) % cols) * 2 + bit(r)).alias(n) for r, n in enumerate(names)]
+    wide = df.withColumn("_k", key).filter(F.col("_k").isNotNull()).select(*by, w.alias("_w"), *cells)
+    long = wide.unpivot([*by, "_w"], names, "_of", "_x").groupBy(*by, F.shiftright("_x", 1).alias("_at"))
+    return long.agg(F.sum(F.when(F.col("_x") % 2 == 1, -F.col("_w")).otherwise(F.col("_w")) if signed else "_w").alias("n")).select(*by, F.expr(f"int(_at div {cols})").alias("r"), F.expr(f"int(_at % {cols})").alias("c"), "n")
 
 
 def merge_cells(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -43,12 +51,25 @@ def fold(state: DataFrame, full_cols: int, fold_level: int, by: Sequence[str] =
 
 
 def estimate(state: DataFrame, probes: DataFrame, key: Column, rows: int, cols: int, signed: bool = False, by: Sequence[str] = (), folded: int | None = None) -> DataFrame:
-    """probes with estimate: the least cell of Count-Min, the median of Count Sketch's. Cells that aren't stored are 0."""
+    """probes with estimate: the least cell of Count-Min, the median of Count Sketch's. Cells that aren't stored are 0.
+
+    One matrix is handed to the probes as one array of rows * cols numbers, so probes
+    are read where they lie; matrices by group are joined.
+    """
     own = list(probes.columns)
-    cell = lambda r: F.struct(F.lit(r).alias("r"), (cw(F.col("_k"), r) % cols % (folded or cols)).cast("int").alias("c"), (sign(F.col("_k"), r) if signed else F.lit(1).cast("long")).alias("s"))
+    width = folded or cols
+    column = lambda r: (cw(F.col("_k"), r) % cols % width).cast("int")
+    of = lambda r: sign(F.col("_k"), r) if signed else F.lit(1).cast("long")
+    if not by:
+        every = state.sparkSession.range(0, rows * width, 1, 1).select(F.col("id").alias("_at"), F.lit(0).alias("_own"), F.lit(0).cast("long").alias("n"))
+        cells = state.select((F.col("r").cast("long") * width + F.col("c")).alias("_at"), F.lit(1).alias("_own"), "n").union(every).agg(F.sort_array(F.collect_list(F.struct("_at", "_own", "n"))).alias("_a"))
+        last = lambda x, i: F.coalesce(F.get("_a", i + 1)["_at"] != x["_at"], F.lit(True))
+        dense = cells.select(F.transform(F.filter("_a", last), lambda x: x["n"])).scalar()
+        read = F.array(*[F.coalesce(F.get(dense, F.lit(r * width) + column(r)), F.lit(0)) * of(r) for r in range(rows)])
+        return probes.withColumn("_k", key).select(*own, (F.sort_array(read)[rows // 2] if signed else F.array_min(read)).alias("estimate"))
+    cell = lambda r: F.struct(F.lit(r).alias("r"), column(r).alias("c"), of(r).alias("s"))
     asked = probes.withColumn("_k", key).withColumn("x", _rows(rows, cell)).select(*own, F.col("x.r").alias("r"), F.col("x.c").alias("c"), F.col("x.s").alias("s"))
-    state = state.withColumnRenamed("n", "_n")
-    got = asked.join(state if by else F.broadcast(state), [*by, "r", "c"], "left").withColumn("e", F.coalesce("_n", F.lit(0)) * F.col("s"))
+    got = asked.join(state.withColumnRenamed("n", "_n"), [*by, "r", "c"], "left").withColumn("e", F.coalesce("_n", F.lit(0)) * F.coalesce("s", F.lit(1)))
     # the rows of a probe side by side instead of a sort: at most `rows` values
     return got.groupBy(*own).agg((F.element_at(F.sort_array(F.collect_list("e")), rows // 2 + 1) if signed else F.min("e")).alias("estimate"))
 

@@ -13,7 +13,7 @@ from ..operators import scoring as C
 from ..operators import sketches as S
 from ..operators import stream_sketches as T
 from . import query, table
-from .sketches import _GRID, _KEYS, COLS, LABELS, ROWS, _gridded, cells_sql, classic_sql, cms_estimate, cms_topk, cw, dd_quantile, estimate_sql, hll_estimate, hydra_hll, leading, registers_sql, rows_of, sign
+from .sketches import _GRID, _KEYS, COLS, LABELS, ROWS, _asked, _by_labels, _fanned, _gridded, cells_sql, classic_sql, cms_estimate, cms_topk, cw, dd_quantile, estimate_sql, hll_estimate, hydra_hll, leading, registers_sql, rows_of, sign
 
 
 def _lines(spark, sf):
@@ -99,16 +99,16 @@ def kll_cdf(spark, sf):
 @query()
 def hydra_kll(spark, sf):
     """Medians of order quantities by label subset, from one KLL sketch for each grid cell."""
-    g = _gridded(spark, sf).withColumn("w", F.col("w").cast("double"))
-    q = T.kll_quantiles(T.kll(g, "w", 200, ["gr", "gc"]), [0.5], ["gr", "gc"])
-    return g.select("grp", "gr", "gc").distinct().join(q, ["gr", "gc"]).groupBy("grp").agg(F.sort_array(F.collect_list("value"))[1].alias("value"))
+    states = T.kll(_by_labels(spark, sf).withColumn("w", F.col("w").cast("double")), "w", 200, LABELS)
+    q = T.kll_quantiles(T.kll_merge(_gridded(states), ["gr", "gc"]), [0.5], ["gr", "gc"])
+    return _asked(spark, sf).join(q, ["gr", "gc"]).groupBy("grp").agg(F.sort_array(F.collect_list("value"))[1].alias("value"))
 
 
 @query()
 def hydra_kll_cdf(spark, sf):
-    g = _gridded(spark, sf).withColumn("w", F.col("w").cast("double"))
-    q = T.kll_ranks(T.kll(g, "w", 200, ["gr", "gc"]), [10, 25, 40], ["gr", "gc"])
-    return g.select("grp", "gr", "gc").distinct().join(q, ["gr", "gc"]).groupBy("grp", "x").agg(F.sort_array(F.collect_list("share"))[1].alias("share"))
+    states = T.kll(_by_labels(spark, sf).withColumn("w", F.col("w").cast("double")), "w", 200, LABELS)
+    q = T.kll_ranks(T.kll_merge(_gridded(states), ["gr", "gc"]), [10, 25, 40], ["gr", "gc"])
+    return _asked(spark, sf).join(q, ["gr", "gc"]).groupBy("grp", "x").agg(F.sort_array(F.collect_list("share"))[1].alias("share"))
 
 
 @query()
@@ -229,7 +229,7 @@ def score_cdf_error(spark, sf):
     SELECT count(*) AS groups_scored, 0::BIGINT AS groups_unscored, round(avg(abs(e - t) / t), 9) AS err_mean, round(max(abs(e - t) / t), 9) AS err_max FROM t JOIN e USING (grp)
 """)
 def score_groups(spark, sf):
-    truth = _gridded(spark, sf).filter("gr = 0").groupBy("grp").agg(F.countDistinct("l_suppkey").alias("truth"))
+    truth = _fanned(_by_labels(spark, sf).select(*LABELS, "l_suppkey").distinct()).groupBy("grp").agg(F.countDistinct("l_suppkey").alias("truth"))
     return C.group_summary(C.aligned(truth, hydra_hll(spark, sf), ["grp"])).withColumn("err_mean", F.round("err_mean", 9)).withColumn("err_max", F.round("err_max", 9))
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.hashing import P, coefficients, integer_key
+from ..model import subset_key
 from ..operators import exact as X
 from ..operators import sketches as S
 from . import query, table
@@ -293,15 +294,26 @@ def univmon_topk(spark, sf):
 _GROUP = "coalesce('l_returnflag:' || f || CASE WHEN s IS NULL THEN '' ELSE ';l_linestatus:' || s END, 'l_linestatus:' || s)"
 _FAN = f"fan AS (SELECT {_GROUP} AS grp, ('0x' || substr(md5({_GROUP}), 1, 8))::BIGINT AS g, l_suppkey, l_partkey, w FROM (SELECT unnest([l_returnflag, NULL, l_returnflag]) AS f, unnest([l_linestatus, l_linestatus, NULL]) AS s, l_suppkey, l_partkey, l_quantity::BIGINT AS w FROM lineitem))"
 _GRID = _FAN + f", gridded AS (SELECT fan.*, gr, {cw('g', 'gr', 60)} % 16 AS gc FROM fan, {rows_of(3, 'gr')}), asked AS (SELECT DISTINCT grp, gr, gc FROM gridded)"
-_GRP = ["grp", "gr", "gc"]
 
 
-def _gridded(spark, sf):
-    rows = X.fan_out(table(spark, sf, "lineitem").select(*LABELS, "l_suppkey", "l_partkey", F.col("l_quantity").cast("long").alias("w")), LABELS)
-    from ..model import subset_key
+def _by_labels(spark, sf):
+    return table(spark, sf, "lineitem").select(*LABELS, "l_suppkey", "l_partkey", F.col("l_quantity").cast("long").alias("w"))
 
-    rows = rows.select(subset_key({c: F.col(c) for c in LABELS}).alias("grp"), "l_suppkey", "l_partkey", "w")
-    return S.grid_cells(rows, integer_key(F.col("grp"), text=True), 3, 16)
+
+def _fanned(states):
+    """States kept by labels, once for each label subset that they count in, by grp. The few states are fanned out, not the rows."""
+    rows = X.fan_out(states, LABELS)
+    return rows.select(subset_key({c: F.col(c) for c in LABELS}).alias("grp"), *[c for c in states.columns if c not in LABELS])
+
+
+def _gridded(states, rows=3, cols=16):
+    """(grp, gr, gc, ...): fanned states in their grid cells, where states of the same cell are merged."""
+    return S.grid_cells(_fanned(states), integer_key(F.col("grp"), text=True), rows, cols)
+
+
+def _asked(spark, sf, *keys, rows=3, cols=16):
+    """The grid cells that each label subset, or each key in it, is read from."""
+    return _gridded(_by_labels(spark, sf).select(*LABELS, *keys).distinct(), rows, cols).distinct()
 
 
 def _hydra_frequency_sql(signed: bool) -> str:
@@ -310,10 +322,9 @@ def _hydra_frequency_sql(signed: bool) -> str:
 
 
 def _hydra_frequency(spark, sf, signed):
-    g = _gridded(spark, sf)
     key = integer_key(F.col("l_suppkey"))
-    state = S.matrix(g, key, 3, 64, signed, by=["gr", "gc"])
-    e = S.estimate(state, g.select(*_GRP, "l_suppkey").distinct(), key, 3, 64, signed, by=["gr", "gc"])
+    state = S.merge_cells(_gridded(S.matrix(_by_labels(spark, sf), key, 3, 64, signed, by=LABELS)), ["gr", "gc"])
+    e = S.estimate(state, _asked(spark, sf, "l_suppkey"), key, 3, 64, signed, by=["gr", "gc"])
     return e.groupBy("grp", "l_suppkey").agg((F.element_at(F.sort_array(F.collect_list("estimate")), 2) if signed else F.min("estimate")).alias("estimate"))
 
 
@@ -329,24 +340,23 @@ def hydra_cs(spark, sf):
 
 @query(f"WITH {_GRID}, {registers_sql('g1', 'gridded', 'l_suppkey', 6, 'gr, gc')}, e AS ({classic_sql('g1', 6, 'gr, gc')}) SELECT grp, round(min(estimate), 6) AS estimate FROM asked JOIN e USING (gr, gc) GROUP BY 1")
 def hydra_hll(spark, sf):
-    g = _gridded(spark, sf)
-    e = S.hll_estimate(S.registers(g, integer_key(F.col("l_suppkey")), 6, by=["gr", "gc"]), 6, by=["gr", "gc"])
-    return g.select(*_GRP).distinct().join(e, ["gr", "gc"]).groupBy("grp").agg(F.round(F.min("estimate"), 6).alias("estimate"))
+    regs = _gridded(S.registers(_by_labels(spark, sf), integer_key(F.col("l_suppkey")), 6, by=LABELS)).groupBy("gr", "gc", "b").agg(F.max("m").alias("m"))
+    e = S.hll_estimate(regs, 6, by=["gr", "gc"])
+    return _asked(spark, sf).join(e, ["gr", "gc"]).groupBy("grp").agg(F.round(F.min("estimate"), 6).alias("estimate"))
 
 
 @query(f"WITH {_GRID}, {univmon_sql('gridded', 'l_partkey', 'w', 'gr, gc')} SELECT grp, {', '.join(f'round(list_sort(list({c}))[2], 6) AS {c}' for c in ('cardinality', 'l1', 'l2', 'entropy'))} FROM asked JOIN u USING (gr, gc) GROUP BY 1")
 def hydra_univmon(spark, sf):
     """Cardinality, l1 (the sum), l2 and entropy of each subset's keyed weights: the median over the grid's rows."""
-    g = _gridded(spark, sf)
-    u = S.univmon(g, "l_partkey", "w", **_UM, by=["gr", "gc"])
+    sums = _by_labels(spark, sf).groupBy(*LABELS, "l_partkey").agg(F.sum("w").alias("w"))
+    u = S.univmon(_gridded(sums), "l_partkey", "w", **_UM, by=["gr", "gc"])
     median = lambda c: F.round(F.element_at(F.sort_array(F.collect_list(c)), 2), 6).alias(c)
-    return g.select(*_GRP).distinct().join(u, ["gr", "gc"]).groupBy("grp").agg(*[median(c) for c in ("cardinality", "l1", "l2", "entropy")])
+    return _asked(spark, sf).join(u, ["gr", "gc"]).groupBy("grp").agg(*[median(c) for c in ("cardinality", "l1", "l2", "entropy")])
 
 
 @query(f"WITH {_FAN}, c AS (SELECT fan.*, r, {cw('g', 'r', 60)} % 32 AS c FROM fan, {rows_of(3)}), {registers_sql('g1', 'c', 'l_suppkey', 6, 'r, c')}, e AS ({classic_sql('g1', 6, 'r, c')}) SELECT grp, round(min(estimate), 6) AS estimate FROM (SELECT DISTINCT grp, r, c FROM c) JOIN e USING (r, c) GROUP BY 1")
 def count_min_hll(spark, sf):
     """A Count-Min matrix whose cells are HyperLogLog registers."""
-    rows = _gridded(spark, sf).filter("gr = 0").drop("gr", "gc")
-    g = S.grid_cells(rows, integer_key(F.col("grp"), text=True), 3, 32)
-    e = S.hll_estimate(S.registers(g, integer_key(F.col("l_suppkey")), 6, by=["gr", "gc"]), 6, by=["gr", "gc"])
-    return g.select(*_GRP).distinct().join(e, ["gr", "gc"]).groupBy("grp").agg(F.round(F.min("estimate"), 6).alias("estimate"))
+    regs = _gridded(S.registers(_by_labels(spark, sf), integer_key(F.col("l_suppkey")), 6, by=LABELS), 3, 32).groupBy("gr", "gc", "b").agg(F.max("m").alias("m"))
+    e = S.hll_estimate(regs, 6, by=["gr", "gc"])
+    return _asked(spark, sf, rows=3, cols=32).join(e, ["gr", "gc"]).groupBy("grp").agg(F.round(F.min("estimate"), 6).alias("estimate"))
