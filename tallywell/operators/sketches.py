@@ -167,6 +167,27 @@ def dd_quantiles(state: DataFrame, alpha: float, qs: Sequence[float], by: Sequen
 # -- universal monitoring ------------------------------------------------------------------------------------------
 
 
+def layered(keys: DataFrame, layers: int, rows: int, cols: int, weight: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(by, layer, r, c, n), a Count Sketch for each layer, and (by, layer, k, deep, estimate) of every key in every layer it is sampled to.
+
+    keys(by, k, weight) has each key once; layer j has the keys that are sampled j times over, about two layers a key.
+    """
+    spread = keys.withColumn("deep", level(F.col("k"), layers)).withColumn("layer", F.explode(F.sequence(F.lit(0), F.col("deep"))))
+    state = matrix(spread, F.col("k"), rows, cols, True, F.col(weight), by=[*by, "layer"])
+    return state, estimate(state, spread.select(*by, "layer", "k", "deep"), F.col("k"), rows, cols, True, by=[*by, "layer"])
+
+
+def heaviest(estimates: DataFrame, heap: int, by: Sequence[str] = ()) -> DataFrame:
+    """What the layers' heaps hold. Spark limits the ranks in every task, before any shuffle."""
+    heavy = W.partitionBy(*by, "layer").orderBy(F.desc("estimate"), F.asc("k"))
+    return estimates.filter("estimate > 0").withColumn("_i", F.row_number().over(heavy)).filter(F.col("_i") <= heap).drop("_i")
+
+
+def _share(layers: int) -> Column:
+    """By how much a heavy key of a layer counts in a sum over all keys."""
+    return F.pow(F.lit(2.0), F.col("layer")) * F.when((F.col("layer") < layers - 1) & (F.col("deep") > F.col("layer")), -1.0).otherwise(1.0)
+
+
 def univmon(df: DataFrame, key: str, weight: str, layers: int, rows: int, cols: int, heap: int, by: Sequence[str] = ()) -> DataFrame:
     """(by, cardinality, l1, l2, entropy) of the sums of weights by key.
 
@@ -175,19 +196,69 @@ def univmon(df: DataFrame, key: str, weight: str, layers: int, rows: int, cols:
     unrolled, adds g of the heavy keys of each, twofold for every layer further
     down, and takes back those of the next layer that this one has counted.
     """
-    sums = df.groupBy(*by, F.col(key).alias("k")).agg(F.sum(weight).alias("w")).withColumn("deep", level(F.col("k"), layers))
-    keys = sums.withColumn("layer", F.explode(F.sequence(F.lit(0), F.col("deep"))))
-    state = matrix(keys, F.col("k"), rows, cols, True, F.col("w"), by=[*by, "layer"])
-    got = estimate(state, keys.select(*by, "layer", "k", "deep"), F.col("k"), rows, cols, True, by=[*by, "layer"]).filter("estimate > 0")
-    heavy = W.partitionBy(*by, "layer").orderBy(F.desc("estimate"), F.asc("k"))
-    got = got.withColumn("_i", F.row_number().over(heavy)).filter(F.col("_i") <= heap)
-    e = F.col("estimate").cast("double")
-    factor = F.pow(F.lit(2.0), F.col("layer")) * F.when((F.col("layer") < layers - 1) & (F.col("deep") > F.col("layer")), -1.0).otherwise(1.0)
+    sums = df.groupBy(*by, F.col(key).alias("k")).agg(F.sum(weight).alias("w"))
+    got = heaviest(layered(sums, layers, rows, cols, "w", by)[1], heap, by)
+    e, factor = F.col("estimate").cast("double"), _share(layers)
     total = lambda g: F.greatest(F.sum(factor * g), F.lit(0.0))
     y = got.groupBy(*by).agg(total(F.lit(1.0)).alias("cardinality"), total(e).alias("l1"), total(e * e).alias("s2"), total(e * F.log2(e)).alias("slog"))
     return y.select(*by, "cardinality", "l1", F.sqrt("s2").alias("l2"), F.when(F.col("l1") > 0, F.greatest(F.log2("l1") - F.col("slog") / F.col("l1"), F.lit(0.0))).otherwise(0.0).alias("entropy"))
 
 
+def univmon_q(df: DataFrame, key: str, layers: int, rows: int, cols: int, heap: int, samples: int) -> tuple[DataFrame, DataFrame]:
+    """UnivMon with ordered samples: its cells, and (layer, k, deep, estimate, heavy, sampled), the keys that its layers hold.
+
+    Beside its heap, a layer keeps the ``samples`` + 1 keys of least hash, so a
+    layer of no more than ``samples`` keys is held whole. At most layers *
+    (heap + samples + 1) keys, whatever the stream. Sums over all keys need a deepest
+    layer that its heap can hold: heap * 2**(layers - 1) keys. Null keys are not counted.
+    """
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("w"))
+    cells, got = layered(counts, layers, rows, cols, "w")
+    least = W.partitionBy("layer").orderBy(cw(F.col("k"), 0, 95), "k")
+    kept = got.withColumn("_i", F.row_number().over(least)).filter(F.col("_i") <= samples + 1).drop("_i")
+    both = heaviest(got, heap).withColumn("heavy", F.lit(True)).withColumn("sampled", F.lit(False)).unionByName(kept.withColumn("heavy", F.lit(False)).withColumn("sampled", F.lit(True)))
+    return cells, both.groupBy("layer", "k", "deep", "estimate").agg(F.bool_or("heavy").alias("heavy"), F.bool_or("sampled").alias("sampled"))
+
+
+def univmon_q_cardinality(held: DataFrame, layers: int) -> DataFrame:
+    return held.filter("heavy").agg(F.greatest(F.coalesce(F.sum(_share(layers)), F.lit(0.0)), F.lit(0.0)).alias("estimate"))
+
+
+def univmon_q_frequency(cells: DataFrame, probes: DataFrame, key: str, layers: int, rows: int, cols: int) -> DataFrame:
+    """probes with estimate, read from the deepest layer that a key is sampled to, where it meets the fewest others."""
+    asked = probes.withColumn("layer", level(F.col(key), layers))
+    return estimate(cells, asked, F.col(key), rows, cols, True, by=["layer"]).drop("layer")
+
+
+def univmon_q_topk(held: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, estimate) of the keys in any heap, by the estimate of the deepest layer whose heap they are in."""
+    one = held.filter("heavy").groupBy("k").agg(F.max_by("estimate", "layer").alias("estimate"))
+    return top(one.withColumnRenamed("k", key), key, k)
+
+
+def univmon_q_quantiles(held: DataFrame, layers: int, samples: int, qs: Sequence[float]) -> DataFrame:
+    """(q, value): the key at rank ceil(qn), null if there are none.
+
+    The first layer's heap counts as estimated. All other keys are counted by the
+    shallowest layer that is held whole, each for the 2**layer keys that it is
+    drawn from. What is ranked is no longer than a heap and a sample.
+    """
+    whole = held.filter("sampled").groupBy("layer").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") <= samples) | (F.col("layer") == layers - 1)).agg(F.min("layer").alias("at"))
+    heavy = held.filter("heavy and layer = 0").select("k", F.col("estimate").cast("double").alias("n"))
+    light = held.filter("sampled").join(F.broadcast(whole), F.col("layer") == F.col("at")).join(F.broadcast(heavy.select("k")), "k", "left_anti")
+    light = light.filter("estimate > 0").select("k", (F.col("estimate") * F.pow(F.lit(2.0), F.col("layer"))).alias("n"))
+    return weighted_quantiles(heavy.union(light), qs)
+
+
+def weighted_quantiles(held: DataFrame, qs: Sequence[float]) -> DataFrame:
+    """(q, value) of a bounded table (k, n) of values with weights: the first whose running weight reaches ceil(q * total)."""
+    one = W.orderBy("k")
+    run = held.withColumn("upto", F.sum("n").over(one)).withColumn("all", F.sum("n").over(one.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    rank = lambda q: F.greatest(F.ceil(F.lit(float(q)) * F.col("all")), F.lit(1))
+    first = run.agg(*[F.min(F.when(F.col("upto") >= rank(q), F.col("k"))).alias(f"_q{i}") for i, q in enumerate(qs)])
+    return first.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"_q{i}").alias("value")) for i, q in enumerate(qs)])).alias("x")).select("x.*")
+
+
 def univmon_two_tier(df: DataFrame, key: str, weight: str, elephants: int, **of) -> DataFrame:
     """As univmon, with the ``elephants`` heaviest keys counted apart, exactly, and the sketch for the rest."""
     sums = df.groupBy(F.col(key).alias("k")).agg(F.sum(weight).alias("w"))

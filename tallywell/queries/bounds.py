@@ -78,3 +78,16 @@ def bound_approx_topk(spark, sf):
     rows = table(spark, sf, "lineitem").agg((F.count(F.lit(1)) * 0.01).alias("most"))
     both = scores.approx_topk(spark, sf).select(F.col("item").alias("k"), "count").join(_truth(spark, sf), "k").crossJoin(rows)  # one row
     return _holds(both, F.abs(F.col("count") - F.col("truth")) <= F.col("most"))
+
+
+@query(_HOLDS)
+def bound_univmon_q_cardinality(spark, sf):
+    """64 keys a layer: off by half at most, four standard errors of a sample of that size."""
+    both = scores.univmon_q_cardinality(spark, sf).crossJoin(X.cardinality(table(spark, sf, "lineitem"), "l_partkey"))  # one row each
+    return _holds(both, F.abs(F.col("estimate") / F.col("distinct_values") - 1) <= 0.5)
+
+
+@query("SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS q, true AS within")
+def bound_univmon_q_quantile(spark, sf):
+    """A sample of 128 to 256 keys, and weights off by the sketch's error: ranks are off by 15 % at most."""
+    return C.rank_errors(table(spark, sf, "lineitem").withColumn("k", F.col("l_partkey").cast("double")), "k", scores.univmon_q_quantile(spark, sf).withColumn("value", F.col("value").cast("double"))).select("q", (F.col("rank_error") <= 0.15).alias("within"))

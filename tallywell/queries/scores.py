@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import P, integer_key
@@ -13,7 +12,7 @@ from ..operators import scoring as C
 from ..operators import sketches as S
 from ..operators import stream_sketches as T
 from . import query, table
-from .sketches import _GRID, _KEYS, COLS, LABELS, ROWS, _asked, _by_labels, _fanned, _gridded, cells_sql, classic_sql, cms_estimate, cms_topk, cw, dd_quantile, estimate_sql, hll_estimate, hydra_hll, leading, registers_sql, rows_of, sign
+from .sketches import _GRID, _KEYS, COLS, LABELS, ROWS, _asked, _by_labels, _fanned, _gridded, cells_sql, classic_sql, cms_estimate, cms_topk, cw, dd_quantile, estimate_sql, hll_estimate, hydra_hll, leading, registers_sql, rows_of, sign, univmon_sql
 
 
 def _lines(spark, sf):
@@ -67,22 +66,42 @@ def uniform_sample_quantile(spark, sf):
     return T.uniform_quantiles(_lines(spark, sf), _row(), "l_extendedprice", 0.1, [0.1, 0.5, 0.9]).withColumn("value", F.round("value", 6))
 
 
-_UQ = f"{cells_sql('m', 'lineitem', 'l_suppkey', ROWS, COLS, True)}, k AS (SELECT DISTINCT l_suppkey FROM lineitem), {estimate_sql('e', 'm', 'k', 'l_suppkey', ROWS, COLS, True)}"
+_Q = dict(layers=16, rows=3, cols=256, heap=64)
+_SAMPLES = 256
+_UQ = univmon_sql("lineitem", "l_partkey", "1", **_Q)
 
 
-@query(f"""
-    WITH {_UQ}, s AS (SELECT l_suppkey, greatest(estimate, 0) AS n FROM e WHERE {cw('l_suppkey', 0, 90)} % 2 = 0),
-    r AS (SELECT *, sum(n) OVER (ORDER BY l_suppkey) AS u, sum(n) OVER () AS a FROM s)
-    SELECT q, l_suppkey AS value FROM r, (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS q) WHERE greatest(ceil(q * a), 1) > u - n AND greatest(ceil(q * a), 1) <= u
-""")
+def _univmon_q(spark, sf):
+    return S.univmon_q(_lines(spark, sf).select("l_partkey"), "l_partkey", **_Q, samples=_SAMPLES)
+
+
+@query(f"WITH {_UQ} SELECT cardinality AS estimate FROM u")
+def univmon_q_cardinality(spark, sf):
+    return S.univmon_q_cardinality(_univmon_q(spark, sf)[1], _Q["layers"])
+
+
+@query(f"WITH {_UQ} SELECT k AS l_partkey, estimate FROM u_e WHERE layer = deep")
+def univmon_q_frequency(spark, sf):
+    probes = _lines(spark, sf).select("l_partkey").distinct()
+    return S.univmon_q_frequency(_univmon_q(spark, sf)[0], probes, "l_partkey", _Q["layers"], _Q["rows"], _Q["cols"])
+
+
+@query(f"WITH {_UQ} SELECT k AS l_partkey, arg_max(estimate, layer) AS estimate FROM u_h GROUP BY k ORDER BY estimate DESC, l_partkey LIMIT 32")
+def univmon_q_topk(spark, sf):
+    return S.univmon_q_topk(_univmon_q(spark, sf)[1], "l_partkey", 32)
+
+
+_UQ_RANKED = f"""{_UQ}, q_s AS (SELECT layer, k, estimate, row_number() OVER (PARTITION BY layer ORDER BY {cw('k', 0, 95)}, k) AS i FROM u_e),
+    q_w AS (SELECT min(layer) AS shallowest FROM (SELECT layer, count(*) AS n FROM q_s WHERE i <= {_SAMPLES + 1} GROUP BY layer) WHERE n <= {_SAMPLES} OR layer = {_Q['layers'] - 1}),
+    q_h AS (SELECT k, estimate::DOUBLE AS n FROM u_h WHERE layer = 0),
+    q_k AS (SELECT * FROM q_h UNION ALL SELECT k, estimate * pow(2.0::DOUBLE, layer) FROM q_s, q_w WHERE layer = shallowest AND i <= {_SAMPLES + 1} AND estimate > 0 AND k NOT IN (SELECT k FROM q_h)),
+    q_r AS (SELECT k, sum(n) OVER (ORDER BY k) AS upto, sum(n) OVER () AS a FROM q_k)"""
+
+
+@query(f"WITH {_UQ_RANKED} SELECT q, min(k) AS value FROM q_r, (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS q) WHERE upto >= greatest(ceil(q * a), 1) GROUP BY q")
 def univmon_q_quantile(spark, sf):
-    """Quantiles of a key stream from one sampled layer's keys, in order, weighted by the layer's Count Sketch."""
-    df, key = _lines(spark, sf).select("l_suppkey"), integer_key(F.col("l_suppkey"))
-    e = S.estimate(S.matrix(df, key, ROWS, COLS, True), df.distinct(), key, ROWS, COLS, True)
-    s = e.filter(S.cw(key, 0, 90) % 2 == 0).select(F.col("l_suppkey").alias("v"), F.greatest("estimate", F.lit(0)).alias("n"))
-    r = s.withColumn("u", F.sum("n").over(W.orderBy("v"))).withColumn("a", F.sum("n").over(W.partitionBy(F.lit(0)))).withColumn("q", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.5, 0.9)])))
-    at = F.greatest(F.ceil(F.col("q") * F.col("a")), F.lit(1))
-    return r.filter((at > F.col("u") - F.col("n")) & (at <= F.col("u"))).select("q", F.col("v").alias("value"))
+    """Quantiles of the stream of part keys, from the first heap and the shallowest layer that is held whole."""
+    return S.univmon_q_quantiles(_univmon_q(spark, sf)[1], _Q["layers"], _SAMPLES, [0.1, 0.5, 0.9])
 
 
 @query()
