@@ -114,17 +114,20 @@ def cusum(df: DataFrame, value: str, out: str, training: int, k: float, h: float
 
 def above_decayed_band(df: DataFrame, value: str, out: str, decay: float, k: float, minimum: int) -> DataFrame:
     """Above a baseline in which each known evaluation weighs ``decay`` times the next one, plus k such deviations; at
-    least ``minimum`` of them must be known. Weights relative to an entity's first evaluation are powers, so the moments
-    are running sums."""
-    ordered = W.partitionBy(ENTITY).orderBy(TIME)
-    before = ordered.rowsBetween(W.unboundedPreceding, -1)
+    least ``minimum`` of them must be known. The weighted sums of the values before are carried along, so no weight
+    outgrows a double however long the history or small the decay."""
+
+    def step(state: Column, row: Column) -> tuple[dict[str, Column], Column]:
+        v, n = row["_v"], state["total"]
+        centre = F.try_divide(state["first"], n)
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(state["second"], n) - centre * centre))
+        kept = lambda name, x: F.when(v.isNull(), state[name]).otherwise(decay * state[name] + x)
+        after = {"total": kept("total", F.lit(1.0)), "first": kept("first", v), "second": kept("second", v * v), "known": state["known"] + F.when(v.isNull(), 0).otherwise(1)}
+        return after, (state["known"] >= minimum) & (v > centre + k * spread)
+
     rows = df.withColumn("_v", F.when(~F.isnan(F.col(value)), F.col(value)).cast("double"))
-    rows = rows.withColumn("_w", F.when(F.col("_v").isNotNull(), F.pow(F.lit(1 / decay), F.count("_v").over(ordered.rowsBetween(W.unboundedPreceding, 0)).cast("double"))))
-    total = F.sum("_w").over(before)
-    centre = F.sum(F.col("_w") * F.col("_v")).over(before) / total
-    square = F.sum(F.col("_w") * F.col("_v") * F.col("_v")).over(before) / total
-    spread = F.sqrt(F.greatest(F.lit(0.0), square - centre * centre))
-    return rows.withColumn(out, _true((F.count("_v").over(before) >= minimum) & (F.col("_v") > centre + k * spread))).drop("_v", "_w")
+    zero = {name: F.lit(0.0) for name in ("total", "first", "second")}
+    return carried(rows, out, {**zero, "known": F.lit(0)}, step).drop("_v")
 
 
 def latch(df: DataFrame, flag: str, out: str, evaluations: int, extend: bool = True, while_held: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallywell.operators import published as U
+from tallywell.operators import rules as R
 
 
 def evaluations(spark, values, column="p95"):
@@ -37,3 +38,9 @@ def test_missing_values_meet_no_condition(spark):
 
 def test_rules_that_lack_a_column_are_left_out():
     assert set(U.answerable(U.video(), ["entity", "t", "buffering_l1", "startup_p95", "sessions"])) == {"hydra", "conviva_ai"}
+
+
+def test_decayed_band_outlasts_any_history(spark):
+    values = [1.0 + i % 2 for i in range(3000)] + [9.0, None, 1.0]
+    got = R.above_decayed_band(evaluations(spark, values, "v"), "v", "state", 0.5, 2, 3)
+    assert [r.t for r in got.filter("state").collect()] == [3000]
