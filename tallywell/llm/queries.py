@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import audit, damaged, digests, repaired
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .lm_score import score_documents
 from .mixing import mix_sources
 from .prefix_tree import join_components
 from .secrets import scan_secrets
-from .session import fresh_path
+from .session import fresh_path, save
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 from .token_files import describe_token_files, write_token_files
+from .top_search import search
 from .toxicity import score_toxicity, train
+from .vector_codes import books_digest, compress
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +79,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    report = save(audit(rows), "conversation-report")
+    texts = digests(repaired(rows, report)).withColumnRenamed("conv_id", "of")
+    return report.join(texts, F.col("conv_id").eqNullSafe(F.col("of")), "left").select(*report.columns, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_top_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_score, op2_toxicity, op3_token_counts, op4_mix_sources, op5_exact_dedup, op6_jaccard_join,
-        op7_secret_scan, op8_token_files, op9_decontaminate, op10_substring_dedup,
+        op7_secret_scan, op8_token_files, op9_decontaminate, op10_substring_dedup, op11_vector_codes, op12_repair_conversations,
+        op13_top_search,
     )
 }
 
@@ -118,4 +138,31 @@ ORACLES = {
         SELECT doc_id, item_id, n_shingles, n_found, n_found::DOUBLE / n_shingles AS containment
         FROM f JOIN n USING (item_id) WHERE n_found >= 0.75 * n_shingles
     """,
+    "op11_vector_codes": r"""
+        WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT max(len(e)) // 16 AS w FROM k),
+        x AS (SELECT id, vec_id, part, e[part * w + 1 : part * w + w] AS v FROM k, s, range(16) t(part)),
+        b0 AS (SELECT part, id - 1 AS entry, v FROM x WHERE id <= 64),
+        d0 AS (SELECT x.id, x.vec_id, x.part, b.entry, x.v, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b0 b USING (part)),
+        a0 AS (SELECT * FROM d0 QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY d, entry) = 1),
+        m0 AS (SELECT part, entry, place, floor(sum(v[place])::DOUBLE / count(*))::BIGINT AS c FROM a0, range(1, (SELECT w FROM s) + 1) t(place) GROUP BY ALL),
+        b1 AS (SELECT part, entry, coalesce(n.v, b.v) AS v FROM b0 b LEFT JOIN (SELECT part, entry, list(c ORDER BY place) AS v FROM m0 GROUP BY ALL) n USING (part, entry)),
+        d1 AS (SELECT x.id, x.vec_id, x.part, b.entry, x.v, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b1 b USING (part)),
+        a1 AS (SELECT * FROM d1 QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY d, entry) = 1),
+        m1 AS (SELECT part, entry, place, floor(sum(v[place])::DOUBLE / count(*))::BIGINT AS c FROM a1, range(1, (SELECT w FROM s) + 1) t(place) GROUP BY ALL),
+        b2 AS (SELECT part, entry, coalesce(n.v, b.v) AS v FROM b1 b LEFT JOIN (SELECT part, entry, list(c ORDER BY place) AS v FROM m1 GROUP BY ALL) n USING (part, entry)),
+        d2 AS (SELECT x.id, x.vec_id, x.part, b.entry, x.v, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b2 b USING (part)),
+        a2 AS (SELECT * FROM d2 QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY d, entry) = 1),
+        r AS (SELECT id, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY id),
+        h AS (SELECT sha256(string_agg(list_aggregate(v, 'string_agg', ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r JOIN k USING (id), h
+    """,
+    "op13_top_search": """
+        WITH k AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM k q JOIN k c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+    """,
 }
