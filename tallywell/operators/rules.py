@@ -72,21 +72,37 @@ def x_of_last_y(flag: str, x: int, y: int) -> Column:
     return F.sum(F.col(flag).cast("int")).over(w) >= x
 
 
-def carried(df: DataFrame, out: str, start: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> DataFrame:
+#: Evaluations that are folded together: appending to a list copies it, so lists are kept this short and then joined.
+_FOLD = 128
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def carried(df: DataFrame, out: str, start: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]], unknown: bool = False) -> DataFrame:
     """df with a boolean column that depends on what came before.
 
     start: the state before an entity's first evaluation. step(state, row): the
-    state after a row, and the row's flag.
+    state after a row, and the row's flag, whose null is false unless ``unknown``.
+    The time is linear in an entity's evaluations.
     """
     rest = [c for c in df.columns if c not in (ENTITY, TIME)]
     in_order = F.array_sort(F.collect_list(F.struct(TIME, *rest))).alias("_rows")
+    none = F.array().cast("array<boolean>")
 
-    def merge(acc: Column, row: Column) -> Column:
+    def one(acc: Column, row: Column) -> Column:
         state, flag = step(acc, row)
-        return F.struct(*[state[k].alias(k) for k in start], F.concat(acc["_flags"], F.array(_true(flag))).alias("_flags"))
+        return F.struct(*[state[k].alias(k) for k in start], F.concat(acc["_flags"], F.array(flag if unknown else _true(flag))).alias("_flags"))
+
+    def some(acc: Column, rows: Column) -> Column:
+        zero = F.struct(*[acc[k].alias(k) for k in start], none.alias("_flags"))
+        return _once(F.aggregate(rows, zero, one), lambda got: F.struct(*[got[k].alias(k) for k in start], F.concat(acc["_all"], F.array(got["_flags"])).alias("_all")))
 
-    zero = F.struct(*[v.alias(k) for k, v in start.items()], F.array().cast("array<boolean>").alias("_flags"))
-    rows = df.groupBy(ENTITY).agg(in_order).withColumn("_flags", F.aggregate("_rows", zero, merge, lambda acc: acc["_flags"]))
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_rows) - 1) div {_FOLD}")), lambda i: F.slice("_rows", (i * _FOLD + 1).cast("int"), F.lit(_FOLD)))
+    zero = F.struct(*[v.alias(k) for k, v in start.items()], F.array().cast("array<array<boolean>>").alias("_all"))
+    rows = df.groupBy(ENTITY).agg(in_order).withColumn("_flags", F.flatten(F.aggregate(parts, zero, some, lambda acc: acc["_all"])))
     rows = rows.select(ENTITY, F.explode(F.arrays_zip("_rows", "_flags")).alias("_x"))
     return rows.select(ENTITY, "_x._rows.*", F.col("_x._flags").alias(out)).select(*df.columns, out)
 

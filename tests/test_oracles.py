@@ -3,11 +3,12 @@
 import math
 import os
 
-import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
+duckdb = pytest.importorskip("duckdb")
+
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
