@@ -1,5 +1,8 @@
 """Exact statistics as DataFrame plans: counts, distincts, quantiles, norms, and the same within groups.
 
+Null is a key like any other in frequencies and groups, as in GROUP BY; it is no
+value for distinct counts, sums, extremes and quantiles, as in SQL's aggregates.
+
 Everything is hash aggregation with partial sums, so a hot key or group leaves
 one row for each task before it is shuffled. Where the whole order matters
 (ranks, the floor-index quantile) the sort is over distinct values with counts,
@@ -76,8 +79,10 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], rule: str = "linea
 
     All three run over (value, count) and its running counts, so that memory
     follows distinct values of a group in a sort that spills, and not an
-    in-memory buffer of the group's rows.
+    in-memory buffer of the group's rows. Nulls are no values: a group of nulls
+    alone, and an empty table, have no row. NaN is above every number.
     """
+    df = df.filter(F.col(value).isNotNull())
     if rule not in ("linear", "order", "floor"):
         raise Unsupported(f"quantile rule {rule}", "not one of linear, order, floor")
     if not by and isinstance(df.schema[value].dataType, T.NumericType):
@@ -171,7 +176,8 @@ def group_shape(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def group_cdf(df: DataFrame, by: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
-    """(by, x, share): the share of a group's rows with a value of at most x."""
+    """(by, x, share): the share of a group's values that are x at most; nulls are none."""
+    df = df.filter(F.col(value).isNotNull())
     shares = [F.struct(F.lit(float(x)).alias("x"), F.avg(F.when(F.col(value) <= x, 1.0).otherwise(0.0)).alias("share")) for x in at]
     return df.groupBy(*by).agg(F.array(*shares).alias("s")).select(*by, F.explode("s").alias("s")).select(*by, "s.x", "s.share")
 

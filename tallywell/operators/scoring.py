@@ -64,9 +64,9 @@ def top_sets(exact: DataFrame, answer: DataFrame, key: str) -> DataFrame:
 def rank_errors(values: DataFrame, value: str, answers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """answers(by, q, value) with rank_error: 0 if q n is among the ranks of equal values, else the distance in shares of n.
 
-    The answers are few and broadcast; the values are read once, as counts by value.
+    The answers are few and broadcast; the values are read once, as counts by value. Null values have no rank.
     """
-    counts = values.groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     asked = answers.withColumnRenamed("value", "x")
     pairs = counts.join(F.broadcast(asked), list(by)) if by else counts.crossJoin(F.broadcast(asked))
     r = pairs.groupBy(*by, "q", "x").agg(F.sum(F.when(F.col("v") < F.col("x"), F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("x"), F.col("n")).otherwise(0)).alias("upto"), F.sum("n").alias("n"))

@@ -80,13 +80,6 @@ def l2_norm(state: DataFrame, rows: int) -> DataFrame:
     return per.agg(F.sqrt(F.element_at(F.sort_array(F.collect_list("s")), rows // 2 + 1)).alias("l2"))
 
 
-def candidates(df: DataFrame, key: str, shard: Column, heap: int) -> DataFrame:
-    """Distinct keys that are among the ``heap`` most frequent of some shard: what the heaps of shards hold, put together."""
-    counts = df.groupBy(shard.alias("_shard"), key).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy("_shard").orderBy(F.desc("_n"), F.asc(key))
-    return counts.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= heap).select(key).distinct()
-
-
 def top(estimates: DataFrame, key: str, k: int) -> DataFrame:
     return estimates.orderBy(F.desc("estimate"), F.asc(key)).limit(k)
 
@@ -95,8 +88,8 @@ def top(estimates: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def registers(df: DataFrame, key: Column, lg: int, by: Sequence[str] = ()) -> DataFrame:
-    """(by, b, m): HyperLogLog registers; merged by taking the larger."""
-    k = df.withColumn("_k", key)
+    """(by, b, m): HyperLogLog registers; merged by taking the larger. Null is no key: a group of nulls alone has no registers."""
+    k = df.withColumn("_k", key).filter(F.col("_k").isNotNull())
     return k.groupBy(*by, (cw(F.col("_k"), 0, 20) % (1 << lg)).cast("int").alias("b")).agg(F.max(leading(cw(F.col("_k"), 1, 20))).alias("m"))
 
 
@@ -121,8 +114,8 @@ def hll_ertl(regs: DataFrame, lg: int, by: Sequence[str] = (), q: int = 31) -> D
 
 
 def least_hashes(df: DataFrame, key: Column, k: int) -> DataFrame:
-    """(h): the k least distinct hashes, by task and then of those."""
-    return df.select(cw(key, 0, 30).alias("h")).distinct().orderBy("h").limit(k)
+    """(h): the k least distinct hashes, by task and then of those. Null has none."""
+    return df.select(cw(key, 0, 30).alias("h")).filter("h IS NOT NULL").distinct().orderBy("h").limit(k)
 
 
 def kmv_estimate(state: DataFrame, k: int) -> DataFrame:
@@ -131,12 +124,12 @@ def kmv_estimate(state: DataFrame, k: int) -> DataFrame:
 
 
 def bloom(df: DataFrame, key: Column, slices: int, bits: int) -> DataFrame:
-    """(r, c): the bits set, one row each."""
-    return df.withColumn("_k", key).select(_rows(slices, lambda r: F.struct(F.lit(r).alias("r"), (cw(F.col("_k"), r, 40) % bits).cast("int").alias("c"))).alias("x")).select("x.r", "x.c").distinct()
+    """(r, c): the bits set, one row each. Null sets none."""
+    return df.withColumn("_k", key).filter(F.col("_k").isNotNull()).select(_rows(slices, lambda r: F.struct(F.lit(r).alias("r"), (cw(F.col("_k"), r, 40) % bits).cast("int").alias("c"))).alias("x")).select("x.r", "x.c").distinct()
 
 
 def bloom_member(state: DataFrame, probes: DataFrame, key: Column, slices: int, bits: int) -> DataFrame:
-    """probes with member: whether all of a probe's bits are set."""
+    """probes with member: whether all of a probe's bits are set; a null probe is no member."""
     own = list(probes.columns)
     asked = probes.withColumn("_k", key).withColumn("x", _rows(slices, lambda r: F.struct(F.lit(r).alias("r"), (cw(F.col("_k"), r, 40) % bits).cast("int").alias("c"))))
     hit = asked.select(*own, F.col("x.r").alias("r"), F.col("x.c").alias("c")).join(F.broadcast(state.withColumn("_hit", F.lit(1))), ["r", "c"], "left")
@@ -147,7 +140,8 @@ def bloom_member(state: DataFrame, probes: DataFrame, key: Column, slices: int,
 
 
 def dd_buckets(df: DataFrame, value: str, alpha: float, by: Sequence[str] = ()) -> DataFrame:
-    """(by, i, n): counts of positive values by ceil(log_gamma(value)); values of 0 in bucket null."""
+    """(by, i, n): counts of positive values by ceil(log_gamma(value)); values of 0 in bucket null. Null and NaN aren't counted."""
+    df = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if not 0 < alpha < 1:
         raise Unsupported(f"alpha {alpha}", "not between 0 and 1")
     gamma = (1 + alpha) / (1 - alpha)
@@ -194,8 +188,9 @@ def univmon(df: DataFrame, key: str, weight: str, layers: int, rows: int, cols:
     Layer j has the keys sampled j times over, a Count Sketch of their weights
     and the ``heap`` heaviest by its estimates. The recursive sum over layers,
     unrolled, adds g of the heavy keys of each, twofold for every layer further
-    down, and takes back those of the next layer that this one has counted.
+    down, and takes back those of the next layer that this one has counted. Null keys are not counted.
     """
+    df = df.filter(F.col(key).isNotNull())
     sums = df.groupBy(*by, F.col(key).alias("k")).agg(F.sum(weight).alias("w"))
     got = heaviest(layered(sums, layers, rows, cols, "w", by)[1], heap, by)
     e, factor = F.col("estimate").cast("double"), _share(layers)
@@ -261,6 +256,7 @@ def weighted_quantiles(held: DataFrame, qs: Sequence[float]) -> DataFrame:
 
 def univmon_two_tier(df: DataFrame, key: str, weight: str, elephants: int, **of) -> DataFrame:
     """As univmon, with the ``elephants`` heaviest keys counted apart, exactly, and the sketch for the rest."""
+    df = df.filter(F.col(key).isNotNull())
     sums = df.groupBy(F.col(key).alias("k")).agg(F.sum(weight).alias("w"))
     big = sums.orderBy(F.desc("w"), F.asc("k")).limit(elephants)
     e = F.col("w").cast("double")

@@ -25,10 +25,10 @@ def hll_hip(df: DataFrame, key: Column, order: Sequence[str], lg: int) -> DataFr
 
     Only rows that raise their register count, and of those there are few: the
     estimate adds, for each, the inverse of the chance that a new key raises any
-    register. That chance follows from the raises before.
+    register. That chance follows from the raises before. Null is no key.
     """
     m = 1 << lg
-    h = df.select(*order, (cw(key, 0, 20) % m).alias("b"), leading(cw(key, 1, 20)).alias("rho"))
+    h = df.filter(key.isNotNull()).select(*order, (cw(key, 0, 20) % m).alias("b"), leading(cw(key, 1, 20)).alias("rho"))
     best = F.max("rho").over(W.partitionBy("b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     raises = h.withColumn("old", F.coalesce(best, F.lit(0))).filter("rho > old")
     less = F.pow(F.lit(2.0), -F.col("old")) - F.pow(F.lit(2.0), -F.col("rho"))
@@ -42,9 +42,9 @@ def sampled(df: DataFrame, row_key: Column, rate: float, salt: int = 70, row: in
 
 
 def nitro(df: DataFrame, row_key: Column, key: Column, rate: float, rows: int, cols: int, signed: bool) -> DataFrame:
-    """(r, c, n): a matrix that takes each update of each row with probability rate, as 1 / rate."""
+    """(r, c, n): a matrix that takes each update of each row with probability rate, as 1 / rate. Null keys are not counted."""
     cell = lambda r: F.struct(F.lit(r).alias("r"), (cw(F.col("_k"), r) % cols).cast("int").alias("c"), (S.sign(F.col("_k"), r) if signed else F.lit(1)).cast("long").alias("s"), (cw(F.col("_id"), r, 70) < int(rate * P)).alias("drawn"))
-    x = df.select(row_key.alias("_id"), key.alias("_k")).select(S._rows(rows, cell).alias("x")).filter("x.drawn")
+    x = df.select(row_key.alias("_id"), key.alias("_k")).filter("_k IS NOT NULL").select(S._rows(rows, cell).alias("x")).filter("x.drawn")
     return x.groupBy("x.r", "x.c").agg((F.sum("x.s") / rate).alias("n"))
 
 
@@ -92,7 +92,7 @@ def space_saving(df: DataFrame, key: str, capacity: int) -> DataFrame:
 
     A key that finds no room takes the place of the least count, and adds to it.
     Shards are merged by adding bounds; a key absent from a full shard may have
-    had that shard's least count there, which goes to both n and over.
+    had that shard's least count there, which goes to both n and over. Null keys are not counted.
     """
     import heapq
 
@@ -119,7 +119,7 @@ def space_saving(df: DataFrame, key: str, capacity: int) -> DataFrame:
             yield pd.DataFrame({"key": list(held), "n": [v[0] for v in held.values()], "over": [v[1] for v in held.values()], "floor": floor})
 
     kind = df.schema[key].dataType.simpleString()
-    shards = df.select(F.col(key).alias("key")).mapInPandas(run, f"key {kind}, n long, over long, floor long").withColumn("shard", F.spark_partition_id())
+    shards = df.select(F.col(key).alias("key")).filter("key IS NOT NULL").mapInPandas(run, f"key {kind}, n long, over long, floor long").withColumn("shard", F.spark_partition_id())
     floors = shards.groupBy("shard").agg(F.max("floor").alias("f")).agg(F.sum("f").alias("all"))
     merged = shards.groupBy("key").agg(F.sum("n").alias("n"), F.sum("over").alias("over"), F.sum("floor").alias("had")).crossJoin(F.broadcast(floors))  # one row
     absent = F.col("all") - F.col("had")
@@ -128,7 +128,7 @@ def space_saving(df: DataFrame, key: str, capacity: int) -> DataFrame:
 
 def elastic(df: DataFrame, key: str, buckets: int, rows: int, cols: int, ratio: int = 8) -> DataFrame:
     """(key, n): heavy keys; each bucket keeps a key, votes for it and votes against, and lets a key in when votes against
-    reach ``ratio`` times those for it. What is let go is counted in a Count-Min matrix, whose estimate is added back."""
+    reach ``ratio`` times those for it. What is let go is counted in a Count-Min matrix, whose estimate is added back. Null keys are not counted."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place: dict = {}
@@ -153,7 +153,7 @@ def elastic(df: DataFrame, key: str, buckets: int, rows: int, cols: int, ratio:
         yield pd.DataFrame({"key": [v[0] for v in place.values()] + list(light), "n": [v[1] for v in place.values()] + list(light.values()), "heavy": [True] * len(place) + [False] * len(light)})
 
     kind = df.schema[key].dataType.simpleString()
-    parts = df.select(F.col(key).alias("key")).mapInPandas(run, f"key {kind}, n long, heavy boolean")
+    parts = df.select(F.col(key).alias("key")).filter("key IS NOT NULL").mapInPandas(run, f"key {kind}, n long, heavy boolean")
     k = F.pmod(F.col("key").cast("long"), F.lit(P)) if kind in ("bigint", "int") else F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long")
     light = S.matrix(parts.filter("NOT heavy"), k, rows, cols, weight=F.col("n"))
     heavy = parts.filter("heavy").groupBy("key").agg(F.sum("n").alias("held"))
@@ -162,7 +162,7 @@ def elastic(df: DataFrame, key: str, buckets: int, rows: int, cols: int, ratio:
 
 
 def coco(df: DataFrame, key: str, rows: int, cols: int, seed: int = 1) -> DataFrame:
-    """(key, n): each key adds to the least of its ``rows`` buckets, and takes it over with the probability n / new total."""
+    """(key, n): each key adds to the least of its ``rows`` buckets, and takes it over with the probability n / new total. Null keys are not counted."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(seed)
@@ -180,4 +180,4 @@ def coco(df: DataFrame, key: str, rows: int, cols: int, seed: int = 1) -> DataFr
             yield pd.DataFrame(got, columns=["key", "n"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key")).mapInPandas(run, f"key {kind}, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return df.select(F.col(key).alias("key")).filter("key IS NOT NULL").mapInPandas(run, f"key {kind}, n long").groupBy("key").agg(F.sum("n").alias("n"))

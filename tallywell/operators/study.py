@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,3 +122,84 @@ def choose(capability: str, epsilon: float, delta: float = 0.01, merges: int = 1
         gamma = (1 + epsilon) / (1 - epsilon)
         return {"sketch": "dd", "parameters": {"alpha": epsilon}, "bytes": 16 * math.ceil(math.log(spread) / math.log(gamma)), "bound": epsilon}
     raise Unsupported(capability, "no sketch is kept for it; use the exact plan")
+
+
+# -- fits of several terms -----------------------------------------------------------------------------------------
+
+
+def _solved(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Least squares with no coefficient below 0: of all subsets of terms whose free solution is not negative, the one that explains most.
+
+    The others are 0. A subset without a solution of its own is no candidate.
+    """
+    best, most = np.zeros(len(right)), 0.0
+    for chosen in range(1, 1 << len(right)):
+        at = [i for i in range(len(right)) if chosen >> i & 1]
+        g = gram[np.ix_(at, at)]
+        if np.linalg.matrix_rank(g) < len(at):
+            continue
+        x = np.linalg.solve(g, right[at])
+        gain = float(right[at] @ x)  # how much the squares fall
+        if (x >= 0).all() and gain > most * (1 + 1e-12):
+            best, most = np.zeros(len(right)), gain
+            best[at] = x
+    return best
+
+
+def constrained_fit(points: DataFrame, setting: str, terms: Sequence[str], y: str) -> DataFrame:
+    """(left_out, coefficients, points, worst): y = sum of coefficient x term, none below 0, by least squares of relative errors.
+
+    left_out null: fitted to all points; worst is the largest relative error over
+    them. Else fitted without that setting's points, and worst is over just those: how
+    far the fit is off where it hasn't been. The normal equations are sums by
+    setting, and a setting is left out by subtracting its own, so points are
+    read twice however many settings there are. Points whose y is 0, or null, or a term null, can't be
+    weighed and are left out; with at most 8 terms all subsets of them are tried.
+    """
+    terms = list(terms)
+    if not 0 < len(terms) <= 8:
+        raise Unsupported(f"{len(terms)} terms", "between 1 and 8")
+    p = len(terms)
+    fine = points.filter(F.col(y) != 0).dropna(subset=terms)
+    t = [F.col(c) / F.col(y) for c in terms]
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = fine.groupBy(F.col(setting).alias("left_out")).agg(F.array(*[F.sum(t[i] * t[j]) for i, j in pairs]).alias("gram"), F.array(*[F.sum(x) for x in t]).alias("right"), F.count(F.lit(1)).alias("n"))
+    added = lambda c, size: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(size)])
+    total = sums.agg(added("gram", len(pairs)).alias("all_gram"), added("right", p).alias("all_right"), F.sum("n").alias("all_n"))
+    less = lambda a, b: F.zip_with(a, b, lambda x, z: x - z)
+    without = sums.crossJoin(F.broadcast(total)).select("left_out", F.lit(True).alias("one"), less("all_gram", "gram").alias("gram"), less("all_right", "right").alias("right"), (F.col("all_n") - F.col("n")).alias("n"))  # one row
+    every = total.filter("all_n > 0").select(F.lit(None).cast(points.schema[setting].dataType).alias("left_out"), F.lit(False).alias("one"), F.col("all_gram").alias("gram"), F.col("all_right").alias("right"), F.col("all_n").alias("n"))
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for gram, right in zip(f["gram"], f["right"]):
+                g = np.zeros((p, p))
+                for (i, j), v in zip(pairs, gram):
+                    g[i, j] = g[j, i] = v
+                out.append(_solved(g, np.asarray(right, float)).tolist())
+            yield f.assign(coefficients=out)[["left_out", "one", "coefficients", "n"]]
+
+    kind = points.schema[setting].dataType.simpleString()
+    fits = without.unionByName(every).mapInPandas(solve, f"left_out {kind}, one boolean, coefficients array<double>, n long")
+    said = sum((F.get("coefficients", F.lit(i)) * t[i] for i in range(p)), F.lit(0.0))
+    own = fine.join(fits.filter("one"), F.col(setting).eqNullSafe(F.col("left_out")))
+    whole = fine.crossJoin(F.broadcast(fits.filter("NOT one")))  # one row
+    cols = ["left_out", "coefficients", F.col("n").alias("points"), F.abs(said - 1).alias("off")]
+    both = own.select(*cols).union(whole.select(*cols))
+    return both.groupBy("left_out", "coefficients", "points").agg(F.max("off").alias("worst"))
+
+
+def rank_agreement(pairs: DataFrame, by: Sequence[str], left: str, right: str) -> DataFrame:
+    """(by, n, tau): Kendall's tau-b of two measures over the same configurations, from counts of agreeing and tied pairs.
+
+    Configurations of a group are few (a sweep's grid); pairs are within a group.
+    """
+    numbered = pairs.select(*by, F.col(left).alias("x"), F.col(right).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    rows = numbered.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("rows"), F.count(F.lit(1)).alias("n"))
+    at = F.posexplode("rows").alias("i", "a")
+    each = rows.select(*by, "n", "rows", at).select(*by, "n", "a", F.slice("rows", F.col("i") + 2, F.col("n").cast("int")).alias("later"))
+    s = lambda b: F.signum(b["x"] - F.col("a.x")) * F.signum(b["y"] - F.col("a.y"))
+    part = lambda f: F.sum(F.aggregate("later", F.lit(0.0), lambda acc, b: acc + f(b)))
+    got = each.groupBy(*by, "n").agg(part(s).alias("s"), part(lambda b: F.abs(F.signum(b["x"] - F.col("a.x")))).alias("nx"), part(lambda b: F.abs(F.signum(b["y"] - F.col("a.y")))).alias("ny"))
+    return got.select(*by, "n", F.try_divide("s", F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))

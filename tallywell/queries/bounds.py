@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import compactors as K
 from ..operators import exact as X
 from ..operators import scoring as C
 from . import query, scores, table
@@ -91,3 +92,30 @@ def bound_univmon_q_cardinality(spark, sf):
 def bound_univmon_q_quantile(spark, sf):
     """A sample of 128 to 256 keys, and weights off by the sketch's error: ranks are off by 15 % at most."""
     return C.rank_errors(table(spark, sf, "lineitem").withColumn("k", F.col("l_partkey").cast("double")), "k", scores.univmon_q_quantile(spark, sf).withColumn("value", F.col("value").cast("double"))).select("q", (F.col("rank_error") <= 0.15).alias("within"))
+
+
+_RANKS = [0.01, 0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9, 0.99]
+
+
+@query(f"SELECT unnest([1, 8]) AS shards, count(*) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS largest, {len(_RANKS)}::BIGINT AS within FROM lineitem")
+def bound_kll_dynamic(spark, sf):
+    """Compactors with k = 200, of one shard and merged from eight: what they stand for, and how many of nine ranks are within the published error."""
+    df, out = table(spark, sf, "lineitem").withColumn("shard", F.col("l_orderkey") % 8), None
+    for shards in (1, 8):
+        one = df if shards == 8 else df.withColumn("shard", F.lit(0).cast("long"))
+        state = K.merge(K.sketch(one, "l_extendedprice", 200, shard="shard"), 200, shards=shards)
+        off = C.rank_errors(df, "l_extendedprice", K.quantiles(state, _RANKS)).agg(F.count_if(F.col("rank_error") <= K.rank_error(200)).alias("within"))
+        row = K.kept(state).select(F.lit(shards).alias("shards"), "n", "least", "largest").crossJoin(off)  # one row each
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, min(l_quantity) AS least, max(l_quantity) AS largest, 5::BIGINT AS within FROM lineitem GROUP BY ALL")
+def bound_kll_dynamic_groups(spark, sf):
+    """By group, shares at five quantities; each is within the published error of the exact share."""
+    by, at = ["l_returnflag", "l_linestatus"], [5, 10, 20, 30, 40]
+    df = table(spark, sf, "lineitem")
+    state = K.merge(K.sketch(df, "l_quantity", 400, by), 400, by)
+    off = X.group_cdf(df, by, "l_quantity", at).withColumnRenamed("share", "truth").join(K.ranks(state, at, by), [*by, "x"])
+    within = off.groupBy(*by).agg(F.count_if(F.abs(F.col("share") - F.col("truth")) <= K.rank_error(400)).alias("within"))
+    return K.kept(state, by).select(*by, "n", "least", "largest").join(within, by)

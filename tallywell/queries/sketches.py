@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import P, coefficients, integer_key
 from ..model import subset_key
 from ..operators import exact as X
+from ..operators import heaps as H
 from ..operators import sketches as S
 from . import query, table
 
@@ -65,7 +66,7 @@ _KEYS = "k AS (SELECT DISTINCT l_partkey FROM lineitem)"
 
 def _matrix(spark, sf, signed=False, cols=COLS):
     df = table(spark, sf, "lineitem").select("l_partkey")
-    return df, S.matrix(df, integer_key(F.col("l_partkey")), ROWS, cols, signed)
+    return df, H.filled(df, integer_key(F.col("l_partkey")), ROWS, cols, signed)
 
 
 def _read(df, state, signed=False, cols=COLS, folded=None):
@@ -119,20 +120,15 @@ def cs_l2(spark, sf):
     return S.l2_norm(_matrix(spark, sf, True)[1], ROWS).withColumn("l2", F.round("l2", 6))
 
 
-_HEAPS = "k AS (SELECT DISTINCT l_partkey FROM (SELECT l_orderkey % 4 AS shard, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY shard ORDER BY n DESC, l_partkey) <= 64))"
-
-
 def _top_sql(signed: bool, cols: int = COLS, folded: int | None = None) -> str:
-    return f"WITH {cells_sql('m', 'lineitem', 'l_partkey', ROWS, cols, signed, folded=folded)}, {_HEAPS}, {estimate_sql('e', 'm', 'k', 'l_partkey', ROWS, cols, signed, folded=folded)} SELECT * FROM e ORDER BY estimate DESC, l_partkey LIMIT 32"
+    return f"WITH {cells_sql('m', 'lineitem', 'l_partkey', ROWS, cols, signed, folded=folded)}, {_KEYS}, {estimate_sql('e', 'm', 'k', 'l_partkey', ROWS, cols, signed, folded=folded)} SELECT * FROM e ORDER BY estimate DESC, l_partkey LIMIT 32"
 
 
 def _top(spark, sf, signed, cols=COLS, folded=None):
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    key = integer_key(F.col("l_partkey"))
-    state = S.matrix(df, key, ROWS, cols, signed)
+    """Two passes, neither of which groups by key: the cells, and the greatest estimates that the cells give."""
+    df, state = _matrix(spark, sf, signed, cols)
     state = S.fold(state, cols, 2) if folded else state
-    held = S.candidates(df, "l_partkey", F.col("l_orderkey") % 4, 64)
-    return S.top(S.estimate(state, held, key, ROWS, cols, signed, folded=folded), "l_partkey", 32)
+    return H.greatest(S.estimate(state, df, integer_key(F.col("l_partkey")), ROWS, cols, signed, folded=folded), "l_partkey", 32)
 
 
 @query(_top_sql(False))
@@ -360,3 +356,33 @@ def count_min_hll(spark, sf):
     regs = _gridded(S.registers(_by_labels(spark, sf), integer_key(F.col("l_suppkey")), 6, by=LABELS), 3, 32).groupBy("gr", "gc", "b").agg(F.max("m").alias("m"))
     e = S.hll_estimate(regs, 6, by=["gr", "gc"])
     return _asked(spark, sf, rows=3, cols=32).join(e, ["gr", "gc"]).groupBy("grp").agg(F.round(F.min("estimate"), 6).alias("estimate"))
+
+
+# -- heaps in one pass ---------------------------------------------------------------------------------------------
+
+_WORDS = "(SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents)"
+
+
+@query(f"SELECT word, count(*) AS n, true AS bounded FROM {_WORDS} GROUP BY word ORDER BY n DESC, word LIMIT 32")
+def heap_topk_words(spark, sf):
+    """The 32 most frequent words of all texts: heaps of 256 beside 3 x 4,096 cells in one pass, then a count of the words held by some task alone.
+
+    bounded: the estimate is no less than the count, and more by 3 e / 4096 of all words at most.
+    """
+    words = table(spark, sf, "documents").select(F.explode(F.expr("regexp_extract_all(lower(coalesce(text, '')), '[a-z]+', 0)")).alias("word"))
+    key = integer_key(F.col("word"), text=True)
+    cells, held = H.heaped(words, "word", key, 3, 4096, 256)
+    estimates = S.estimate(cells, held, key, 3, 4096)
+    # at most 256 words from each task
+    n = words.join(F.broadcast(held), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = cells.filter("r = 0").agg(F.sum("n").alias("_all"))
+    both = n.join(estimates, "word").crossJoin(F.broadcast(total))  # one row
+    over = F.col("estimate") - F.col("n")
+    return both.select("word", "n", ((over >= 0) & (over <= 3 * 2.718281828 / 4096 * F.col("_all"))).alias("bounded")).orderBy(F.desc("n"), "word").limit(32)
+
+
+@query(f"WITH {cells_sql('m', 'lineitem', 'l_suppkey', 5, 1024, True)} SELECT r, c::INT AS c, n FROM m WHERE n <> 0")
+def heap_cells(spark, sf):
+    """The cells that the one pass leaves are those of the whole stream."""
+    df = table(spark, sf, "lineitem").select("l_suppkey")
+    return H.heaped(df, "l_suppkey", integer_key(F.col("l_suppkey")), 5, 1024, 64, True)[0].filter("n <> 0")

@@ -6,6 +6,7 @@ of any partitioning, of a task that runs again, and of another SQL engine.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -40,13 +41,18 @@ def between(row: Column, seed: int, low: float, high: float) -> Column:
     return low + uniform(row, seed) * (high - low)
 
 
+@functools.lru_cache(8)
+def _shares(n: int, s: float) -> np.ndarray:
+    c = np.cumsum(np.arange(1, n + 1, dtype=float) ** -s)
+    return c / c[-1]
+
+
 def zipf(row: Column, seed: int, n: int, s: float) -> Column:
-    """Ranks 1..n with weight rank ** -s; the table of n cumulative weights is made in each worker."""
+    """Ranks 1..n with weight rank ** -s; the table of n cumulative weights is made once in each worker."""
 
     @F.pandas_udf("long")
     def rank(u: pd.Series) -> pd.Series:
-        c = np.cumsum(np.arange(1, n + 1, dtype=float) ** -s)
-        return pd.Series(np.searchsorted(c / c[-1], u.to_numpy(), "right") + 1).clip(upper=n)
+        return pd.Series(np.searchsorted(_shares(n, s), u.to_numpy(), "right") + 1).clip(upper=n)
 
     return rank(uniform(row, seed))
 
@@ -101,9 +107,19 @@ def with_bursts(df: DataFrame, row: str, length: int, bursts: Sequence[int], sha
     return df.withColumn("burst", F.lit(False)).union(again.withColumn("burst", F.lit(True)))
 
 
-def table(spark: SparkSession, rows: int, **columns: Column) -> DataFrame:
-    """id and the given columns of it."""
-    return spark.range(rows).select("id", *[c.alias(n) for n, c in columns.items()])
+def table(spark: SparkSession, rows: int | DataFrame, **columns: Column) -> DataFrame:
+    """id and the given columns of it. rows: how many, or a table whose ``id`` it is, so that what is generated goes with given rows."""
+    ids = rows if isinstance(rows, DataFrame) else spark.range(rows)
+    return ids.select("id", *[c.alias(n) for n, c in columns.items()])
+
+
+def claimed(df: DataFrame, **claims: int) -> DataFrame:
+    """df, if each column has as many different values as is claimed; another number is an error that says what there is."""
+    found = df.agg(*[F.countDistinct(c).alias(c) for c in claims]).first()
+    wrong = {c: found[c] for c, n in claims.items() if found[c] != n}
+    if wrong:
+        raise Unsupported(f"claimed cardinalities {claims}", f"there are {wrong}")
+    return df
 
 
 def series(spark: SparkSession, labels: DataFrame, start_ms: int, duration_ms: int, interval_ms: int, value, counter: bool = False) -> DataFrame:
