@@ -122,11 +122,13 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budge
 
     Null and empty texts have no words and are never taken. A null source is a
     source, the last; null ids are in the order of their texts. An empty table
-    gives an empty result. Columns of any name are kept as they are.
+    gives an empty result. Columns of any name and type are kept as they are.
     """
     light = _sized(docs, id_col, text_col, source_col, bucket_digits)
     values = [docs[c] for c in docs.columns]
-    marked = [*values, *[c.isNull() for c in values]]
+    # maps have no hash of their own
+    plain = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema.fields]
+    marked = [*plain, *[c.isNull() for c in values]]
     row = F.struct(F.xxhash64(*marked), F.xxhash64(F.lit(1), *marked)).alias("__row")
     plan = _assigned(save(docs.select(row, *light), "mix-sizes"), weights, budget, cap, ramp)
     copies = F.floor(F.col("__taken") / F.col("__size") + 0.5).cast("int")

@@ -80,8 +80,9 @@ def scan_secrets(versions: DataFrame, ledger: str | None = None, path_cols: tupl
     index = save(named, "secret-paths")
     try:
         known = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rule_version") == rule_version)
-        known.isEmpty()
-    except AnalysisException:
+    except AnalysisException as e:  # no ledger yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         known = spark.createDataFrame([], LEDGER)
     todo = index.groupBy("blob").agg(F.min("path").alias("path")).join(known.select("blob"), "blob", "left_anti")
     # the version itself, path and blob together: null or much revised paths must not meet each of their versions

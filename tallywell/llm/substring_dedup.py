@@ -78,21 +78,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stages of their own that the adaptive skew join splits. Nothing pairs documents.
 
     Null ids: such documents keep all words and take none from others. Rows of
-    the same id are one document: they take nothing from each other. Null and
+    the same id are one document: they take nothing from each other, and each has
+    marks of its own, told apart by a hash of the text. Null and
     empty texts have no words. An empty table gives an empty result; other columns
     are not looked at. Keys join two independent 64-bit hashes.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("of", F.hash("text"))
+    row, ids = ["id", "of"], [T.StructField("id", kind), T.StructField("of", T.IntegerType())]
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             s = Seeds(Words(b.column("text")), length, gram)
-            yield pa.RecordBatch.from_arrays([_signed(s.anchor), _signed(s.extent), b.column("id").take(pa.array(s.doc.astype(np.int64)))], ["anchor", "extent", "id"])
+            doc = pa.array(s.doc.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([_signed(s.anchor), _signed(s.extent), b.column("id").take(doc), b.column("of").take(doc)], ["anchor", "extent", *row])
 
     long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
-    seeded = rows.filter("id IS NOT NULL").mapInArrow(seeds, T.StructType([*long("anchor", "extent"), T.StructField("id", kind)]))
+    seeded = rows.filter("id IS NOT NULL").mapInArrow(seeds, T.StructType([*long("anchor", "extent"), *ids]))
     common = save(seeded.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"), "substring-anchors")
     settle(spark)
     found = save(seeded.join(common, "anchor", "left_semi"), "substring-seeds")
@@ -100,8 +103,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     regions = save(found.groupBy("anchor", "extent").agg(F.min("id").alias("first")), "substring-firsts")
     several = save(regions.groupBy("anchor").agg((F.min("extent") != F.max("extent")).alias("several")), "substring-several")
     regions = save(regions.join(bounded(several), "anchor"), "substring-judged")
-    judged = found.join(bounded(regions), ["anchor", "extent"]).select("id", "extent", (F.col("id") > F.col("first")).alias("gone"), "several").filter("gone OR several")
-    marks = judged.groupBy("id").agg(F.collect_set(F.when(F.col("gone"), F.col("extent"))).alias("gone"), F.collect_set(F.when(~F.col("gone"), F.col("extent"))).alias("open"))
+    judged = found.join(bounded(regions), ["anchor", "extent"]).select(*row, "extent", (F.col("id") > F.col("first")).alias("gone"), "several").filter("gone OR several")
+    marks = judged.groupBy(*row).agg(F.collect_set(F.when(F.col("gone"), F.col("extent"))).alias("gone"), F.collect_set(F.when(~F.col("gone"), F.col("extent"))).alias("open"))
     marks = save(marks, "substring-regions")
     settle(spark)
 
@@ -111,14 +114,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             s = Seeds(w, length, gram)
             keep = _among(s.doc, s.extent, b.column("open"))[s.region] if len(s.start) else np.zeros(0, bool)
             region = s.region[keep].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([_signed(s.anchor[region]), _signed(s.window[keep]), b.column("id").take(pa.array(s.doc[region].astype(np.int64)))], ["anchor", "window", "id"])
+            doc = pa.array(s.doc[region].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([_signed(s.anchor[region]), _signed(s.window[keep]), b.column("id").take(doc), b.column("of").take(doc)], ["anchor", "window", *row])
 
-    opened = rows.join(marks.filter(F.size("open") > 0).select("id", "open"), "id")
-    opened = save(opened.mapInArrow(windows, T.StructType([*long("anchor", "window"), T.StructField("id", kind)])), "substring-windows")
+    opened = rows.join(marks.filter(F.size("open") > 0).select(*row, "open"), row)
+    opened = save(opened.mapInArrow(windows, T.StructType([*long("anchor", "window"), *ids])), "substring-windows")
     settle(spark)
     firsts = save(opened.groupBy("anchor", "window").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"), "substring-seen")
-    later = opened.join(bounded(firsts), ["anchor", "window"]).filter("id > first").groupBy("id").agg(F.collect_set("window").alias("windows"))
-    marks = save(marks.select("id", "gone").join(later, "id", "full"), "substring-marks")
+    later = opened.join(bounded(firsts), ["anchor", "window"]).filter("id > first").groupBy(*row).agg(F.collect_set("window").alias("windows"))
+    marks = save(marks.select(*row, "gone").join(later, row, "full"), "substring-marks")
     settle(spark)
 
     repeats = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())]))
@@ -146,7 +150,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(w.count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))), joined(w, ~gone)], out.names)
 
     blank = rows.filter("id IS NULL").select("id", "text", F.lit(None).cast("array<long>").alias("gone"), F.lit(None).cast("array<long>").alias("windows"))
-    marked = rows.filter("id IS NOT NULL").join(marks, "id", "left").select("id", "text", "gone", "windows")
+    marked = rows.filter("id IS NOT NULL").join(marks, row, "left").select("id", "text", "gone", "windows")
     return marked.union(blank).mapInArrow(cut, out).withColumnRenamed("id", id_col)
 
 

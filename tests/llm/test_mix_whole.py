@@ -31,3 +31,12 @@ def test_copies_and_order(spark):
     got = [r.doc_id for r in mixing.mixed_documents(docs).select("doc_id").collect()]
     assert got == [i for *_, i in sorted(want)]
     assert len(got) > len(set(got))
+
+
+def test_columns_of_any_type(spark):
+    """Maps, arrays and structs stay as they are, and rows that differ in them alone are rows of their own."""
+    rows = [(i, "one two three four", "s", {"k": str(i % 2)}, [i], (i, {"a": [1]})) for i in range(6)] + [(0, "one two three four", "s", {"k": "9"}, [0], (0, None)), (7, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,string>, list array<int>, both struct<n:int,m:map<string,array<int>>>")
+    got = mixing.mixed_documents(docs)
+    assert got.schema == docs.schema
+    assert {repr(r) for r in got.collect()} <= {repr(r) for r in docs.collect()} and got.count() > 6
