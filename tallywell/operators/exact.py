@@ -53,24 +53,35 @@ def stream_stats(counts: DataFrame) -> DataFrame:
     return counts.agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("distinct_keys"), F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("l2"))
 
 
+#: Equal slices of the bucket that holds a rank.
+_SLICES = 4096
+
+
 def at_ranks(counts: DataFrame, asked: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """counts(v, n) -> (name, v): the value at each asked rank, which is a function of the number of all rows, counted from 0.
 
     Values are put into buckets of a thousandth of their size, which keep their
-    order. The running count is over buckets, whose number is bounded; only the
-    bucket that holds a rank is sorted.
+    order. The running count is over buckets, whose number is bounded. The
+    bucket that holds a rank is cut into equal slices between its least and
+    largest value, so that values of a narrow range don't stay together, and only the slice that holds the rank is sorted.
     """
     v = F.col("v").cast("double")
     size = (F.floor(F.log(F.abs(v)) / math.log(1.001)) + 1_000_000).cast("long")
     infinite = F.abs(v) == float("inf")
     bucket = F.when(v.isNull(), -(10**9)).when(F.isnan(v), 10**9).when(infinite, F.signum(v).cast("long") * 10**8).when(v == 0, 0).otherwise(F.signum(v).cast("long") * size)
     rows = counts.withColumn("bucket", bucket)
-    sums = rows.groupBy("bucket").agg(F.sum("n").alias("here"))
+    sums = rows.groupBy("bucket").agg(F.sum("n").alias("here"), F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
     sums = sums.withColumn("upto", F.sum("here").over(W.partitionBy(F.lit(0)).orderBy("bucket"))).withColumn("all", F.sum("here").over(W.partitionBy(F.lit(0))))
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("all")).cast("long").alias("at")) for name, at in asked.items()])).alias("x")
-    wanted = sums.select("bucket", (F.col("upto") - F.col("here")).alias("before"), "upto", ranks).filter("x.at >= before AND x.at < upto").select("bucket", "x.name", (F.col("x.at") - F.col("before")).alias("at"))
+    wanted = sums.select("bucket", "low", "high", (F.col("upto") - F.col("here")).alias("before"), "upto", ranks).filter("x.at >= before AND x.at < upto").select("bucket", "low", "high", "x.name", (F.col("x.at") - F.col("before")).alias("at"))
     near = rows.join(F.broadcast(wanted), "bucket")  # a row for each asked rank
-    near = near.withColumn("upto", F.sum("n").over(W.partitionBy("name").orderBy("v")))
+    # infinities and NaN are alone in their buckets; a wide one's range may not be finite
+    part = F.floor(F.try_divide(v - F.col("low"), F.col("high") - F.col("low")) * _SLICES)
+    near = near.withColumn("slice", F.when(part.isNull() | F.isnan(part.cast("double")), 0).otherwise(F.least(part, F.lit(_SLICES - 1))).cast("long"))
+    cuts = near.groupBy("name", "at", "slice").agg(F.sum("n").alias("here"))
+    cuts = cuts.withColumn("upto", F.sum("here").over(W.partitionBy("name").orderBy("slice"))).filter("at >= upto - here AND at < upto").select("name", "slice", (F.col("upto") - F.col("here")).alias("below"))
+    near = near.join(F.broadcast(cuts), ["name", "slice"])  # one slice for each asked rank
+    near = near.withColumn("upto", F.sum("n").over(W.partitionBy("name").orderBy("v")) + F.col("below"))
     return near.filter("at >= upto - n AND at < upto").select("name", "v")
 
 

@@ -63,8 +63,12 @@ def judged(evaluations: DataFrame, rules: dict[str, Rule]) -> DataFrame:
 # Thresholds, windows and holds as their operators publish them. Each can be passed anew.
 
 
-def syn_flood(entropy=8.5, distinct=3000, distinct_short=1700, history=60, sigmas=3, factor=2.0, training=50, slack=0.5, alarm=5, packets=100_000, ban=380, flows=18_000, consecutive=4) -> dict[str, Rule]:
-    """Floods of one server, over entropy and distinct sources in 10 s, distinct sources in 5 s and 1 min, packets in 5 s."""
+def syn_flood(entropy=8.5, distinct=3000, distinct_short=1700, history=60, sigmas=3, factor=2.0, training=50, slack=0.5, alarm=5, packets_per_s=20_000, ban_s=1900, flows_per_s=300, for_s=15, step_s=5) -> dict[str, Rule]:
+    """Floods of one server, over entropy and distinct sources in 10 s, distinct sources in 5 s and 1 min, packets in 5 s.
+
+    step_s: the time between evaluations; a ban's length and the time that a condition must have held follow from it.
+    """
+    packets, flows, ban, consecutive = 5 * packets_per_s, 60 * flows_per_s, ban_s // step_s, for_s // step_s + 1
     any_of = lambda: R.above("entropy_10s", entropy) | R.above("distinct_10s", distinct) | R.above("distinct_5s", distinct_short)
     return {
         "promsketch_for_15s": Rule(("entropy_10s", "distinct_10s", "distinct_5s"), holds(any_of), held(lambda f: R.for_consecutive(f, consecutive))),

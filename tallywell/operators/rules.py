@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import bounded, save
+
 ENTITY, TIME = "entity", "t"
 
 
@@ -172,9 +174,12 @@ def latch(df: DataFrame, flag: str, out: str, evaluations: int, extend: bool = T
 
 
 def spine(exact: DataFrame, approx: DataFrame) -> DataFrame:
-    """Every entity of either arm at every time of either, with exact and approx states; absent is off."""
+    """Every entity of either arm at every time of either, with exact and approx states; absent is off.
+
+    The result is entities by evaluation times by definition. The times are written, and broadcast if they are few.
+    """
     both = exact.select(ENTITY, TIME).union(approx.select(ENTITY, TIME))
-    grid = both.select(ENTITY).distinct().crossJoin(F.broadcast(both.select(TIME).distinct()))  # entities by the evaluation grid
+    grid = both.select(ENTITY).distinct().crossJoin(bounded(save(both.select(TIME).distinct(), "times")))
     e, a = exact.select(ENTITY, TIME, F.col("state").alias("exact")), approx.select(ENTITY, TIME, F.col("state").alias("approx"))
     return grid.join(e, [ENTITY, TIME], "left").join(a, [ENTITY, TIME], "left").select(ENTITY, TIME, _true(F.col("exact")).alias("exact"), _true(F.col("approx")).alias("approx"))
 
@@ -242,38 +247,35 @@ def matched_actions(acted: DataFrame, window: int = 2) -> DataFrame:
     """acted(entity, t, exact, approx actions) -> (entity, action, exact_at, approx_at): pairs of equal actions at most
     ``window`` evaluations apart, nearest first, then earliest; and what is left alone on either side, with a null.
 
-    Candidates are a join of each action with the evaluations around it; an
-    entity's candidates, in order of preference, are folded to those whose two
-    ends are both free.
+    Gap by gap, the actions that are still free on both sides and so far apart are
+    candidates; an entity's candidates of one gap, in order of preference, are
+    folded to those whose two ends are free. Of what was taken, only the last
+    few can meet a candidate, so the time is linear in an entity's evaluations. What each gap took is written.
     """
     rows = acted.withColumn("i", F.row_number().over(W.partitionBy(ENTITY).orderBy(TIME)) - 1)
     exact = rows.filter("exact != 'none'").select(ENTITY, F.col("exact").alias("action"), F.col("i").alias("exact_at"))
     approx = rows.filter("approx != 'none'").select(ENTITY, F.col("approx").alias("action"), F.col("i").alias("approx_at"))
-    near = exact.withColumn("approx_at", F.explode(F.sequence(F.col("exact_at") - window, F.col("exact_at") + window))).join(approx, [ENTITY, "action", "approx_at"])
-    asked = near.groupBy(ENTITY).agg(F.array_sort(F.collect_list(F.struct(F.abs(F.col("exact_at") - F.col("approx_at")).alias("gap"), "approx_at", "exact_at", "action"))).alias("asked"))
-    pairs = F.array().cast("array<struct<action:string,exact_at:int,approx_at:int>>")
-    one = lambda x: F.struct(x["action"].alias("action"), x["exact_at"].alias("exact_at"), x["approx_at"].alias("approx_at"))
-    free = lambda got, x: ~F.exists(got, lambda g: (g["exact_at"] == x["exact_at"]) | (g["approx_at"] == x["approx_at"]))
-    chosen = asked.select(ENTITY, F.explode(F.aggregate("asked", pairs, lambda got, x: F.when(free(got, x), F.concat(got, F.array(one(x)))).otherwise(got))).alias("x")).select(ENTITY, "x.*")
+    pair, chosen = [ENTITY, "action", "exact_at", "approx_at"], None
+
+    def step(state: Column, row: Column) -> tuple[dict[str, Column], Column]:
+        took = (row["approx_at"] != state["approx"]) & ~F.array_contains(state["recent"], row["exact_at"])
+        recent = F.slice(F.concat(F.array(row["exact_at"]), state["recent"]), 1, 2 * window + 2)
+        return {"approx": F.when(took, row["approx_at"]).otherwise(state["approx"]), "recent": F.when(took, recent).otherwise(state["recent"])}, took
+
+    for gap in range(window + 1):
+        e = exact if chosen is None else exact.join(chosen, [ENTITY, "exact_at"], "left_anti")
+        q = approx if chosen is None else approx.join(chosen, [ENTITY, "approx_at"], "left_anti")
+        at = F.array_distinct(F.array(F.col("exact_at") - gap, F.col("exact_at") + gap))
+        near = e.withColumn("approx_at", F.explode(at)).join(q, [ENTITY, "action", "approx_at"])
+        order = F.col("approx_at").cast("long") * (2 * window + 1) + F.col("exact_at") - F.col("approx_at") + window
+        took = carried(near.select(*pair, order.alias(TIME)), "took", {"approx": F.lit(-1), "recent": F.array().cast("array<int>")}, step).filter("took").select(*pair)
+        took = save(took, "matched")
+        chosen = took if chosen is None else chosen.union(took)
     only_exact = exact.join(chosen, [ENTITY, "exact_at"], "left_anti").select(ENTITY, "action", "exact_at", F.lit(None).cast("int").alias("approx_at"))
     only_approx = approx.join(chosen, [ENTITY, "approx_at"], "left_anti").select(ENTITY, "action", F.lit(None).cast("int").alias("exact_at"), "approx_at")
     return chosen.union(only_exact).union(only_approx)
 
 
-def rollouts(df: DataFrame, failed: str, checks: int, rollback: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """(entity, rollout, decision, at): each ``checks`` evaluations are one rollout; it is rolled back at the first
-    evaluation where ``rollback`` holds of (failures so far, failures in a row, passes so far), else promoted at the last."""
-    w = W.partitionBy(ENTITY).orderBy(TIME)
-    r = df.withColumn("i", F.row_number().over(w) - 1).withColumn("rollout", F.floor(F.col("i") / checks))
-    part = W.partitionBy(ENTITY, "rollout").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    f = F.col(failed).cast("int")
-    r = r.withColumn("fails", F.sum(f).over(part)).withColumn("passes", F.sum(1 - f).over(part)).withColumn("last_pass", F.max(F.when(f == 0, F.col("i"))).over(part))
-    row = F.col("i") - F.coalesce("last_pass", F.col("rollout") * checks - 1)
-    at = F.min(F.when(rollback(F.col("fails"), row, F.col("passes")), F.col("i")))
-    full = r.groupBy(ENTITY, "rollout").agg(at.alias("hit"), F.max("i").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == checks)
-    return full.select(ENTITY, "rollout", F.when(F.col("hit").isNull(), "promote").otherwise("rollback").alias("decision"), F.coalesce("hit", "last").alias("at"))
-
-
 # -- error intervals -----------------------------------------------------------------------------------------------
 
 

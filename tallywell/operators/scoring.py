@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..model import Unsupported
+from ..storage import bounded, save
 from .exact import at_ranks
 
+#: Answers that are held against every value of a table.
+MOST_ANSWERS = 10_000
 PREFIXES = (1, 10, 100, 1000)
 
 
@@ -64,11 +68,14 @@ def top_sets(exact: DataFrame, answer: DataFrame, key: str) -> DataFrame:
 def rank_errors(values: DataFrame, value: str, answers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """answers(by, q, value) with rank_error: 0 if q n is among the ranks of equal values, else the distance in shares of n.
 
-    The answers are few and broadcast; the values are read once, as counts by value. Null values have no rank.
+    The values are read once, as counts by value. Without groups at most MOST_ANSWERS answers are broadcast; more are refused. By
+    group they are broadcast if they are few in all, and else joined. Null values have no rank.
     """
     counts = values.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    asked = answers.withColumnRenamed("value", "x")
-    pairs = counts.join(F.broadcast(asked), list(by)) if by else counts.crossJoin(F.broadcast(asked))
+    asked = save(answers.withColumnRenamed("value", "x"), "asked")
+    if not by and (many := asked.count()) > MOST_ANSWERS:
+        raise Unsupported(f"rank errors of {many} answers over one table", f"at most {MOST_ANSWERS}: each is held against every value")
+    pairs = counts.join(bounded(asked), list(by)) if by else counts.crossJoin(F.broadcast(asked))
     r = pairs.groupBy(*by, "q", "x").agg(F.sum(F.when(F.col("v") < F.col("x"), F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("x"), F.col("n")).otherwise(0)).alias("upto"), F.sum("n").alias("n"))
     at = F.col("q") * F.col("n")
     gap = F.when(at < F.col("below"), F.col("below") - at).when(at > F.col("upto"), at - F.col("upto")).otherwise(0.0)

@@ -160,10 +160,10 @@ def constrained_fit(points: DataFrame, setting: str, terms: Sequence[str], y: st
     if not 0 < len(terms) <= 8:
         raise Unsupported(f"{len(terms)} terms", "between 1 and 8")
     p = len(terms)
-    fine = points.filter(F.col(y) != 0).dropna(subset=terms)
-    t = [F.col(c) / F.col(y) for c in terms]
+    fine = points.filter(F.col(y) != 0).dropna(subset=terms).select(F.col(setting).alias("setting"), *[(F.col(c) / F.col(y)).alias(f"t{i}") for i, c in enumerate(terms)])
+    t = [F.col(f"t{i}") for i in range(p)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = fine.groupBy(F.col(setting).alias("left_out")).agg(F.array(*[F.sum(t[i] * t[j]) for i, j in pairs]).alias("gram"), F.array(*[F.sum(x) for x in t]).alias("right"), F.count(F.lit(1)).alias("n"))
+    sums = fine.groupBy(F.col("setting").alias("left_out")).agg(F.array(*[F.sum(t[i] * t[j]) for i, j in pairs]).alias("gram"), F.array(*[F.sum(x) for x in t]).alias("right"), F.count(F.lit(1)).alias("n"))
     added = lambda c, size: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(size)])
     total = sums.agg(added("gram", len(pairs)).alias("all_gram"), added("right", p).alias("all_right"), F.sum("n").alias("all_n"))
     less = lambda a, b: F.zip_with(a, b, lambda x, z: x - z)
@@ -183,7 +183,7 @@ def constrained_fit(points: DataFrame, setting: str, terms: Sequence[str], y: st
     kind = points.schema[setting].dataType.simpleString()
     fits = without.unionByName(every).mapInPandas(solve, f"left_out {kind}, one boolean, coefficients array<double>, n long")
     said = sum((F.get("coefficients", F.lit(i)) * t[i] for i in range(p)), F.lit(0.0))
-    own = fine.join(fits.filter("one"), F.col(setting).eqNullSafe(F.col("left_out")))
+    own = fine.join(fits.filter("one"), F.col("setting").eqNullSafe(F.col("left_out")))
     whole = fine.crossJoin(F.broadcast(fits.filter("NOT one")))  # one row
     cols = ["left_out", "coefficients", F.col("n").alias("points"), F.abs(said - 1).alias("off")]
     both = own.select(*cols).union(whole.select(*cols))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import compactors as K
 from ..operators import exact as X
 from ..operators import scoring as C
+from ..operators import stream_sketches as T
 from . import query, scores, table
+from .sketches import _GRID, COLS, LABELS, _by_labels, _gridded
 
 
 def _truth(spark, sf):
@@ -22,6 +26,15 @@ def _holds(pairs, holds):
 _HOLDS = "SELECT true AS answered, true AS within"
 
 
+def _counted(pairs, holds):
+    """One row: how many answers there are, and of how many it holds."""
+    return pairs.agg(F.count(F.lit(1)).alias("probes"), F.count_if(holds).alias("within"))
+
+
+def _counted_sql(n: str, source: str) -> str:
+    return f"SELECT ({n})::BIGINT AS probes, ({n})::BIGINT AS within FROM {source}"
+
+
 @query("SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99])::DOUBLE AS q, true AS within")
 def bound_kll_quantile(spark, sf):
     """k = 200: ranks are off by 3 % at most, more than twice what is published for 99 % of sketches."""
@@ -35,10 +48,10 @@ def bound_kll_cdf(spark, sf):
     return truth.join(scores.kll_cdf(spark, sf).withColumn("x", F.col("x").cast("double")), "x").select("x", (F.abs(F.col("share") - F.col("truth")) <= 0.02).alias("within"))
 
 
-@query(_HOLDS)
+@query("SELECT count(DISTINCT o_custkey) AS distinct_values, true AS within FROM orders")
 def bound_theta_distinct(spark, sf):
     both = scores.theta_distinct(spark, sf).crossJoin(X.cardinality(table(spark, sf, "orders"), "o_custkey"))  # one row each
-    return _holds(both, F.abs(F.col("estimate") / F.col("distinct_values") - 1) <= 0.06)
+    return both.select("distinct_values", (F.abs(F.col("estimate") / F.col("distinct_values") - 1) <= 0.06).alias("within"))
 
 
 @query("SELECT DISTINCT o_orderstatus, true AS within FROM orders")
@@ -48,17 +61,51 @@ def bound_builtin_hll(spark, sf):
     return truth.join(scores.builtin_hll(spark, sf), "o_orderstatus").select("o_orderstatus", (F.abs(F.col("estimate") / F.col("truth") - 1) <= 0.08).alias("within"))
 
 
-@query(_HOLDS)
+@query(_counted_sql("least(256, count(DISTINCT l_suppkey))", "lineitem"))
 def bound_space_saving(spark, sf):
     """No count is below the truth, and none is above it by more than it says."""
     both = scores.space_saving(spark, sf).withColumnRenamed("key", "k").join(_truth(spark, sf), "k", "left")
-    return _holds(both, (F.col("n") >= F.coalesce("truth", F.lit(0))) & (F.col("n") - F.col("over") <= F.coalesce("truth", F.lit(0))))
+    return _counted(both, (F.col("n") >= F.coalesce("truth", F.lit(0))) & (F.col("n") - F.col("over") <= F.coalesce("truth", F.lit(0))))
 
 
-@query(_HOLDS)
+@query(_counted_sql("least(32, count(DISTINCT l_suppkey))", "lineitem"))
 def bound_space_saving_cms(spark, sf):
     both = scores.space_saving_cms(spark, sf).withColumnRenamed("l_suppkey", "k").join(_truth(spark, sf), "k")
-    return _holds(both, F.col("estimate") >= F.col("truth"))
+    return _counted(both, F.col("estimate") >= F.col("truth"))
+
+
+@query(_counted_sql("least(32, count(DISTINCT l_suppkey))", "lineitem"))
+def bound_space_saving_cs(spark, sf):
+    """Count Sketch's median of three rows: off by four norms over the root of the columns at most."""
+    norm = _truth(spark, sf).agg(F.sqrt(F.sum(F.col("truth").cast("double") * F.col("truth"))).alias("l2"))
+    both = scores.space_saving_cs(spark, sf).withColumnRenamed("l_suppkey", "k").join(_truth(spark, sf), "k").crossJoin(F.broadcast(norm))  # one row
+    return _counted(both, F.abs(F.col("estimate") - F.col("truth")) <= 4 * F.col("l2") / math.sqrt(COLS))
+
+
+_CELLS = f"WITH {_GRID} SELECT count(*) AS probes, count(*) AS within FROM (SELECT DISTINCT gr, gc FROM gridded)"
+
+
+def _cells_of(spark, sf):
+    """Rows in the grid cells of their label subsets."""
+    return _gridded(_by_labels(spark, sf)).select("gr", "gc", F.col("w").cast("double").alias("w"))
+
+
+@query(_CELLS)
+def bound_hydra_kll(spark, sf):
+    """k = 200: the median of each grid cell, among all rows that fall in it, is off by twice the published rank error at most."""
+    states = T.kll(_by_labels(spark, sf).withColumn("w", F.col("w").cast("double")), "w", 200, LABELS)
+    read = T.kll_quantiles(T.kll_merge(_gridded(states), ["gr", "gc"]), [0.5], ["gr", "gc"])
+    return _counted(C.rank_errors(_cells_of(spark, sf), "w", read, ["gr", "gc"]), F.col("rank_error") <= 0.027)
+
+
+@query(_CELLS.replace("count(*)", "3 * count(*)"))
+def bound_hydra_kll_cdf(spark, sf):
+    """Shares at three quantities of each grid cell."""
+    at, by = [10, 25, 40], ["gr", "gc"]
+    states = T.kll(_by_labels(spark, sf).withColumn("w", F.col("w").cast("double")), "w", 200, LABELS)
+    read = T.kll_ranks(T.kll_merge(_gridded(states), by), at, by)
+    both = X.group_cdf(_cells_of(spark, sf), by, "w", at).withColumnRenamed("share", "truth").join(read.withColumn("x", F.col("x").cast("double")), [*by, "x"])
+    return _counted(both, F.abs(F.col("share") - F.col("truth")) <= 0.027)
 
 
 @query(_HOLDS)
@@ -81,11 +128,11 @@ def bound_approx_topk(spark, sf):
     return _holds(both, F.abs(F.col("count") - F.col("truth")) <= F.col("most"))
 
 
-@query(_HOLDS)
+@query("SELECT count(DISTINCT l_partkey) AS distinct_values, true AS within FROM lineitem")
 def bound_univmon_q_cardinality(spark, sf):
     """64 keys a layer: off by half at most, four standard errors of a sample of that size."""
     both = scores.univmon_q_cardinality(spark, sf).crossJoin(X.cardinality(table(spark, sf, "lineitem"), "l_partkey"))  # one row each
-    return _holds(both, F.abs(F.col("estimate") / F.col("distinct_values") - 1) <= 0.5)
+    return both.select("distinct_values", (F.abs(F.col("estimate") / F.col("distinct_values") - 1) <= 0.5).alias("within"))
 
 
 @query("SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS q, true AS within")

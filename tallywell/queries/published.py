@@ -32,7 +32,7 @@ def _latch(name: str, of: str, hit: str, n: int, held: bool = False) -> str:
 
 
 _NUMBERED = "o AS (SELECT *, v / 100 AS x, row_number() OVER (PARTITION BY entity ORDER BY t) AS i FROM r)"
-_FLOOD = dict(entropy=9.5, distinct=17, distinct_short=16, history=24, sigmas=2, factor=1.2, training=50, slack=0.5, alarm=5, packets=1200, ban=12, flows=13, consecutive=3)
+_FLOOD = dict(entropy=9.5, distinct=17, distinct_short=16, history=24, sigmas=2, factor=1.2, training=50, slack=0.5, alarm=5, packets_per_s=240, ban_s=60, flows_per_s=13 / 60, for_s=10, step_s=5)
 
 
 @query(f"""{_RECURSIVE}, {_NUMBERED}, {_band('b', 'o', 'd', 24)},

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import P
+from ..operators import published as U
 from ..operators import rules as R
 from ..operators import stream_sketches as T
 from ..operators import windows as V
@@ -161,17 +162,17 @@ _ROLL = _BASE + """, f AS (SELECT entity, t, v > 900 AS f, row_number() OVER (PA
 
 
 def _rollout(spark, sf, hit):
-    return R.rollouts(_evaluations(spark, sf).withColumn("failed", R.above("v", 900)), "failed", 10, hit)
+    return U.decided(_evaluations(spark, sf).withColumn("failed", R.above("v", 900)), "failed", 10, hit)
 
 
 @query(_ROLL.format(hit="streak >= 3"))
 def rollout_streak(spark, sf):
-    return _rollout(spark, sf, lambda fails, row, passes: row >= 3)
+    return _rollout(spark, sf, lambda fails, row, passes, recent: row >= 3)
 
 
 @query(_ROLL.format(hit="fails > 3"))
 def rollout_failure_limit(spark, sf):
-    return _rollout(spark, sf, lambda fails, row, passes: fails > 3)
+    return _rollout(spark, sf, lambda fails, row, passes, recent: fails > 3)
 
 
 @query(f"{_BASE} SELECT entity, t, CASE WHEN v * 0.95::DOUBLE > 900 THEN true WHEN v * 1.05::DOUBLE <= 900 THEN false END AS check_, coalesce(CASE WHEN v * 0.95::DOUBLE > 900 THEN true WHEN v * 1.05::DOUBLE <= 900 THEN false END, false) AS bound FROM a")

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..operators.windows import Grid
+from ..plans import panes as P
 from ..plans import views as U
+from ..sources import chunks as K
+from ..sources import records as R
 from ..storage import fresh_path
 from ..streaming import stateful as T
 from . import query, table
+from .rules import _BASE, _evaluations
 from .windows import _RATE, _S, DAY, HOUR, SERIES, _with, grid, samples
 
 RANGE = 2 * DAY
@@ -118,3 +123,46 @@ def _folder(spark, sf) -> str:
     path = fresh_path(spark, "events")
     table(spark, sf, "events").write.parquet(path)
     return path
+
+
+def _sample_schema():
+    return StructType([StructField("event_type", StringType()), StructField("user_id", LongType()), StructField("ts_ms", LongType()), StructField("value", DoubleType())])
+
+
+@query(f"WITH {_S}, p AS (SELECT ((ts_ms - 1) // {DAY} + 1) * {DAY} AS window_end, event_type, value FROM s) SELECT window_end, event_type, count(*) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS largest, 0::BIGINT AS malformed FROM p GROUP BY ALL")
+def chunked_panes(spark, sf):
+    """Events as JSON lines, cut by days and replayed in two goes, the first of which stops after five chunks; panes of all chunks."""
+    path, schema, g = fresh_path(spark, "chunks"), _sample_schema(), grid(spark, sf, DAY)
+    K.write_lines(samples(spark, sf), f"{path}/lines")
+    s = K.read_lines(spark, f"{path}/lines", schema)
+    ends = list(range(g.first, g.last + 1, g.step))
+    K.cut(s, ends, f"{path}/cut")
+
+    def refresh(part, i, end):
+        P.build(part, DAY, ("event_type",)).write.mode("overwrite").parquet(f"{path}/panes/chunk={i}")
+
+    K.replay(spark, f"{path}/cut", schema, ends[:5], f"{path}/done", refresh)
+    K.replay(spark, f"{path}/cut", schema, ends, f"{path}/done", refresh)
+    bad = K.malformed(spark, f"{path}/lines", schema).agg(F.count(F.lit(1)).alias("malformed"))
+    panes = spark.read.parquet(f"{path}/panes").select("window_end", "event_type", "n", F.round("total", 6).alias("total"), "least", "largest")
+    return panes.crossJoin(F.broadcast(bad))  # one row
+
+
+_ALERTS = f"""{_BASE}, x AS (SELECT t, entity, 'exact' AS arm, v FROM r UNION ALL SELECT t, entity, 'approx', v FROM a)
+    SELECT 'app_state' AS kind, t AS time, entity, arm, 'state' AS metric, NULL::DOUBLE AS value_num, CASE WHEN v > 900 THEN 'active' ELSE 'idle' END AS value_str FROM x UNION ALL
+    SELECT 'fidelity_summary', max(t), NULL, NULL, 'active', count(*) FILTER (v > 900), NULL FROM x"""
+
+
+@query(_ALERTS)
+def run_records(spark, sf):
+    """A rule's states of both arms as records of one run, which was written wrongly before and is written again; with its agreement as a summary."""
+    root, rows = fresh_path(spark, "records"), None
+    for arm, drawn in (("exact", False), ("approx", True)):
+        state = _evaluations(spark, sf, drawn).select("entity", "t", F.when(F.col("v") > 900, "active").otherwise("idle").alias("state"))
+        one = state.select(*R.record(F.col("t"), "app_state", "run-1", {"entity": F.col("entity"), "arm": F.lit(arm)}, "state", F.col("state"), "state", text=True))
+        rows = one if rows is None else rows.union(one)
+    R.write_run(rows.limit(3), root, "run-1", "alerts")
+    n = rows.groupBy().agg(F.max("time").alias("time"), F.count_if(F.col("value_str") == "active").alias("n"))
+    R.write_run(rows.union(n.select(*R.record(F.col("time"), "fidelity_summary", "run-1", {}, "active", F.col("n"), "evaluations"))), root, "run-1", "alerts")
+    read = R.read_runs(spark, root, ["run-1"])
+    return read.select("kind", "time", F.col("labels")["entity"].alias("entity"), F.col("labels")["arm"].alias("arm"), "metric", "value_num", "value_str")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,12 +72,20 @@ def explode_targets(df: DataFrame) -> DataFrame:
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """One Arrow IPC file of start, freq, target: a single series, so the driver may read it."""
-    import pyarrow as pa
-
-    with pa.OSFile(path) as f:
-        t = pa.ipc.open_file(f).read_all()
-    return explode_targets(spark.createDataFrame(t.select(["start", "freq", "target"])))
+    """Arrow IPC files of start, freq, target, at a path that Spark reads; each is one row or few, and is read by a task, not the driver."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column("content"):
+                t = pa.ipc.open_file(pa.BufferReader(content.as_buffer())).read_all().select(["start", "freq", "target"])
+                target = t.column("target").combine_chunks()
+                nested = pa.types.is_list(target.type.value_type) or pa.types.is_large_list(target.type.value_type)
+                rows = [x if nested else [x] for x in target.to_pylist()]  # one series is one variate
+                start = pa.array([str(x) for x in t.column("start").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([start, t.column("freq").combine_chunks().cast(pa.string()), pa.array(rows, pa.list_(pa.list_(pa.float64())))], ["start", "freq", "target"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return explode_targets(files.mapInArrow(tables, "start string, freq string, target array<array<double>>"))
 
 
 def within(df: DataFrame, start_ns: int, end_ns: int, min_records: int = 1) -> DataFrame:
