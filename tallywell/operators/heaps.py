@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import cw, sign
+from ..functions.hashing import cw, level, sign
 from ..model import Unsupported
 from ..storage import save
+from . import sketches as S
 
 #: Cells of an array that a task fills; larger matrices are made by an aggregation (sketches.matrix).
 MOST_CELLS = 1 << 22
@@ -128,3 +129,53 @@ def greatest(estimates: DataFrame, name: str, k: int) -> DataFrame:
 
     few = estimates.select(name, "estimate").mapInArrow(run, kinds)
     return few.distinct().orderBy(F.desc("estimate"), F.asc(name)).limit(k)
+
+
+def univmon_pass(df: DataFrame, name: str, weight: Column, layers: int, rows: int, cols: int, heap: int) -> tuple[DataFrame, DataFrame]:
+    """(cells, held) of UnivMon in one pass over a stream of non-negative integer keys with weights.
+
+    A task holds a Count Sketch for each layer and, for each, ``heap`` keys of the
+    greatest estimates of its own cells so far; layer j takes the keys that are
+    sampled j times over. What moves is tasks x layers x (cells + heap) rows. cells:
+    (layer, r, c, n) of all tasks together; held: (layer, k, deep, estimate), the ``heap`` greatest estimates, from the merged
+    cells, of each layer's keys that some task held. Null keys are not counted; a null weight adds nothing.
+    """
+    if layers * rows * cols > MOST_CELLS:
+        raise Unsupported(f"{layers} x {rows} x {cols} cells in a task", f"at most {MOST_CELLS}")
+    wide = df.select(F.col(name).cast("long").alias("_key"), F.coalesce(weight.cast("long"), F.lit(0)).alias("_w")).filter("_key IS NOT NULL")
+    wide = wide.select("_key", "_w", level(F.col("_key"), layers).cast("int").alias("_deep"), *_cells(F.col("_key"), rows, cols, True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros((layers, rows * cols), np.int64)
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((rows, 0), np.int64)) for _ in range(layers)]
+        for b in batches:
+            x, deep = _columns(b, rows), b.column("_deep").to_numpy(zero_copy_only=False)
+            keys, first, codes = np.unique(b.column("_key").to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+            w = np.zeros(len(keys), np.int64)
+            np.add.at(w, codes, b.column("_w").to_numpy(zero_copy_only=False))
+            x, deep = x[:, first], deep[first]
+            for j in range(layers):
+                here = deep >= j
+                if not here.any():
+                    break
+                at = x[:, here]
+                np.add.at(cells[j], (at >> 1).ravel(), (_signs(at) * w[here]).ravel())
+                k, d, places = held[j]
+                new = here & ~np.isin(keys, k)
+                k, d, places = np.r_[k, keys[new]], np.r_[d, deep[new]], np.concatenate([places, x[:, new]], axis=1)
+                if len(k) > heap:
+                    e = np.sort(cells[j][places >> 1] * _signs(places), axis=0)[rows // 2]
+                    best = np.argpartition(-e, heap - 1)[:heap]
+                    k, d, places = k[best], d[best], places[:, best]
+                held[j] = k, d, places
+        names = ["layer", "r", "c", "n", "k", "deep"]
+        for j in range(layers):
+            at, (k, d, _) = np.flatnonzero(cells[j]), held[j]
+            none = lambda n, t: pa.nulls(n, t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), j), pa.int32()), pa.array(at // cols, pa.int32()), pa.array(at % cols, pa.int32()), pa.array(cells[j][at]), none(len(at), pa.int64()), none(len(at), pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), j), pa.int32()), *[none(len(k), t) for t in (pa.int32(), pa.int32(), pa.int64())], pa.array(k, pa.int64()), pa.array(d, pa.int32())], names)
+
+    both = save(wide.mapInArrow(run, "layer int, r int, c int, n long, k long, deep int"), "univmon")
+    cells = both.filter("k IS NULL").groupBy("layer", "r", "c").agg(F.sum("n").alias("n"))
+    keys = both.filter("k IS NOT NULL").select("layer", "k", "deep").distinct()
+    return cells, S.heaviest(S.estimate(cells, keys, F.col("k"), rows, cols, True, by=["layer"]), heap)

@@ -192,7 +192,11 @@ def univmon(df: DataFrame, key: str, weight: str, layers: int, rows: int, cols:
     """
     df = df.filter(F.col(key).isNotNull())
     sums = df.groupBy(*by, F.col(key).alias("k")).agg(F.sum(weight).alias("w"))
-    got = heaviest(layered(sums, layers, rows, cols, "w", by)[1], heap, by)
+    return univmon_statistics(heaviest(layered(sums, layers, rows, cols, "w", by)[1], heap, by), layers, by)
+
+
+def univmon_statistics(got: DataFrame, layers: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, cardinality, l1, l2, entropy) from what the layers' heaps hold: (by, layer, k, deep, estimate)."""
     e, factor = F.col("estimate").cast("double"), _share(layers)
     total = lambda g: F.greatest(F.sum(factor * g), F.lit(0.0))
     y = got.groupBy(*by).agg(total(F.lit(1.0)).alias("cardinality"), total(e).alias("l1"), total(e * e).alias("s2"), total(e * F.log2(e)).alias("slog"))

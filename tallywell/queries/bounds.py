@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import compactors as K
 from ..operators import exact as X
+from ..operators import heaps as H
 from ..operators import scoring as C
+from ..operators import sketches as S
 from ..operators import stream_sketches as T
 from . import query, scores, table
 from .sketches import _GRID, COLS, LABELS, _by_labels, _gridded
@@ -166,3 +168,14 @@ def bound_kll_dynamic_groups(spark, sf):
     off = X.group_cdf(df, by, "l_quantity", at).withColumnRenamed("share", "truth").join(K.ranks(state, at, by), [*by, "x"])
     within = off.groupBy(*by).agg(F.count_if(F.abs(F.col("share") - F.col("truth")) <= K.rank_error(400)).alias("within"))
     return K.kept(state, by).select(*by, "n", "least", "largest").join(within, by)
+
+
+@query("WITH f AS (SELECT l_suppkey, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY 1) SELECT count(*) AS cardinality, sum(w) AS l1, true AS cardinality_within, true AS l1_within, true AS l2_within, true AS entropy_within FROM f")
+def bound_univmon_stream(spark, sf):
+    """UnivMon in one pass, 256 keys a layer: cardinality and l1 off by a quarter at most, l2 by a tenth, entropy by a tenth."""
+    df = table(spark, sf, "lineitem")
+    got = S.univmon_statistics(H.univmon_pass(df, "l_suppkey", F.col("l_quantity"), 10, 5, 1024, 256)[1], 10)
+    exact = X.keyed(df, "l_suppkey", "l_quantity").toDF("cardinality", "l1", "l2", "entropy")
+    near = lambda c, e: (F.abs(F.col(f"e.{c}") / F.col(f"x.{c}") - 1) <= e).alias(f"{c}_within")
+    both = exact.alias("x").crossJoin(got.alias("e"))  # one row each
+    return both.select("x.cardinality", "x.l1", near("cardinality", 0.25), near("l1", 0.25), near("l2", 0.1), near("entropy", 0.1))

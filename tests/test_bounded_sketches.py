@@ -80,6 +80,24 @@ def test_second_pass_misses_none(stream):
         H.filled(stream, key, 1 << 11, 1 << 12)
 
 
+def test_univmon_in_one_pass(spark, stream):
+    """Its cells are those of all rows in every layer, and with room for all keys it is what the relational one is."""
+    df = stream.withColumn("w", F.when(F.col("shard") == 3, None).otherwise(F.col("shard")).cast("long"))
+    of = dict(layers=6, rows=3, cols=256)
+    cells, held = H.univmon_pass(df, "k", F.col("w"), heap=10_000, **of)
+    sums = df.filter("k IS NOT NULL").groupBy("k").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"))
+    state, estimates = S.layered(sums, weight="w", **of)
+    nonzero = lambda m: {(r.layer, r.r, r.c): r.n for r in m.collect() if r.n}
+    assert nonzero(cells) == nonzero(state)
+    want = S.heaviest(estimates, 10_000)
+    key = lambda d: {(r.layer, r.k, r.deep): r.estimate for r in d.collect()}
+    assert key(held) == key(want)
+    few = S.univmon_statistics(H.univmon_pass(df, "k", F.col("w"), heap=64, **of)[1], 6).first()
+    whole = S.univmon_statistics(want, 6).first()
+    assert abs(few.l2 / whole.l2 - 1) < 0.1 and abs(few.entropy / whole.entropy - 1) < 0.3
+    assert H.univmon_pass(df.filter("false"), "k", F.col("w"), heap=4, **of)[1].count() == 0
+
+
 def test_string_keys_in_heaps(spark):
     df = spark.createDataFrame([(w,) for w in ["a"] * 50 + ["b"] * 30 + [None] * 40 + [f"w{i}" for i in range(100)]], "w string").repartition(3)
     key = integer_key(F.col("w"), text=True)
