@@ -55,13 +55,15 @@ def stream_stats(counts: DataFrame) -> DataFrame:
 
 #: Equal slices of the bucket that holds a rank.
 _SLICES = 4096
+#: Different values from which on a group is not sorted in one task.
+HOT_VALUES = 5_000_000
 
 
-def at_ranks(counts: DataFrame, asked: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """counts(v, n) -> (name, v): the value at each asked rank, which is a function of the number of all rows, counted from 0.
+def at_ranks(counts: DataFrame, asked: dict[str, Callable[[Column], Column]], by: Sequence[str] = ()) -> DataFrame:
+    """counts(by, v, n) -> (by, name, v, all): the value at each asked rank of a group, which is a function of the number of all its rows, counted from 0.
 
     Values are put into buckets of a thousandth of their size, which keep their
-    order. The running count is over buckets, whose number is bounded. The
+    order. The running count is over a group's buckets, whose number is bounded. The
     bucket that holds a rank is cut into equal slices between its least and
     largest value, so that values of a narrow range don't stay together, and only the slice that holds the rank is sorted.
     """
@@ -69,40 +71,53 @@ def at_ranks(counts: DataFrame, asked: dict[str, Callable[[Column], Column]]) ->
     size = (F.floor(F.log(F.abs(v)) / math.log(1.001)) + 1_000_000).cast("long")
     infinite = F.abs(v) == float("inf")
     bucket = F.when(v.isNull(), -(10**9)).when(F.isnan(v), 10**9).when(infinite, F.signum(v).cast("long") * 10**8).when(v == 0, 0).otherwise(F.signum(v).cast("long") * size)
-    rows = counts.withColumn("bucket", bucket)
-    sums = rows.groupBy("bucket").agg(F.sum("n").alias("here"), F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
-    sums = sums.withColumn("upto", F.sum("here").over(W.partitionBy(F.lit(0)).orderBy("bucket"))).withColumn("all", F.sum("here").over(W.partitionBy(F.lit(0))))
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("one"))  # structs of nulls are equal
+    rows = counts.select(group.alias("g"), "v", "n", bucket.alias("bucket"))
+    few = (lambda df: df) if by else F.broadcast  # without groups a row for each asked rank
+    sums = rows.groupBy("g", "bucket").agg(F.sum("n").alias("here"), F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
+    sums = sums.withColumn("upto", F.sum("here").over(W.partitionBy("g").orderBy("bucket"))).withColumn("all", F.sum("here").over(W.partitionBy("g")))
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("all")).cast("long").alias("at")) for name, at in asked.items()])).alias("x")
-    wanted = sums.select("bucket", "low", "high", (F.col("upto") - F.col("here")).alias("before"), "upto", ranks).filter("x.at >= before AND x.at < upto").select("bucket", "low", "high", "x.name", (F.col("x.at") - F.col("before")).alias("at"))
-    near = rows.join(F.broadcast(wanted), "bucket")  # a row for each asked rank
+    wanted = sums.select("g", "bucket", "low", "high", "all", (F.col("upto") - F.col("here")).alias("before"), "upto", ranks).filter("x.at >= before AND x.at < upto")
+    wanted = wanted.select("g", "bucket", "low", "high", "all", "x.name", (F.col("x.at") - F.col("before")).alias("at"))
+    near = rows.join(few(wanted), ["g", "bucket"])
     # infinities and NaN are alone in their buckets; a wide one's range may not be finite
     part = F.floor(F.try_divide(v - F.col("low"), F.col("high") - F.col("low")) * _SLICES)
     near = near.withColumn("slice", F.when(part.isNull() | F.isnan(part.cast("double")), 0).otherwise(F.least(part, F.lit(_SLICES - 1))).cast("long"))
-    cuts = near.groupBy("name", "at", "slice").agg(F.sum("n").alias("here"))
-    cuts = cuts.withColumn("upto", F.sum("here").over(W.partitionBy("name").orderBy("slice"))).filter("at >= upto - here AND at < upto").select("name", "slice", (F.col("upto") - F.col("here")).alias("below"))
-    near = near.join(F.broadcast(cuts), ["name", "slice"])  # one slice for each asked rank
-    near = near.withColumn("upto", F.sum("n").over(W.partitionBy("name").orderBy("v")) + F.col("below"))
-    return near.filter("at >= upto - n AND at < upto").select("name", "v")
+    cuts = near.groupBy("g", "name", "at", "slice").agg(F.sum("n").alias("here"))
+    cuts = cuts.withColumn("upto", F.sum("here").over(W.partitionBy("g", "name").orderBy("slice"))).filter("at >= upto - here AND at < upto").select("g", "name", "slice", (F.col("upto") - F.col("here")).alias("below"))
+    near = near.join(few(cuts), ["g", "name", "slice"])
+    near = near.withColumn("upto", F.sum("n").over(W.partitionBy("g", "name").orderBy("v")) + F.col("below"))
+    return near.filter("at >= upto - n AND at < upto").select(*[F.col(f"g.{c}").alias(c) for c in by], "name", "v", "all")
 
 
 def quantiles(df: DataFrame, value: str, qs: Sequence[float], rule: str = "linear", by: Sequence[str] = ()) -> DataFrame:
     """(by, q, value). Rules: linear (between neighbours at q(n-1)), order (the ceil(qn)-th), floor (index floor(qn), the last at most).
 
-    All three run over (value, count) and its running counts, so that memory
-    follows distinct values of a group in a sort that spills, and not an
-    in-memory buffer of the group's rows. Nulls are no values: a group of nulls
+    All three run over (value, count) and its running counts. A group is sorted
+    in one task, in a sort that spills, while it has at most HOT_VALUES different
+    values; larger groups, and whole columns, are cut to buckets, of which only parts are
+    sorted. Nulls are no values: a group of nulls
     alone, and an empty table, have no row. NaN is above every number.
     """
     df = df.filter(F.col(value).isNotNull())
     if rule not in ("linear", "order", "floor"):
         raise Unsupported(f"quantile rule {rule}", "not one of linear, order, floor")
-    if not by and isinstance(df.schema[value].dataType, T.NumericType):
-        return _whole_quantiles(df, value, qs, rule)
+    counts = df.groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    if not isinstance(df.schema[value].dataType, T.NumericType):
+        return _sorted_quantiles(counts, qs, rule, by)
+    if not by:
+        return _cut_quantiles(counts, qs, rule)
+    group = F.struct(*[F.col(c) for c in by])
+    hot = F.broadcast(counts.groupBy(group.alias("_hot")).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > HOT_VALUES).select("_hot"))  # a row for each HOT_VALUES of counts at most
+    cold = counts.join(hot, group == F.col("_hot"), "left_anti")
+    return _sorted_quantiles(cold, qs, rule, by).unionByName(_cut_quantiles(counts.join(hot, group == F.col("_hot"), "left_semi"), qs, rule, by))
+
+
+def _sorted_quantiles(counts: DataFrame, qs: Sequence[float], rule: str, by: Sequence[str]) -> DataFrame:
+    """quantiles() from counts(by, v, n), each group in one task."""
     keys = list(by)
-    counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("v")
-    run = counts.withColumn("upto", F.sum("n").over(w)).withColumn("more", F.lead("v").over(w))
-    run = run.withColumn("all", F.sum("n").over(W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])))
+    w = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
+    run = counts.withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("more", F.lead("v").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
     asked = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
     run = run.select(*keys, "v", "n", "upto", "more", "all", asked)
     if rule == "linear":
@@ -118,23 +133,21 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], rule: str = "linea
     return run.filter(mine).select(*keys, "q", answer.alias("value"))
 
 
-def _whole_quantiles(df: DataFrame, value: str, qs: Sequence[float], rule: str) -> DataFrame:
-    """quantiles() of a whole column: no task sorts more than the values near a rank."""
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+def _cut_quantiles(counts: DataFrame, qs: Sequence[float], rule: str, by: Sequence[str] = ()) -> DataFrame:
+    """quantiles() from counts(by, v, n): no task sorts more than the values near a rank."""
     rank = {
         "linear": lambda q, n: F.floor(q * (n - 1)), "order": lambda q, n: F.greatest(F.ceil(q * n) - 1, F.lit(0)), "floor": lambda q, n: F.least(F.floor(q * n), n - 1),
     }[rule]
     asked = {f"{i} low": lambda n, q=float(q): rank(F.lit(q), n) for i, q in enumerate(qs)}
     asked |= {f"{i} high": lambda n, q=float(q): F.least(rank(F.lit(q), n) + 1, n - 1) for i, q in enumerate(qs)} if rule == "linear" else {}
-    total = counts.agg(F.sum("n").alias("all"))
-    found = at_ranks(counts, asked).crossJoin(F.broadcast(total))  # one row
+    found = at_ranks(counts, asked, by)
     i = F.split("name", " ")
     q = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), i[0].cast("int") + 1)
     end = lambda which: F.max(F.when(i[1] == which, F.col("v")))
-    found = found.groupBy(q.alias("q"), i[0].alias("i"), "all").agg(end("low").alias("low"), end("high").alias("high"))
+    found = found.groupBy(*by, q.alias("q"), i[0].alias("i"), "all").agg(end("low").alias("low"), end("high").alias("high"))
     at = F.col("q") * (F.col("all") - 1)
     answer = F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at)) if rule == "linear" else F.col("low")
-    return found.select("q", answer.alias("value"))
+    return found.select(*by, "q", answer.alias("value"))
 
 
 def membership(members: DataFrame, probes: DataFrame, key: str) -> DataFrame:

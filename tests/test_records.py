@@ -136,6 +136,20 @@ def test_ranks_of_a_narrow_range(spark):
         assert X.quantiles(df, "v", [q], "floor").first().value == order[min(int(q * len(order)), len(order) - 1)]
 
 
+@pytest.mark.parametrize("rule", ["linear", "order", "floor"])
+def test_hot_groups_are_cut(spark, monkeypatch, rule):
+    """A group of more different values than one task sorts, beside small ones, a null one, and one of nulls."""
+    r = random.Random(4)
+    rows = [("hot", 1, r.gauss(0, 1)) for _ in range(900)] + [("hot", 1, 7.0)] * 50 + [("small", 1, float(i)) for i in range(9)] + [(None, 2, float(i % 40)) for i in range(200)] + [("nulls", 1, None), ("hot", None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, h int, v double").repartition(4)
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = lambda: sorted(((x.g or "", x.h or 0, x.q, x.value) for x in X.quantiles(df, "v", qs, rule, ["g", "h"]).collect()))
+    want = got()
+    assert len(want) == 4 * len(qs)
+    monkeypatch.setattr(X, "HOT_VALUES", 20)
+    assert got() == want
+
+
 def test_too_many_answers_are_refused(spark, monkeypatch):
     monkeypatch.setattr(C, "MOST_ANSWERS", 2)
     df = spark.createDataFrame([(1.0,)], "v double")
