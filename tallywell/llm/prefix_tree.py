@@ -125,36 +125,47 @@ def signature(v: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+#: Floats of bits that are held at once, for each side.
+_HELD_BITS = 1 << 22
+
+
 def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
     """Whether each set may link with another one of them, by what their bitmaps allow.
 
     A bit that only x has stands for an n-gram that y lacks, so the overlap is at
-    most |x| less the number of such bits, and the same the other way round. A set
-    that is known to have a partner is held only against those that aren't, so
-    sets that all resemble each other cost one comparison each.
+    most |x| less the number of such bits, and the same the other way round. Bits in
+    common are a matrix product, block by block of sets of like size. Two sets that are known to have a
+    partner are not held against each other, so sets that all resemble each other cost one block of comparisons each.
     """
     order = np.argsort(sizes, kind="stable")
     n, width = sizes[order], min(map(len, signatures))
     rows = np.empty((len(n), width // 8), np.uint64)
     for i, k in enumerate(order):  # longer bitmaps are folded to the shortest
         rows[i] = np.bitwise_or.reduce(np.frombuffer(signatures[k], np.uint64).reshape(-1, width // 8), 0)
+    packed = rows.view(np.uint8)
+    bits = lambda at: np.unpackbits(packed[at], axis=1).astype(np.float32)
+    spare = (n - np.bitwise_count(rows).sum(1, dtype=np.int64)).astype(np.float32)  # n-grams that share their bit with another one
+    size = n.astype(np.float32)
     out = np.zeros(len(n), bool)
     ends = np.searchsorted(n, n * 4 // 3, "right")
-    alone = np.arange(len(n))  # sets without a partner so far, and some that have one by now
-    for i in range(len(n)):
-        if out[i]:
-            if len(alone) > 64 and not i % 64:
-                alone = alone[~out[alone]]
-            j = alone[np.searchsorted(alone, i, "right") : np.searchsorted(alone, ends[i])]
-            j = j[~out[j]]
-        else:
-            j = np.arange(i + 1, ends[i])
-        if len(j):
-            y = rows[j]
-            most = np.minimum(n[i] - np.bitwise_count(rows[i] & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(~rows[i] & y).sum(1, dtype=np.int64))
-            hit = 7 * most >= 3 * (n[i] + n[j])
-            out[j[hit]] = True
-            out[i] |= hit.any()
+    many = max(1, min(4096, _HELD_BITS // (8 * width)))
+    few = min(512, many)
+    for a in range(0, len(n), few):
+        i = np.arange(a, min(a + few, len(n)))
+        x = bits(i)
+        for c in range(a, int(ends[i[-1]]), many):
+            j = np.arange(c, min(c + many, int(ends[i[-1]])))
+            alone_i, alone_j = ~out[i], ~out[j]
+            if not alone_i.any() and not alone_j.any():
+                continue
+            left = np.arange(len(i)) if alone_j.any() else np.flatnonzero(alone_i)
+            j = j if alone_i.any() else j[alone_j]
+            common = x[left] @ bits(j).T
+            u = i[left]
+            hit = 7 * (common + np.minimum(spare[u][:, None], spare[j])) >= 3 * (size[u][:, None] + size[j])
+            hit[u[:, None] == j] = False
+            out[u] |= hit.any(1)
+            out[j] |= hit.any(0)
     back = np.zeros(len(n), bool)
     back[order] = out
     return back

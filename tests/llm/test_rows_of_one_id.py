@@ -31,3 +31,26 @@ def test_each_row_has_its_own_marks(spark):
         want[(i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))] += 1
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_words", "n_removed", "text").collect()
     assert collections.Counter(map(tuple, got)) == want and any(k[2] for k in want)
+
+
+def test_many_sets_without_a_partner_take_one_task_little_time():
+    """Bitmaps are held against each other block by block; what may link is what a plain comparison of all pairs says."""
+    import time
+
+    import numpy as np
+
+    from tallywell.llm.prefix_tree import may_link, signature
+
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 62, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[: r.integers(0, 60)], r.integers(0, 1 << 62, r.integers(1, 60), dtype=np.uint64)]) for _ in range(700)]
+    sizes, maps = np.array([len(s) for s in sets]), [np.frombuffer(signature(s), np.uint64) for s in sets]
+    width = min(map(len, maps))
+    maps = [np.bitwise_or.reduce(m.reshape(-1, width), 0) for m in maps]
+    ones = lambda x: int(np.bitwise_count(x).sum())
+    want = [any(i != j and 7 * min(sizes[i] - ones(maps[i] & ~maps[j]), sizes[j] - ones(maps[j] & ~maps[i])) >= 3 * (sizes[i] + sizes[j]) for j in range(700)) for i in range(700)]
+    assert may_link(sizes, [signature(s) for s in sets]).tolist() == want and 0 < sum(want) < 700
+    many = [np.unique(r.integers(0, 1 << 62, 40, dtype=np.uint64)) for _ in range(16_000)]
+    t = time.perf_counter()
+    may_link(np.array([len(s) for s in many]), [signature(s) for s in many])
+    assert time.perf_counter() - t < 8
