@@ -125,8 +125,8 @@ def signature(v: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-#: Floats of bits that are held at once, for each side.
-_HELD_BITS = 1 << 22
+#: Floats of bits that are held at once.
+_HELD_BITS = 1 << 20
 
 
 def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
@@ -148,8 +148,8 @@ def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
     size = n.astype(np.float32)
     out = np.zeros(len(n), bool)
     ends = np.searchsorted(n, n * 4 // 3, "right")
-    many = max(1, min(4096, _HELD_BITS // (8 * width)))
-    few = min(512, many)
+    many = max(1, min(2048, _HELD_BITS // (8 * width)))
+    few = min(128, many)
     for a in range(0, len(n), few):
         i = np.arange(a, min(a + few, len(n)))
         x = bits(i)
@@ -160,9 +160,10 @@ def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
                 continue
             left = np.arange(len(i)) if alone_j.any() else np.flatnonzero(alone_i)
             j = j if alone_i.any() else j[alone_j]
-            common = x[left] @ bits(j).T
+            common = (x if len(left) == len(i) else x[left]) @ bits(j).T
             u = i[left]
-            hit = 7 * (common + np.minimum(spare[u][:, None], spare[j])) >= 3 * (size[u][:, None] + size[j])
+            common += np.minimum(spare[u][:, None], spare[j])
+            hit = common >= (3 / 7 - 1e-6) * (size[u][:, None] + size[j])
             hit[u[:, None] == j] = False
             out[u] |= hit.any(1)
             out[j] |= hit.any(0)
