@@ -211,8 +211,7 @@ def score_error_p99(spark, sf):
 
 @query(f"""
     WITH {_PAIRS}, t AS (SELECT l_partkey, truth FROM p WHERE i <= 32),
-    c AS (SELECT DISTINCT l_partkey FROM (SELECT l_orderkey % 4 AS shard, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY shard ORDER BY n DESC, l_partkey) <= 64)),
-    a AS (SELECT l_partkey, estimate FROM e WHERE l_partkey IN (SELECT l_partkey FROM c) ORDER BY estimate DESC, l_partkey LIMIT 32), b AS (SELECT truth, estimate FROM t FULL JOIN a USING (l_partkey))
+    a AS (SELECT l_partkey, estimate FROM e ORDER BY estimate DESC, l_partkey LIMIT 32), b AS (SELECT truth, estimate FROM t FULL JOIN a USING (l_partkey))
     SELECT count(*) FILTER (truth IS NOT NULL AND estimate IS NOT NULL) / count(estimate)::DOUBLE AS precision_at_k, count(*) FILTER (truth IS NOT NULL AND estimate IS NOT NULL) / count(truth)::DOUBLE AS recall_at_k,
            count(truth) AS true_count, count(estimate) AS est_count, coalesce(max(abs(estimate - truth)), 0)::DOUBLE AS max_count_err, round(coalesce(avg(abs(estimate - truth)), 0), 9) AS mean_count_err FROM b
 """)

@@ -231,7 +231,7 @@ def constrained_fit(spark, sf):
     return fits.select(F.coalesce("left_out", F.lit(-1)).alias("left_out"), "points", c(0, "per_column"), c(1, "fixed"), F.round("worst", 6).alias("worst"))
 
 
-@query(f"{_by_width_sql()}, q AS (SELECT a.cols AS c, sign(b.a - a.a) * sign(b.y - a.y) AS s, abs(sign(b.a - a.a)) AS nx, abs(sign(b.y - a.y)) AS ny FROM (SELECT *, row_number() OVER (ORDER BY a, y) AS i FROM p) a JOIN (SELECT *, row_number() OVER (ORDER BY a, y) AS i FROM p) b ON a.i < b.i) SELECT (SELECT count(*) FROM p) AS n, round(sum(s) / sqrt(sum(nx) * sum(ny)), 9) AS tau FROM q")
+@query(f"{_by_width_sql()}, q AS (SELECT a.cols AS c, sign(b.a - a.a) * sign(b.y - a.y) AS s, abs(sign(b.a - a.a)) AS nx, abs(sign(b.y - a.y)) AS ny FROM (SELECT *, row_number() OVER (ORDER BY a, y) AS i FROM p) a JOIN (SELECT *, row_number() OVER (ORDER BY a, y) AS i FROM p) b ON a.i < b.i) SELECT (SELECT count(*) FROM p) AS n, round(sum(s) / sqrt(sum(nx) * sum(ny)), 9) AS tau FROM q HAVING (SELECT count(*) FROM p) > 0")
 def ranking_agreement(spark, sf):
     """Kendall's tau of the error that the bound promises (rows for each column) and the measured one, over widths and flags."""
     return D.rank_agreement(_by_width(spark, sf).filter("y <> 0"), [], "a", "y").withColumn("tau", F.round("tau", 9))

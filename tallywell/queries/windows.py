@@ -98,9 +98,9 @@ def quantile_by_type(spark, sf):
     return _round(V.aggregate(V.over_time(samples(spark, sf), grid(spark, sf, 3 * DAY), 3 * DAY, "max", SERIES), "quantile", ["event_type"], 0.9))
 
 
-@query(_with(3 * DAY) + ", q AS (SELECT t, event_type, user_id, quantile_cont(value, 0.5) AS value FROM w GROUP BY ALL) SELECT t, event_type, round(avg(value), 4) AS value FROM q GROUP BY ALL")
+@query(_with(3 * DAY) + ", q AS (SELECT t, event_type, user_id, quantile_cont(value, 0.5) AS value FROM w GROUP BY ALL) SELECT t, event_type, round(avg(value), 10) AS value FROM q GROUP BY ALL")
 def avg_of_quantile(spark, sf):
-    return _round(V.aggregate(V.quantile_over_time(samples(spark, sf), grid(spark, sf, 3 * DAY), 3 * DAY, 0.5, SERIES), "avg", ["event_type"]), 4)
+    return _round(V.aggregate(V.quantile_over_time(samples(spark, sf), grid(spark, sf, 3 * DAY), 3 * DAY, 0.5, SERIES), "avg", ["event_type"]), 10)
 
 
 _TOP = ", v AS (SELECT t, event_type, user_id, sum(value) AS value FROM w GROUP BY ALL) SELECT t, event_type, user_id, round(value, 6) AS value FROM v QUALIFY row_number() OVER (PARTITION BY t{by} ORDER BY value DESC, event_type, user_id) <= {k}"
