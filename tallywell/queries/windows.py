@@ -123,11 +123,11 @@ def binop_ratio(spark, sf):
     return _round(V.binary(part, "/", V.over_time(s, grid(spark, sf, 2 * DAY), 2 * DAY, "sum", ["user_id"]), ["user_id"], finite=True), 9)
 
 
-@query(_with(2 * DAY) + ", a AS (SELECT t, sum(value) AS v FROM w WHERE event_type = 'click' GROUP BY ALL), b AS (SELECT t, sum(value) AS v FROM w WHERE event_type = 'view' GROUP BY ALL) SELECT t, round((a.v - b.v) * (a.v + b.v), 3) AS value FROM a JOIN b USING (t)")
+@query(_with(2 * DAY) + ", a AS (SELECT t, sum(value) AS v FROM w WHERE event_type = 'click' GROUP BY ALL), b AS (SELECT t, sum(value) AS v FROM w WHERE event_type = 'view' GROUP BY ALL) SELECT t, round((a.v - b.v) * (a.v + b.v), 5) AS value FROM a JOIN b USING (t)")
 def binop_nested_global(spark, sf):
     s = samples(spark, sf)
     a, b = (V.aggregate(V.over_time(V.labelled(s, event_type=x), grid(spark, sf, 2 * DAY), 2 * DAY, "sum", ["user_id"]), "sum") for x in ("click", "view"))
-    return _round(V.binary(V.binary(a, "-", b), "*", V.binary(a, "+", b)), 3)
+    return _round(V.binary(V.binary(a, "-", b), "*", V.binary(a, "+", b)), 5)
 
 
 @query(_with(DAY) + " SELECT t, count(DISTINCT user_id)::DOUBLE AS value FROM w GROUP BY ALL")
