@@ -199,4 +199,5 @@ def test_folds_take_linear_time(spark):
         return time.perf_counter() - t
 
     took(2_000)
-    assert min(took(40_000), took(40_000)) < 3 * min(took(20_000), took(20_000)) + 1
+    # twice the rows take twice the time and not four times; a busy machine gets three tries
+    assert any(took(40_000) < 3 * took(20_000) for _ in range(3))
