@@ -155,6 +155,16 @@ def decision_matched_actions(spark, sf):
     return R.matched_actions(e.join(a, ["entity", "t"], "left").fillna("none"))
 
 
+@query(f"SELECT action, count(*) FILTER (exact_at IS NOT NULL AND approx_at IS NOT NULL) AS true_positive, count(*) FILTER (approx_at IS NULL) AS false_negative, count(*) FILTER (exact_at IS NULL) AS false_positive, round(avg(approx_at - exact_at), 9) AS mean_delay, count(*) FILTER (approx_at < exact_at) AS early, count(*) FILTER (approx_at > exact_at) AS late FROM ({_MATCHED}) GROUP BY action")
+def decision_action_summary(spark, sf):
+    return R.action_summary(decision_matched_actions(spark, sf)).withColumn("mean_delay", F.round("mean_delay", 9))
+
+
+@query(f"{_BASE}, x AS (SELECT entity, t, {_SCALE} AS e FROM r), y AS (SELECT entity, t, {_SCALE} AS q FROM a) SELECT coalesce(e, 'none') AS exact, coalesce(q, 'none') AS approx, count(*) AS n FROM x FULL JOIN y USING (entity, t) GROUP BY ALL")
+def decision_pairs(spark, sf):
+    return R.decision_pairs(_scaled(spark, sf), _scaled(spark, sf, True))
+
+
 _ROLL = _BASE + """, f AS (SELECT entity, t, v > 900 AS f, row_number() OVER (PARTITION BY entity ORDER BY t) - 1 AS i FROM r), g AS (SELECT *, i // 10 AS roll FROM f),
     h AS (SELECT *, sum(f::INT) OVER w AS fails, sum(1 - f::INT) OVER w AS passes, i - coalesce(max(CASE WHEN NOT f THEN i END) OVER w, roll * 10 - 1) AS streak FROM g WINDOW w AS (PARTITION BY entity, roll ORDER BY i ROWS UNBOUNDED PRECEDING)),
     k AS (SELECT entity, roll, min(CASE WHEN {hit} THEN i END) AS hit, max(i) AS l FROM h GROUP BY ALL HAVING count(*) = 10)

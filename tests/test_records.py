@@ -126,6 +126,14 @@ def test_matching_is_nearest_first_and_linear(spark):
     assert {tuple(x)[1:] for x in got if x.entity == "a"} == want and sum(x.entity == "b" for x in got) == n
 
 
+def test_action_summary_and_decision_pairs(spark):
+    matched = spark.createDataFrame([("a", "up", 3, 4), ("a", "up", 9, 7), ("a", "up", None, 1), ("b", "down", 2, None)], "entity string, action string, exact_at int, approx_at int")
+    assert sorted(tuple(r) for r in R.action_summary(matched).collect()) == [("down", 0, 1, 0, None, 0, 0), ("up", 2, 0, 1, -0.5, 1, 1)]
+    e = spark.createDataFrame([("a", 1, "up"), ("a", 2, "none"), ("b", 1, "up")], "entity string, t long, decision string")
+    q = spark.createDataFrame([("a", 1, "up"), ("a", 2, "down"), ("c", 1, "down")], "entity string, t long, decision string")
+    assert sorted(tuple(r) for r in R.decision_pairs(e, q).collect()) == [("none", "down", 2), ("up", "none", 1), ("up", "up", 1)]
+
+
 def test_ranks_of_a_narrow_range(spark):
     """Values that lie within a thousandth of their size; nulls, NaN and infinities beside them."""
     base = 1_700_000_000_000
