@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .session import bounded, save, settle
+from .session import BROADCAST_ROWS, bounded, save, settle
 from .words import Words, blocks, mix, runs
 
 _TOP = np.uint64(1 << 63)
 _CLASS = 1.34  # sizes of linked sets differ by a factor of 4 / 3 at most
+_PASSES = 3  # over the texts: each deals the shingles of its remainder, and its shuffle goes before the next
+_MARKS_AT_ONCE = 0.5  # sets whose bitmaps, and whose texts, move at once, by their shingles, as a share of those of all documents
+_TEXTS_AT_ONCE = 0.25
+_MOST_SCANS = 16  # scans of all texts so that what they are joined with can be broadcast
 
 
 class Tree:
@@ -241,7 +246,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        go last in the global order; it decides how much work there is, and
        never what links. Equal sets are one from here on.
     2. Prefixes: linked sets share a shingle within the first quarter of each in
-       the global order. These prefixes are dealt by shingle, once; a task passes
+       the global order. These prefixes are dealt by shingle, once, a third of all
+       shingles in each of three passes over the texts; a task passes
        a set on once, however many copies it has, and a frequent shingle with more
        than ``salt_rows`` rows is dealt to several tasks. Sorted by shingle they
        stream by: nothing is gathered.
@@ -266,6 +272,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        pair is lost: of two sets in different components one is a visitor.
     6. Connected components of the links, then the least id of each.
 
+    Bitmaps and texts move in as many turns as keep each turn's shuffle a fixed
+    share of the input, however many blocks a set is in, and the shuffle files of
+    a turn go before the next: what lies on disk at once grows with the input.
+
     Null ids are larger than any other; a component of null ids only has a null
     component_id. Repeated rows are equal sets. Null texts count as empty. An
     empty table gives an empty result; other columns are not looked at. A long
@@ -299,7 +309,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = spark.sparkContext.broadcast((hashes[order], ranks, salts))
     marks, named = named.select("name", "marks"), named.select("key", "id", "n", "name")
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in blocks(batches):
             s = Sets(b.column("text"), k, *frequent.value[:2])
@@ -312,12 +322,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sizes.append(len(heads[-1]))
             if len(seen) > 1 << 20:
                 seen = set()
-            gram, name = np.concatenate(heads), np.repeat(s.names, sizes)
+            gram, name, n = np.concatenate(heads), np.repeat(s.names, sizes), np.repeat(s.sizes, sizes)
+            own = gram % np.uint64(_PASSES) == turn
+            gram, name, n = gram[own], name[own], n[own]
             hot = np.flatnonzero(gram >= _TOP)
             salt = frequent.value[2][(gram[hot] ^ _TOP).astype(np.int64)]
             hot, salt = hot[salt > 1], salt[salt > 1]
             gram[hot] |= _SALTED | (name.view(np.uint64)[hot] % salt) << np.uint64(32)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(name), pa.array(np.repeat(s.sizes, sizes))], ["gram", "name", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(name), pa.array(n)], ["gram", "name", "n"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Meeting(max_listed)
@@ -325,9 +337,17 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield from m.add(*[b.column(c).to_numpy() for c in ("gram", "name", "n")])
         yield from m.add(*[np.zeros(0, np.int64)] * 3, last=True)
 
-    grams = rows.mapInArrow(prefixes, "gram long, name long, n long").repartition("gram").sortWithinPartitions("gram", "name")
-    met = save(grams.mapInArrow(meet, "gram long, pivot long, x long, y long, m long, n long"), "join-met")
-    settle(spark)
+    def met_in(turn: int) -> DataFrame:
+        grams = rows.mapInArrow(lambda batches: prefixes(batches, turn), "gram long, name long, n long").repartition("gram").sortWithinPartitions("gram", "name")
+        return settled(save(grams.mapInArrow(meet, "gram long, pivot long, x long, y long, m long, n long"), "join-met"))
+
+    def settled(df: DataFrame) -> DataFrame:
+        settle(spark)
+        return df
+
+    met = reduce(DataFrame.union, [met_in(turn) for turn in range(_PASSES)])
+    every = named.agg(F.sum("n")).first()[0] or 1
+    turns = lambda moved, share: max(1, math.ceil((moved.agg(F.sum("n")).first()[0] or 0) / (share * every)))
     pairs = met.filter("gram IS NULL").select("pivot", "x", "y", "m", "n")
     both = """flatten(transform(sequence(0, size(s) - 2), i -> transform(slice(s, i + 2, size(s)), y -> struct(s[i] AS x, y AS y))))"""
     fit = "4 * least(p.x.n, p.y.n) >= 3 * greatest(p.x.n, p.y.n)"
@@ -345,15 +365,20 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wide = save(posted.filter(F.col("sets") > max_listed).select("pivot", "class", "name", "n").distinct(), "join-wide")
     sums = bounded(save(wide.groupBy("pivot", "class").agg((F.sum("n") <= block_grams * 10).alias("fits")), "join-wide-sums"))
     wide = wide.join(sums, ["pivot", "class"])
-    asked = wide.filter("fits")
-    marks = marks.join(bounded(save(asked.select("name").distinct(), "join-wide-names")), "name", "left_semi").groupBy("name").agg(F.first("marks").alias("marks"))
+    asked = wide.filter("fits").select("pivot", "class", "name", "n")
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, held in _blocks(batches, ("pivot", "class"), ("name", "n", "marks")):
             names = np.array([x[0] for x in held])[may_link(np.array([x[1] for x in held]), [x[2] for x in held])]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), place[0]), pa.int64())], ["name", "pivot"])
 
-    asked = asked.join(marks, "name").select("pivot", "class", "name", "n", "marks").repartition("pivot", "class").sortWithinPartitions("pivot", "class").mapInArrow(narrow, "name long, pivot long")
+    def narrowed(some: DataFrame) -> DataFrame:
+        known = marks.join(bounded(save(some.select("name").distinct(), "join-wide-names")), "name", "left_semi").groupBy("name").agg(F.first("marks").alias("marks"))
+        met = some.join(known, "name").select("pivot", "class", "name", "n", "marks").repartition("pivot", "class").sortWithinPartitions("pivot", "class")
+        return settled(save(met.mapInArrow(narrow, "name long, pivot long"), "join-asked"))
+
+    k_asked = turns(asked, _MARKS_AT_ONCE)
+    asked = reduce(DataFrame.union, [narrowed(asked.filter(F.pmod(F.xxhash64("pivot", "class"), F.lit(k_asked)) == turn)) for turn in range(k_asked)])
     member = save(pairs.select(F.explode(F.array("name", "other")).alias("name"), "pivot").union(asked).union(wide.filter("NOT fits").select("name", "pivot")).distinct(), "join-members")
     settle(spark)
     shown = named.groupBy("name").agg(F.min("key").alias("key"), F.first("n").alias("n"))
@@ -376,24 +401,29 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def links(dealt: DataFrame) -> DataFrame:
         """dealt(key, pivot, part, guest, root): links within each (pivot, part) between sets of different roots; if there are guests, of these with the others."""
-        moved = rows.select("key", "text").join(bounded(save(dealt.select("key", "pivot", "part", "guest", "root"), "join-dealt")), "key")
-        found = save(moved.repartition("pivot", "part").sortWithinPartitions("pivot", "part").mapInArrow(search, "a long, b long"), "join-links")
-        settle(spark)
-        return found
+        dealt = save(dealt.select("key", "pivot", "part", "guest", "root", "n"), "join-dealt")
+        times = max(turns(dealt, _TEXTS_AT_ONCE), min(_MOST_SCANS, math.ceil(dealt.count() / BROADCAST_ROWS)))
+
+        def found(turn: int) -> DataFrame:
+            some = dealt.filter(F.pmod(F.xxhash64("pivot", "part"), F.lit(times)) == turn).drop("n")
+            moved = rows.select("key", "text").join(bounded(some), "key")
+            return settled(save(moved.repartition("pivot", "part").sortWithinPartitions("pivot", "part").mapInArrow(search, "a long, b long"), "join-links"))
+
+        return reduce(DataFrame.union, [found(turn) for turn in range(times)])
 
     alone, nobody = F.col("name").alias("root"), F.lit(False).alias("guest")
-    edges = links(member.select("key", "pivot", "part", nobody, alone))
+    edges = links(member.select("key", "pivot", "part", "n", nobody, alone))
     split = member.filter("parts > 1")
     if not split.isEmpty():
         rooted = lambda e: split.join(bounded(save(components(e), "join-roots")), F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name")).drop("node")
         first = save(rooted(edges).groupBy("pivot", "part", "root").agg(F.min(F.struct("name", "key", "n")).alias("s")).select("pivot", "root", "s.*"), "join-first")
         again = bounded(save(first.groupBy("pivot").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts")), "join-parts"))
-        edges = edges.union(links(first.join(again, "pivot").select("key", "pivot", F.pmod(F.xxhash64("root"), "parts").cast("int").alias("part"), nobody, "root")))
+        edges = edges.union(links(first.join(again, "pivot").select("key", "pivot", F.pmod(F.xxhash64("root"), "parts").cast("int").alias("part"), "n", nobody, "root")))
         now = save(rooted(edges), "join-rooted")
         main = now.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("sets")).groupBy("pivot").agg(F.max_by("root", F.struct("sets", "root")).alias("main"))
-        odd = save(now.join(main, "pivot").filter("root != main").select("key", "pivot", "parts", "root", F.col("part").alias("home")), "join-odd")
-        guests = odd.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part != home").select("key", "pivot", "part", F.lit(True).alias("guest"), "root")
-        hosts = now.join(odd.select("pivot").distinct(), "pivot", "left_semi").select("key", "pivot", "part", nobody, "root")
+        odd = save(now.join(main, "pivot").filter("root != main").select("key", "pivot", "parts", "root", "n", F.col("part").alias("home")), "join-odd")
+        guests = odd.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part != home").select("key", "pivot", "part", "n", F.lit(True).alias("guest"), "root")
+        hosts = now.join(odd.select("pivot").distinct(), "pivot", "left_semi").select("key", "pivot", "part", "n", nobody, "root")
         edges = edges.union(links(guests.union(hosts)))
     roots = bounded(save(components(edges), "join-roots"))
     settle(spark)
