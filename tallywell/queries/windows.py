@@ -118,9 +118,10 @@ def topk_by_type(spark, sf):
 
 @query(_with(2 * DAY) + ", a AS (SELECT t, user_id, sum(value) AS v FROM w WHERE event_type = 'error' GROUP BY ALL), b AS (SELECT t, user_id, sum(value) AS v FROM w GROUP BY ALL) SELECT t, user_id, round(a.v / b.v, 9) AS value FROM a JOIN b USING (t, user_id)")
 def binop_ratio(spark, sf):
+    """The share of errors in each user's sum; NaN, as in SQL, where all of a window's values are 0."""
     s = samples(spark, sf)
     part = V.over_time(V.labelled(s, event_type="error"), grid(spark, sf, 2 * DAY), 2 * DAY, "sum", ["user_id"])
-    return _round(V.binary(part, "/", V.over_time(s, grid(spark, sf, 2 * DAY), 2 * DAY, "sum", ["user_id"]), ["user_id"], finite=True), 9)
+    return _round(V.binary(part, "/", V.over_time(s, grid(spark, sf, 2 * DAY), 2 * DAY, "sum", ["user_id"]), ["user_id"]), 9)
 
 
 @query(_with(2 * DAY) + ", a AS (SELECT t, sum(value) AS v FROM w WHERE event_type = 'click' GROUP BY ALL), b AS (SELECT t, sum(value) AS v FROM w WHERE event_type = 'view' GROUP BY ALL) SELECT t, round((a.v - b.v) * (a.v + b.v), 5) AS value FROM a JOIN b USING (t)")
