@@ -1,5 +1,7 @@
 """Panes in the state of a stream: several batches, a restart, late samples, and how much is held."""
 
+import datetime
+
 import pytest
 
 from tallywell.plans import panes as P
@@ -71,3 +73,20 @@ def test_samples_beyond_the_horizon_are_an_error(spark, tmp_path):
         stateful.run_to_end(start(spark, tmp_path, horizon_ms=400))
     with pytest.raises(ValueError, match="horizon"):
         start(spark, tmp_path, horizon_ms=100)
+
+
+def test_labels_of_any_kind_come_back(spark, tmp_path):
+    """Panes of many series lie in a few states, as tables; their labels are null, long, or hold quotes and commas."""
+    schema = "a long, b string, c timestamp, ts_ms long, value double"
+    labels = [((1 << 60) + i if i % 7 else None, ['x"y,z', "", None, "\\n"][i % 4], datetime.datetime(2024, 1, 1, microsecond=i) if i % 5 else None) for i in range(60)]
+    rows = [(*x, BASE + 20 * j + i, float(i * j)) for i, x in enumerate(labels) for j in range(12)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = ingest.stream_samples(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    got = stateful.open_panes(s, 50, ["a", "b", "c"], lateness_ms=100, buckets=2)
+    q = got.writeStream.format("memory").queryName("kinds").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    stateful.run_to_end(q)
+    every = spark.createDataFrame(rows, schema)
+    want = P.build(every, 50, ["a", "b", "c"]).filter(f"window_end + 100 <= {max(r[3] for r in rows)}")
+    columns = ["a", "b", "c", *NAMES[:1], *NAMES[2:]]
+    assert sorted(map(repr, spark.table("kinds").filter("kind = 'pane'").select(*columns).collect())) == sorted(map(repr, want.select(*columns).collect()))
+    assert want.count() > 100 and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
