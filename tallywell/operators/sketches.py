@@ -53,25 +53,28 @@ def fold(state: DataFrame, full_cols: int, fold_level: int, by: Sequence[str] =
 def estimate(state: DataFrame, probes: DataFrame, key: Column, rows: int, cols: int, signed: bool = False, by: Sequence[str] = (), folded: int | None = None) -> DataFrame:
     """probes with estimate: the least cell of Count-Min, the median of Count Sketch's. Cells that aren't stored are 0.
 
-    One matrix is handed to the probes as one array of rows * cols numbers, so probes
-    are read where they lie; matrices by group are joined.
+    A matrix is handed to the probes as one array of rows * cols numbers, so probes
+    are read where they lie; of matrices by group, one array for each group is broadcast.
     """
     own = list(probes.columns)
     width = folded or cols
     column = lambda r: (cw(F.col("_k"), r) % cols % width).cast("int")
     of = lambda r: sign(F.col("_k"), r) if signed else F.lit(1).cast("long")
+    read = lambda dense: F.array(*[F.coalesce(F.get(dense, F.lit(r * width) + column(r)), F.lit(0)) * F.coalesce(of(r), F.lit(1)) for r in range(rows)])
+    one = lambda x: (F.sort_array(x)[rows // 2] if signed else F.array_min(x)).alias("estimate")
+    at = (F.col("r").cast("long") * width + F.col("c")).alias("_at")
     if not by:
         every = state.sparkSession.range(0, rows * width, 1, 1).select(F.col("id").alias("_at"), F.lit(0).alias("_own"), F.lit(0).cast("long").alias("n"))
-        cells = state.select((F.col("r").cast("long") * width + F.col("c")).alias("_at"), F.lit(1).alias("_own"), "n").union(every).agg(F.sort_array(F.collect_list(F.struct("_at", "_own", "n"))).alias("_a"))
+        cells = state.select(at, F.lit(1).alias("_own"), "n").union(every).agg(F.sort_array(F.collect_list(F.struct("_at", "_own", "n"))).alias("_a"))
         last = lambda x, i: F.coalesce(F.get("_a", i + 1)["_at"] != x["_at"], F.lit(True))
         dense = cells.select(F.transform(F.filter("_a", last), lambda x: x["n"])).scalar()
-        read = F.array(*[F.coalesce(F.get(dense, F.lit(r * width) + column(r)), F.lit(0)) * of(r) for r in range(rows)])
-        return probes.withColumn("_k", key).select(*own, (F.sort_array(read)[rows // 2] if signed else F.array_min(read)).alias("estimate"))
-    cell = lambda r: F.struct(F.lit(r).alias("r"), column(r).alias("c"), of(r).alias("s"))
-    asked = probes.withColumn("_k", key).withColumn("x", _rows(rows, cell)).select(*own, F.col("x.r").alias("r"), F.col("x.c").alias("c"), F.col("x.s").alias("s"))
-    got = asked.join(state.withColumnRenamed("n", "_n"), [*by, "r", "c"], "left").withColumn("e", F.coalesce("_n", F.lit(0)) * F.coalesce("s", F.lit(1)))
-    # the rows of a probe side by side instead of a sort: at most `rows` values
-    return got.groupBy(*own).agg((F.element_at(F.sort_array(F.collect_list("e")), rows // 2 + 1) if signed else F.min("e")).alias("estimate"))
+        return probes.withColumn("_k", key).select(*own, one(read(dense)))
+    # as many rows as groups, of rows * width numbers each
+    held = state.groupBy(*by).agg(F.collect_list(F.struct(at, F.col("n").alias("_n"))).alias("_a"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(rows * width - 1).cast("long")), lambda i: F.struct(i.alias("_at"), F.lit(0).cast("long").alias("_n")))
+    cells = held.select(*by, F.explode(F.concat("_a", every)).alias("_x")).groupBy(*by, "_x._at").agg(F.sum("_x._n").alias("_n"))
+    dense = cells.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_n"))), lambda x: x["_n"]).alias("_a"))
+    return probes.withColumn("_k", key).join(F.broadcast(dense), [*by], "left").select(*own, one(read(F.col("_a"))))
 
 
 def l2_norm(state: DataFrame, rows: int) -> DataFrame:

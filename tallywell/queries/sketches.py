@@ -345,7 +345,8 @@ def hydra_hll(spark, sf):
 def hydra_univmon(spark, sf):
     """Cardinality, l1 (the sum), l2 and entropy of each subset's keyed weights: the median over the grid's rows."""
     sums = _by_labels(spark, sf).groupBy(*LABELS, "l_partkey").agg(F.sum("w").alias("w"))
-    u = S.univmon(_gridded(sums), "l_partkey", "w", **_UM, by=["gr", "gc"])
+    # dealt by key before they are fanned out, so that grid cells add up where they are
+    u = S.univmon(_gridded(sums.repartition("l_partkey")), "l_partkey", "w", **_UM, by=["gr", "gc"])
     median = lambda c: F.round(F.element_at(F.sort_array(F.collect_list(c)), 2), 6).alias(c)
     return _asked(spark, sf).join(u, ["gr", "gc"]).groupBy("grp").agg(*[median(c) for c in ("cardinality", "l1", "l2", "entropy")])
 

@@ -181,3 +181,19 @@ def test_choice_meets_its_target():
         for e in (0.2, 0.05, 0.01):
             assert D.choose(c, e)["bound"] <= e
     assert D.choose("cardinality", 1e-5)["sketch"] == "exact"
+
+
+def test_estimates_by_group_move_no_probes(spark):
+    """Matrices by group are broadcast: no probe is shuffled, and repeated probes, groups without a matrix and null keys keep their rows."""
+    rows = [(g, k, 1 + (g * k) % 5) for g in range(4) for k in range(60)]
+    df = spark.createDataFrame(rows, "g int, k long, w long")
+    probes = spark.createDataFrame([(g, k) for g in range(5) for k in range(60)] + [(1, 7), (2, None)], "g int, k long")
+    for signed in (False, True):
+        cells = S.matrix(df, F.col("k"), 3, 32, signed, F.col("w"), by=["g"])
+        got = S.estimate(cells.localCheckpoint(), probes.localCheckpoint(), F.col("k"), 3, 32, signed, by=["g"])
+        for g in range(5):
+            one = S.estimate(cells.filter(F.col("g") == g).drop("g"), probes.filter((F.col("g") == g) & F.col("k").isNotNull()), F.col("k"), 3, 32, signed)
+            assert sorted(map(tuple, got.filter((F.col("g") == g) & F.col("k").isNotNull()).collect())) == sorted(map(tuple, one.collect()))
+        assert got.count() == probes.count() and got.filter("k IS NULL").first().estimate == 0
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
