@@ -163,7 +163,7 @@ def steps(shard: int, ids: np.ndarray, rounds: int, turn: int, batch: int) -> It
 
 
 def _forward(p: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = p["emb"][ctx].reshape(len(ctx), -1)
+    x = p["emb"].take(ctx, 0).reshape(len(ctx), -1)
     h = np.tanh(x @ p["w"] + p["b"])
     return x, h, _logits(h, p["cw"], p["cb"])
 
@@ -175,6 +175,10 @@ def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Clipped, so that their exponentials and the sums of these are within single precision."""
     z = h @ w
     z += b
+    return _clipped(z)
+
+
+def _clipped(z: np.ndarray) -> np.ndarray:
     return np.maximum(np.minimum(z, 60, out=z), -60, out=z)
 
 
@@ -230,7 +234,7 @@ def stream_log_probs(p: dict[str, np.ndarray], parts: list[np.ndarray], ids: np.
 def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -> None:
     """One Adagrad step on the mean negative log-likelihood of a batch."""
     n, order = len(t), np.argsort(t.astype(np.uint16), kind="stable")
-    ctx, t = ctx[order], t[order]
+    ctx, t = ctx.take(order, 0), t[order]
     x, h, z = _forward(p, ctx)
     d = np.exp(z)
     d /= _total(d)[:, None]
@@ -238,16 +242,21 @@ def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -
     d /= n
     grad = {"cw": h.T @ d, "cb": d.sum(0), "tw": np.zeros_like(p["tw"]), "tb": np.zeros_like(p["tb"])}
     dh = d @ p["cw"].T
-    for c, rows in _by_class(t):
-        own = h[rows]
-        y = _logits(own, p["tw"][c], p["tb"][c])
-        np.exp(y, out=y)
-        y /= _total(y)[:, None]
-        y[np.arange(len(y)), t[rows] % WITHIN] -= 1
-        y /= n
-        dh[rows] += y @ p["tw"][c].T
-        np.matmul(own.T, y, out=grad["tw"][c])
-        y.sum(0, out=grad["tb"][c])
+    # products by class; what goes element by element is done for all classes at once
+    classes = list(_by_class(t))
+    y = np.empty((n, WITHIN), h.dtype)
+    for c, rows in classes:
+        np.matmul(h[rows], p["tw"][c], out=y[rows])
+    y += p["tb"].take(t // WITHIN, 0)
+    np.exp(_clipped(y), out=y)
+    y /= _total(y)[:, None]
+    y[np.arange(n), t % WITHIN] -= 1
+    y /= n
+    for c, rows in classes:
+        own = y[rows]
+        dh[rows] += own @ p["tw"][c].T
+        np.matmul(h[rows].T, own, out=grad["tw"][c])
+        own.sum(0, out=grad["tb"][c])
     da = dh * (1 - h * h)
     grad["w"], grad["b"] = x.T @ da, da.sum(0)
     dx = (da @ p["w"].T).reshape(-1, DIM)
@@ -257,7 +266,7 @@ def train_step(p: dict, g2: dict, ctx: np.ndarray, t: np.ndarray, rate: float) -
     used = flat[order[first]]
     for k, g in grad.items():
         _adagrad(p[k], g2[k], g, rate)
-    g = np.add.reduceat(dx[order], first, 0)
+    g = np.add.reduceat(dx.take(order, 0), first, 0)
     g2["emb"][used] += g * g
     p["emb"][used] -= rate * g / (np.sqrt(g2["emb"][used]) + 1e-8)
 
