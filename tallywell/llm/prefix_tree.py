@@ -19,8 +19,9 @@ from .words import Words, blocks, mix, runs
 _TOP = np.uint64(1 << 63)
 _CLASS = 1.34  # sizes of linked sets differ by a factor of 4 / 3 at most
 _PASSES = 3  # over the texts: each deals the shingles of its remainder, and its shuffle goes before the next
-_MARKS_AT_ONCE = 0.5  # sets whose bitmaps, and whose texts, move at once, by their shingles, as a share of those of all documents
+_MARKS_AT_ONCE = 1.0  # sets whose bitmaps, and whose texts, move at once, by their shingles, as a share of those of all documents
 _TEXTS_AT_ONCE = 0.25
+_MOST_HELD = 20_000  # sets whose bitmaps one task holds against each other; a larger group is dealt to parts
 _MOST_SCANS = 16  # scans of all texts so that what they are joined with can be broadcast
 
 
@@ -134,6 +135,19 @@ def signature(v: np.ndarray) -> bytes:
 _HELD_BITS = 1 << 20
 
 
+def _folded(sizes: np.ndarray, signatures: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets in ascending size: their order, sizes, bitmaps folded to ``width`` bytes, and n-grams that share their bit with another one."""
+    order = np.argsort(sizes, kind="stable")
+    rows = np.empty((len(order), width // 8), np.uint64)
+    for i, k in enumerate(order):
+        rows[i] = np.bitwise_or.reduce(np.frombuffer(signatures[k], np.uint64).reshape(-1, width // 8), 0)
+    return order, sizes[order], rows, (sizes[order] - np.bitwise_count(rows).sum(1, dtype=np.int64)).astype(np.float32)
+
+
+def _bits(rows: np.ndarray) -> np.ndarray:
+    return np.unpackbits(rows.view(np.uint8), axis=1).astype(np.float32)
+
+
 def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
     """Whether each set may link with another one of them, by what their bitmaps allow.
 
@@ -142,14 +156,7 @@ def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
     common are a matrix product, block by block of sets of like size. Two sets that are known to have a
     partner are not held against each other, so sets that all resemble each other cost one block of comparisons each.
     """
-    order = np.argsort(sizes, kind="stable")
-    n, width = sizes[order], min(map(len, signatures))
-    rows = np.empty((len(n), width // 8), np.uint64)
-    for i, k in enumerate(order):  # longer bitmaps are folded to the shortest
-        rows[i] = np.bitwise_or.reduce(np.frombuffer(signatures[k], np.uint64).reshape(-1, width // 8), 0)
-    packed = rows.view(np.uint8)
-    bits = lambda at: np.unpackbits(packed[at], axis=1).astype(np.float32)
-    spare = (n - np.bitwise_count(rows).sum(1, dtype=np.int64)).astype(np.float32)  # n-grams that share their bit with another one
+    order, n, rows, spare = _folded(sizes, signatures, width := min(map(len, signatures)))
     size = n.astype(np.float32)
     out = np.zeros(len(n), bool)
     ends = np.searchsorted(n, n * 4 // 3, "right")
@@ -157,7 +164,7 @@ def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
     few = min(128, many)
     for a in range(0, len(n), few):
         i = np.arange(a, min(a + few, len(n)))
-        x = bits(i)
+        x = _bits(rows[i])
         for c in range(a, int(ends[i[-1]]), many):
             j = np.arange(c, min(c + many, int(ends[i[-1]])))
             alone_i, alone_j = ~out[i], ~out[j]
@@ -165,7 +172,7 @@ def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
                 continue
             left = np.arange(len(i)) if alone_j.any() else np.flatnonzero(alone_i)
             j = j if alone_i.any() else j[alone_j]
-            common = (x if len(left) == len(i) else x[left]) @ bits(j).T
+            common = (x if len(left) == len(i) else x[left]) @ _bits(rows[j]).T
             u = i[left]
             common += np.minimum(spare[u][:, None], spare[j])
             hit = common >= (3 / 7 - 1e-6) * (size[u][:, None] + size[j])
@@ -177,6 +184,30 @@ def may_link(sizes: np.ndarray, signatures: list[bytes]) -> np.ndarray:
     return back
 
 
+def may_meet(sizes: np.ndarray, signatures: list[bytes], of_hosts: np.ndarray, hosts: list[bytes]) -> np.ndarray:
+    """Whether each set may link with one of the hosts, by the same bound."""
+    out = np.zeros(len(sizes), bool)
+    if not len(sizes) or not hosts:
+        return out
+    width = min(map(len, [*signatures, *hosts]))
+    order, n, rows, spare = _folded(sizes, signatures, width)
+    _, m, others, room = _folded(of_hosts, hosts, width)
+    many = max(1, min(2048, _HELD_BITS // (8 * width)))
+    few = min(128, many)
+    for a in range(0, len(n), few):
+        u = np.arange(a, min(a + few, len(n)))
+        x, found = _bits(rows[u]), np.zeros(len(u), bool)
+        last = int(np.searchsorted(3 * m, 4 * n[u[-1]], "right"))
+        for c in range(int(np.searchsorted(4 * m, 3 * n[u[0]])), last, many):
+            j, left = np.arange(c, min(c + many, last)), np.flatnonzero(~found)
+            if not len(left):
+                break
+            common = x[left] @ _bits(others[j]).T + np.minimum(spare[u[left]][:, None], room[j])
+            found[left] = (common >= (3 / 7 - 1e-6) * (n[u[left]][:, None] + m[j])).any(1)
+        out[order[u]] = found
+    return out
+
+
 _SALTED, _SALTS = np.uint64(1 << 62), np.uint64(((1 << 30) - 1) << 32)  # marks of a frequent n-gram that is dealt to several tasks
 
 
@@ -258,10 +289,12 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        set) of their shingles as block. A shingle in more sets is split by size
        class first: a set is in its own and the next, so that two sets that may
        link, whose sizes differ by a third at most, meet in the class of the
-       larger. Where a class still has more sets, these meet at its pivot; while
-       they fit in one task, as bitmaps first, two to four bits for a shingle,
-       whose bound on the overlap lets few pass that don't link. Only the texts of
-       sets in blocks move.
+       larger. Where a class still has more sets, these meet at its pivot. Sets
+       of a pivot and class, those of pairs too, are held against each other as
+       bitmaps first, two to four bits for a shingle, whose bound on the overlap
+       lets few pass that don't link. More sets than fit in one task are dealt to
+       parts, and those that find nothing in their own part visit the others. Only
+       the texts of sets that passed move.
     4. In a block, a prefix tree is searched and grown by sets in ascending size.
        Sets already in one component are not compared again, so a block of
        n near copies costs about n verifications, and yields at most n - 1 links.
@@ -361,25 +394,56 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = posted.filter(F.col("sets") <= max_listed).groupBy("gram", "class", "pivot").agg(F.sort_array(F.collect_list(F.struct("name", "n", "own"))).alias("s"))
     more = more.select("pivot", F.expr(f"explode(filter({both}, p -> (p.x.own OR p.y.own) AND {fit}))").alias("p")).select("pivot", *pair)
     pairs = pairs.union(more).groupBy("x", "y", "m", "n").agg(F.count(F.lit(1)).alias("shared"), F.min("pivot").alias("pivot"))
-    pairs = pairs.filter("shared >= (3 * (m + n) + 6) div 7 + 1 - (3 * greatest(m, n) + 3) div 4").select(F.col("x").alias("name"), F.col("y").alias("other"), "pivot")
-    wide = save(posted.filter(F.col("sets") > max_listed).select("pivot", "class", "name", "n").distinct(), "join-wide")
-    sums = bounded(save(wide.groupBy("pivot", "class").agg((F.sum("n") <= block_grams * 10).alias("fits")), "join-wide-sums"))
-    wide = wide.join(sums, ["pivot", "class"])
-    asked = wide.filter("fits").select("pivot", "class", "name", "n")
+    pairs = pairs.filter("shared >= (3 * (m + n) + 6) div 7 + 1 - (3 * greatest(m, n) + 3) div 4")
+    paired = pairs.withColumn("both", F.expr("array(struct(x AS name, m AS n), struct(y AS name, n AS n))")).withColumn("n", F.greatest("m", "n")).select("pivot", size_class.alias("class"), F.explode("both").alias("s")).select("pivot", "class", "s.*")
+    wide = save(posted.filter(F.col("sets") > max_listed).select("pivot", "class", "name", "n").union(paired).distinct(), "join-wide")
+    held = F.greatest(F.ceil(F.sum("n") / (10 * block_grams)), F.ceil(F.count(F.lit(1)) / _MOST_HELD)).cast("int")
+    asked = wide.join(bounded(save(wide.groupBy("pivot", "class").agg(held.alias("parts")), "join-wide-sums")), ["pivot", "class"])
+    asked = asked.select("pivot", "class", F.pmod(F.xxhash64("name"), "parts").cast("int").alias("part"), "parts", "name", "n", F.lit(False).alias("guest"))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, held in _blocks(batches, ("pivot", "class"), ("name", "n", "marks")):
-            names = np.array([x[0] for x in held])[may_link(np.array([x[1] for x in held]), [x[2] for x in held])]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), place[0]), pa.int64())], ["name", "pivot"])
-
-    def narrowed(some: DataFrame) -> DataFrame:
-        known = marks.join(bounded(save(some.select("name").distinct(), "join-wide-names")), "name", "left_semi").groupBy("name").agg(F.first("marks").alias("marks"))
-        met = some.join(known, "name").select("pivot", "class", "name", "n", "marks").repartition("pivot", "class").sortWithinPartitions("pivot", "class")
-        return settled(save(met.mapInArrow(narrow, "name long, pivot long"), "join-asked"))
-
-    k_asked = turns(asked, _MARKS_AT_ONCE)
-    asked = reduce(DataFrame.union, [narrowed(asked.filter(F.pmod(F.xxhash64("pivot", "class"), F.lit(k_asked)) == turn)) for turn in range(k_asked)])
-    member = save(pairs.select(F.explode(F.array("name", "other")).alias("name"), "pivot").union(asked).union(wide.filter("NOT fits").select("name", "pivot")).distinct(), "join-members")
+        for place, held in _blocks(batches, keys, ("name", "n", "marks")):
+            may = may_link(np.array([x[1] for x in held]), [x[2] for x in held])
+            yield noted(place, held, may, may | (place[3] > 1))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hosts = None, []
+        for place, held in _blocks(batches, (*keys, "guest"), ("name", "n", "marks"), 4096):
+            if place[:3] != at:
+                at, hosts = place[:3], []
+            if place[4]:
+                may = may_meet(np.array([x[1] for x in held]), [x[2] for x in held], np.array([x[1] for x in hosts]), [x[2] for x in hosts])
+                yield noted(place, held, may, may)
+            else:
+                hosts += held
+
+    keys = ("pivot", "class", "part", "parts")
+    noted_schema = "pivot long, class int, part int, parts int, name long, n long, may boolean"
+
+    def noted(place: tuple, held: list[tuple], may: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(kept)
+        same = [pa.array(np.full(len(at), x), t) for x, t in zip(place, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*same, *[pa.array([held[i][k] for i in at], pa.int64()) for k in (0, 1)], pa.array(may[at])], [*keys, "name", "n", "may"])
+
+    def narrowed(dealt: DataFrame, by, name: str) -> DataFrame:
+        times = turns(dealt, _MARKS_AT_ONCE)
+
+        def of(turn: int) -> DataFrame:
+            some = dealt.filter(F.pmod(F.xxhash64("pivot", "class", "part"), F.lit(times)) == turn)
+            known = marks.join(bounded(save(some.select("name").distinct(), f"{name}-names")), "name", "left_semi").groupBy("name").agg(F.first("marks").alias("marks"))
+            met = some.join(known, "name").select(*keys, "guest", "name", "n", "marks").repartition("pivot", "class", "part").sortWithinPartitions("pivot", "class", "part", "guest")
+            return settled(save(met.mapInArrow(by, noted_schema), name))
+
+        return reduce(DataFrame.union, [of(turn) for turn in range(times)])
+
+    found = narrowed(asked, narrow, "join-asked")
+    lonely = found.filter("NOT may")
+    if not lonely.isEmpty():
+        there = save(lonely.select("pivot", "class").distinct(), "join-lonely")
+        guests = lonely.withColumn("home", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part != home").select(*keys, "name", "n", F.lit(True).alias("guest"))
+        hosts = found.filter("parts > 1").join(bounded(there), ["pivot", "class"], "left_semi").select(*keys, "name", "n", F.lit(False).alias("guest"))
+        found = found.union(narrowed(save(guests.union(hosts), "join-guests"), visit, "join-visits"))
+    member = save(found.filter("may").select("name", "pivot").distinct(), "join-members")
     settle(spark)
     shown = named.groupBy("name").agg(F.min("key").alias("key"), F.first("n").alias("n"))
     member = save(member.join(shown, "name").select("name", "key", "pivot", "n"), "join-shown")
@@ -454,12 +518,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return of(kept) if again.isEmpty() else of(kept.filter("many = 1")).union(of(again).dropDuplicates([id_col, text_col]))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """(key, rows) for each run of equal keys in sorted batches."""
+def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...], most: int = 1 << 62) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) for each run of equal keys in sorted batches; of a run longer than ``most``, piece by piece."""
     at, held = None, []
     for b in batches:
         for place, row in zip(zip(*[b.column(c).to_pylist() for c in keys]), zip(*[b.column(c).to_pylist() for c in columns])):
-            if place != at and held:
+            if (place != at or len(held) >= most) and held:
                 yield at, held
                 held = []
             at = place
